@@ -1,8 +1,13 @@
-"""Typed access to raw JSON held as VARIANT, where the JSON type matters."""
+"""Typed access to raw JSON where the JSON type of a value matters.
+
+A record is parsed once into a map from field name to (type, text); all checks
+then look at that map. ``once`` keeps the optimizer from repeating the parse
+for every field that is read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TIMESTAMP = r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?Z$"
@@ -10,58 +15,79 @@ NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER = r"^\s*[+-]?\d+\s*$"
 
 
-def field(v: Column, name: str) -> Column:
-    """Member of an object, NULL when absent (JSON null stays a variant)."""
-    return F.try_variant_get(v, f"$['{name}']", "variant")
+def once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """Select ``keep`` plus computed columns, each evaluated exactly once.
 
+    The columns travel through a one-element explode, which projections above
+    it cannot be merged into.
+    """
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.explode(F.array(packed)).alias("_once")).select(*keep, "_once.*")
 
-def json_type(v: Column) -> Column:
-    """object, array, string, boolean, null, integer or number; NULL if absent."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(s.startswith("OBJECT"), "object")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s == "STRING", "string")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s == "VOID", "null")
-        .when(s == "BIGINT", "integer")
-        .otherwise("number")
+
+def typed(v: Column) -> Column:
+    """(type, text) of a variant."""
+    return F.struct(
+        F.schema_of_variant(v).alias("type"), F.try_variant_get(v, "$", "string").alias("text")
     )
 
 
-def is_type(v: Column, *types: str) -> Column:
-    return F.coalesce(json_type(v).isin(*types), F.lit(False))
+def fields(v: Column) -> Column:
+    """Members of a JSON object as name -> (type, text); NULL for other values."""
+    return F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: typed(x))
+
+
+def member(m: str, name: str) -> Column:
+    """A field of a map made by ``fields``; NULL when absent."""
+    return F.col(m)[name]
+
+
+def is_string(f: Column) -> Column:
+    return F.coalesce(f["type"] == "STRING", F.lit(False))
+
 
+def is_null(f: Column) -> Column:
+    """Absent, or JSON null."""
+    return f.isNull() | F.coalesce(f["type"] == "VOID", F.lit(False))
 
-def as_string(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
 
+def is_integer(f: Column) -> Column:
+    return F.coalesce(f["type"] == "BIGINT", F.lit(False))
 
-def as_text(v: Column) -> Column:
+
+def is_number(f: Column) -> Column:
+    t = f["type"]
+    return F.coalesce(t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL"), F.lit(False))
+
+
+def is_object(f: Column) -> Column:
+    return F.coalesce(f["type"].startswith("OBJECT"), F.lit(False))
+
+
+def is_array(f: Column) -> Column:
+    return F.coalesce(f["type"].startswith("ARRAY"), F.lit(False))
+
+
+def shown(f: Column) -> Column:
     """How the value reads as text; null and missing read 'None'."""
-    t = json_type(v)
     return (
-        F.when(t.isNull() | (t == "null"), "None")
-        .when(t == "boolean", F.initcap(as_string(v)))
-        .otherwise(as_string(v))
+        F.when(is_null(f), "None").when(f["type"] == "BOOLEAN", F.initcap(f["text"])).otherwise(f["text"])
     )
 
 
-def truthy(v: Column) -> Column:
-    """False for absent, null, empty string, false, zero and empty containers."""
-    t, s = json_type(v), as_string(v)
-    return (
-        F.when(t.isNull() | (t == "null"), False)
-        .when(t == "string", s != "")
-        .when(t == "boolean", s == "true")
-        .when(t.isin("integer", "number"), F.coalesce(s.try_cast("double") != 0, F.lit(True)))
-        .when(t.isin("object", "array"), ~F.to_json(v).isin("{}", "[]"))
-        .otherwise(False)
+def truthy(f: Column) -> Column:
+    """False for absent, null, empty text, false, zero and empty containers."""
+    zero = f["text"].rlike(r"^[+-]?0*(\.0*)?([eE][+-]?\d+)?$")
+    return ~(
+        is_null(f)
+        | F.coalesce(f["text"] == "", F.lit(False))
+        | ((f["type"] == "BOOLEAN") & (f["text"] == "false"))
+        | (is_number(f) & zero)
+        | (f["type"].startswith("OBJECT") & (f["text"] == "{}"))
+        | (f["type"].startswith("ARRAY") & (f["text"] == "[]"))
     )
 
 
-def utc_timestamp(v: Column) -> Column:
+def utc_timestamp(f: Column) -> Column:
     """Strict UTC timestamp text, NULL for anything else."""
-    s = as_string(v)
-    return F.when(is_type(v, "string") & s.rlike(TIMESTAMP), s.try_cast("timestamp"))
+    return F.when(is_string(f) & f["text"].rlike(TIMESTAMP), f["text"].try_cast("timestamp"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import percent
-from ..functions.variants import as_text, field, is_type
+from ..functions.variants import fields, is_array, is_string, member, once, shown, typed
 
 KEY = ["incident_id", "node_id"]
 KINDS = ("deploy_exception", "code_match", "setting_change")
@@ -42,27 +42,21 @@ def parse_replies(replies: DataFrame) -> DataFrame:
             "",
         )
     )
-    v = F.col("_v")
-    verdict, reasoning, signals = field(v, "causal_assessment"), field(v, "reasoning"), field(v, "signals")
-    text = lambda x: F.try_variant_get(x, "$", "string")
+    keys = [c for c in replies.columns if c != "raw_reply"]
+    read = once(replies, *keys, m=fields(F.try_parse_json(cleaned)))
+    verdict, reasoning, signals = (member("m", n) for n in ("causal_assessment", "reasoning", "signals"))
     usable = F.coalesce(
-        is_type(v, "object")
-        & is_type(verdict, "string")
-        & text(verdict).isin(*ANSWERS)
-        & is_type(reasoning, "string")
-        & (text(reasoning) != ""),
+        is_string(verdict) & verdict["text"].isin(*ANSWERS) & is_string(reasoning) & (reasoning["text"] != ""),
         F.lit(False),
     )
-    listed = F.when(
-        usable & is_type(signals, "array"),
-        F.transform(F.try_variant_get(signals, "$", "array<variant>"), as_text),
+    listed = F.transform(
+        F.try_variant_get(F.try_parse_json(signals["text"]), "$", "array<variant>"), lambda x: shown(typed(x))
     )
-    return (
-        replies.withColumn("_v", F.try_parse_json(cleaned))
-        .withColumn("assessment", F.when(usable, text(verdict)).otherwise("uncertain"))
-        .withColumn("reasoning", F.when(usable, text(reasoning)).otherwise("parse error"))
-        .withColumn("signals", F.coalesce(listed, F.array().cast("array<string>")))
-        .drop("_v", "raw_reply")
+    return read.select(
+        *keys,
+        F.when(usable, verdict["text"]).otherwise("uncertain").alias("assessment"),
+        F.when(usable, reasoning["text"]).otherwise("parse error").alias("reasoning"),
+        F.coalesce(F.when(usable & is_array(signals), listed), F.array().cast("array<string>")).alias("signals"),
     )
 
 

@@ -221,7 +221,7 @@ def match_stack(frames: DataFrame, commits: DataFrame, functions: DataFrame, inc
         *KEY, "event_id", "function_name", "file_path", "start_line", "old_code", "new_code",
         F.col("ord").alias("function_ord"), basename(F.col("file_path")).alias("base"),
     )
-    target = F.struct("event_id", "function_ord", "function_name", "file_path", "old_code", "new_code")
+    target = F.struct("function_ord", "event_id", "function_name", "file_path", "old_code", "new_code")
     spot = F.struct("ord", "pos", "line_number", "span_id")
 
     def best(rank: int, keys: list[str], frame_side: DataFrame, function_side: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.incidents import Incidents, in_window
+from ..session import durable
 from . import evidence as E
 from . import spanfacts as X
 from .assessments import replies_for
@@ -87,7 +88,11 @@ def code_facts(
     )
     if commits is not None and functions is not None:
         linked = relevant_commits(ids, commits, deploys, nodes, inc)
-        matches = match_stack(error_frames(own, linked), linked, functions, inc)
+        linked = durable(linked, "linked")
+        wanted = functions.join(linked.select("event_id").distinct(), "event_id", "left_semi")
+        matches = match_stack(
+            durable(error_frames(own, linked), "frames"), linked, durable(wanted, "functions"), inc
+        )
         facts = facts.join(matches, KEY, "left")
     else:
         for name in ("match_type", "span_id", "commit_event_id", "function_name", "file_path", "old_code", "new_code"):

@@ -222,3 +222,101 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
              - ((o_orderkey * 104729) % 5400) * 1000000) AS timestamp""",
         "o_orderkey AS ord",
     )
+
+
+def raw_traces(spans_view: DataFrame) -> DataFrame:
+    """Trace records as a collector would send them, some of them broken."""
+    pairs = "transform(map_entries({m}), e -> named_struct('key', e.key, 'value', named_struct('stringValue', e.value)))"
+    number = "map('internal', 1, 'server', 2, 'client', 3, 'producer', 4, 'consumer', 5)[kind]"
+    entry = f"""named_struct(
+        'resource', named_struct('attributes', {pairs.format(m='resource_attributes')}),
+        'scopeSpans', array(named_struct('spans', array(named_struct(
+            'traceId', trace_id,
+            'spanId', CASE WHEN ord % 101 = 0 THEN '' ELSE span_id END,
+            'parentSpanId', coalesce(parent_span_id, ''),
+            'name', operation_name,
+            'kind', {number},
+            'startTimeUnixNano', CASE WHEN ord % 107 = 0 THEN 'soon' ELSE CAST(unix_micros(start_time) * 1000 AS STRING) END,
+            'endTimeUnixNano', CAST((unix_micros(end_time) - CASE WHEN ord % 103 = 0 THEN 86400000000 ELSE 0 END) * 1000 AS STRING),
+            'attributes', {pairs.format(m='attributes')},
+            'status', named_struct('code', otel_status_code),
+            'events', transform(events, e -> named_struct('name', e.name, 'timeUnixNano', e.time_unix_nano,
+                'attributes', {pairs.format(m='e.attributes')}))
+        )))))"""
+    return (
+        spans_view.selectExpr("trace_id", "ord", f"{entry} AS entry")
+        .groupBy("trace_id")
+        .agg(F.sort_array(F.collect_list(F.struct("ord", "entry"))).alias("es"), F.min("ord").alias("ord"))
+        .select(
+            F.to_json(F.struct(F.transform("es", lambda e: e["entry"]).alias("resourceSpans"))).alias("raw"), "ord"
+        )
+    )
+
+
+def raw_metrics(metrics_view: DataFrame) -> DataFrame:
+    """Metric records, a few per hundred of them broken or oddly typed."""
+    m = "ord % 50"
+    return metrics_view.selectExpr(
+        f"""concat('{{"node_id":"', node_id, '","node_type":"', CASE WHEN {m} = 4 THEN 'vm' ELSE node_type END,
+            '","metric_type":"', metric_type, '","value":',
+            CASE WHEN {m} = 1 THEN 'true' WHEN {m} = 2 THEN concat('"', value, '"') WHEN {m} = 6 THEN '-1'
+                 ELSE CAST(value AS STRING) END,
+            ',"timestamp":"', date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+            CASE WHEN {m} = 3 THEN '"' ELSE 'Z"' END, ',"window_seconds":',
+            CASE WHEN {m} = 5 THEN '0' WHEN {m} = 8 THEN '60.7' WHEN {m} = 9 THEN '"60"' ELSE '60' END,
+            CASE WHEN {m} = 7 THEN '}}' ELSE ',"unit":"u"}}' END) AS raw""",
+        "ord",
+    )
+
+
+def raw_changes(changes_view: DataFrame) -> DataFrame:
+    """Change records from the inverse serialiser, some of them broken."""
+    from ..sources.changes import to_records
+
+    m = F.col("ord") % 40
+    raw = F.col("raw")
+    return to_records(changes_view).withColumn(
+        "raw",
+        F.when(m == 1, F.regexp_replace(raw, '"service_id":"[^"]*"', '"service_id":""'))
+        .when(m == 2, F.regexp_replace(raw, '"event_type":"[^"]*"', '"event_type":"rollback"'))
+        .when(m == 3, F.regexp_replace(raw, '"timestamp":"[^"]*"', '"timestamp":"yesterday"'))
+        .when(m == 4, F.regexp_replace(raw, r'"deploy_scope":\[[^\]]*\]', '"deploy_scope":"all"'))
+        .otherwise(raw),
+    )
+
+
+def raw_pushes(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
+    """Push payloads of both shapes, one per order."""
+    stamp = """concat(date_format(CAST(o_orderdate AS TIMESTAMP), "yyyy-MM-dd'T'HH:mm:ss"),
+               CASE o_orderkey % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' ELSE '-0530' END)"""
+    body = {
+        "github": f"""named_struct('ref', 'refs/heads/main', 'after', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE sha1(CAST(o_orderkey AS STRING)) END,
+            'head_commit', named_struct('id', md5(CAST(o_orderkey AS STRING)), 'message', concat('m', o_orderkey), 'timestamp', {stamp}),
+            'repository', named_struct('html_url', CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE concat('https://h/', o_custkey) END),
+            'pusher', named_struct('email', concat('u', o_custkey, '@example.org')))""",
+        "gitlab": f"""named_struct('ref', 'refs/heads/rel/1', 'checkout_sha', sha1(CAST(o_orderkey AS STRING)),
+            'project', named_struct('web_url', concat('https://l/', o_custkey)),
+            'user_email', concat('u', o_custkey, '@example.org'),
+            'commits', array(named_struct('message', concat('m', o_orderkey), 'timestamp', CASE WHEN o_orderkey % 37 = 0 THEN 'now' ELSE {stamp} END)))""",
+    }[shape]
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"to_json({body}) AS raw", "concat('n', o_custkey % 9) AS service_id", "o_orderkey AS ord"
+    )
+
+
+def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assessor replies per order: clean, fenced, and unusable ones."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "'inc-1' AS incident_id",
+        "concat('n', o_custkey % 9) AS service_id",
+        "'setting_change' AS kind",
+        "concat('chg-', o_orderkey) AS ref_id",
+        """CASE o_orderkey % 7
+             WHEN 0 THEN concat('{"causal_assessment":"likely","reasoning":"r', o_orderkey, '","signals":["a",', o_custkey, ',true]}')
+             WHEN 1 THEN concat('```json\n{"causal_assessment":"unlikely","reasoning":"r', o_orderkey, '"}\n```')
+             WHEN 2 THEN '{"causal_assessment":"maybe","reasoning":"x"}'
+             WHEN 3 THEN '{"causal_assessment":"likely","reasoning":""}'
+             WHEN 4 THEN concat('I think order ', o_orderkey, ' did it')
+             WHEN 5 THEN '  {"causal_assessment":"uncertain","reasoning":"unclear","signals":"none"} '
+             ELSE '{"causal_assessment":"likely","reasoning":7}' END AS raw_reply""",
+    )
