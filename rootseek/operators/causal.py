@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.incidents import Incidents
-from ..session import durable
+from ..session import durable, together
 from .series import unmeasured_weight
 
 STATE = ("incident_id", "candidate_id", "node_id")
@@ -208,9 +208,11 @@ def causal_scores(
     """Fit, counterfactual and causal confidence per (incident, candidate)."""
     p = inc.params
     severities = failure_severity(candidates, impact, inc)
-    predicted = forward_simulation(severities, edges, weights, inc)
+    predicted, cf = together(
+        lambda: forward_simulation(severities, edges, weights, inc),
+        lambda: counterfactual(candidates, edges, impact, inc),
+    )
     fit = fit_scores(predicted, impact, inc)
-    cf = counterfactual(candidates, edges, impact, inc)
     return fit.join(cf, ["incident_id", "node_id"]).withColumn(
         "causal_confidence",
         F.least(F.lit(1.0), F.greatest(F.lit(0.0),

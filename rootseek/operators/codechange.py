@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.incidents import Incidents, in_window
 from ..functions.text import basename, frames_of
+from ..session import durable
 
 KEY = ["incident_id", "node_id"]
 FILE = ["event_id", "file_path"]
@@ -109,14 +110,14 @@ def function_changes(files: DataFrame, symbols: DataFrame) -> DataFrame:
     ``symbols`` gives the function ranges of both file versions: event_id,
     file_path, side ('old' or 'new'), function_name, start_line, end_line, ord.
     """
-    lines = diff_lines(files)
+    lines = durable(diff_lines(files), "diff-lines")
     changed = lines.where("kind <> ' '")
     new_side = symbols.where("side = 'new'").drop("side")
     old_side = symbols.where("side = 'old'").drop("side")
     latest_old = old_side.groupBy(*FILE, "function_name").agg(
         F.max(F.struct("ord", "start_line", "end_line")).alias("o")
     ).select(*FILE, "function_name", F.col("o.start_line").alias("old_from"), F.col("o.end_line").alias("old_to"))
-    hit = touched(new_side, changed, "new_line")
+    hit = durable(touched(new_side, changed, "new_line"), "hit")
     current = hit.join(latest_old, [*FILE, "function_name"], "left").select(
         *FILE, "function_name",
         F.when(F.col("old_from").isNotNull(), "modified").otherwise("added").alias("change_type"),
@@ -134,10 +135,8 @@ def function_changes(files: DataFrame, symbols: DataFrame) -> DataFrame:
     )
     every = current.unionByName(gone).withColumnRenamed("ord", "symbol_ord")
     meta = file_changes(files).select(*FILE, F.col("ord").alias("file_ord"), "language")
-    keyed = every.join(meta, FILE).withColumn(
-        "ord",
-        F.array("file_ord", (F.col("change_type") == "deleted").cast("bigint"), F.col("symbol_ord").cast("bigint")),
-    )
+    ordinal = F.array("file_ord", (F.col("change_type") == "deleted").cast("bigint"), F.col("symbol_ord").cast("bigint"))
+    keyed = durable(every.join(meta, FILE).withColumn("ord", ordinal), "changed-functions")
     code = _code(keyed, lines, "new").join(_code(keyed, lines, "old"), [*FILE, "ord"], "full")
     return keyed.join(code, [*FILE, "ord"], "left").select(
         *FILE, "language", "function_name", "change_type", "start_line", "end_line",

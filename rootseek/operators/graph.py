@@ -248,6 +248,16 @@ def db_systems(spans: DataFrame) -> DataFrame:
     )
 
 
+def known_or_found_nodes(
+    spans: DataFrame, service_config: DataFrame | None = None, known_nodes: DataFrame | None = None
+) -> DataFrame:
+    """The written node table."""
+    nodes = discover_nodes(spans, known_nodes)
+    if service_config is not None:
+        nodes = with_service_config(nodes, service_config)
+    return durable(nodes, "nodes")
+
+
 def build_graph(
     spans: DataFrame,
     service_config: DataFrame | None = None,
@@ -256,10 +266,7 @@ def build_graph(
     match_trace: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges; a known topology, when given, wins over discovery."""
-    nodes = discover_nodes(spans, known_nodes)
-    if service_config is not None:
-        nodes = with_service_config(nodes, service_config)
-    nodes = durable(nodes, "nodes")
+    nodes = known_or_found_nodes(spans, service_config, known_nodes)
     edges = durable(discover_edges(spans, nodes, known_edges, match_trace), "edges")
     return nodes, edges
 
@@ -280,3 +287,7 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
             break
         size = remaining
     return left
+
+
+def has_cycle(edges: DataFrame) -> bool:
+    return not cyclic_edges(edges).isEmpty()

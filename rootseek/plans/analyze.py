@@ -17,7 +17,7 @@ from ..functions.incidents import Incidents
 from ..operators import causal, codechange, domains, evidence as ev, graph, localize as loc, scoring, series, service
 from ..operators import assessments, spanfacts, spanwindow
 from ..params import DEFAULTS, Params
-from ..session import durable
+from ..session import durable, durable_all, together
 
 KEY = ["incident_id", "node_id"]
 
@@ -69,33 +69,41 @@ def gather(
     known_edges: DataFrame | None = None,
 ) -> Facts:
     inc = Incidents.of(incidents, params)
-    nodes, edges = graph.build_graph(spans, service_config, known_nodes, known_edges)
+    nodes = graph.known_or_found_nodes(spans, service_config, known_nodes)
     attached, missed = graph.attach_changes(changes, nodes)
-    stats = durable(series.series_stats(series.metric_cells(metrics, inc), inc), "stats")
-    window = durable(spanwindow.span_window(spans, inc), "window")
-    summary = durable(spanwindow.span_summary(window, inc), "summary")
     on_services = None
     if commits is not None:
         services = nodes.where("node_type = 'service'").select(F.col("node_id").alias("service_id"))
         on_services = commits.join(services, "service_id", "left_semi")
-    changed = durable(spanwindow.changed_nodes(attached, on_services, inc), "changed")
-    anomalies = series.anomalies(stats, inc)
-    base = durable(loc.base_candidates(anomalies, changed, nodes), "base")
+    t = durable_all(
+        edges=graph.discover_edges(spans, nodes, known_edges),
+        stats=series.series_stats(series.metric_cells(metrics, inc), inc),
+        window=spanwindow.span_window(spans, inc),
+        systems=graph.db_systems(spans),
+        changed=spanwindow.changed_nodes(attached, on_services, inc),
+    )
+    anomalies = series.anomalies(t["stats"], inc)
+    t |= durable_all(
+        summary=spanwindow.span_summary(t["window"], inc),
+        base=loc.base_candidates(anomalies, t["changed"], nodes),
+        impact=series.observed_impact(t["stats"], inc),
+        weights=series.edge_weights(metrics, t["edges"], t["stats"], inc),
+    )
     return Facts(
         inc=inc,
         nodes=nodes,
-        edges=edges,
-        systems=durable(graph.db_systems(spans), "systems"),
+        edges=t["edges"],
+        systems=t["systems"],
         changes=attached,
-        stats=stats,
-        impact=durable(series.observed_impact(stats, inc), "impact"),
-        weights=durable(series.edge_weights(metrics, edges, stats, inc), "weights"),
-        window=window,
-        summary=summary,
-        signals=durable(spanwindow.node_signals(summary, stats, changed), "signals"),
-        base=base,
+        stats=t["stats"],
+        impact=t["impact"],
+        weights=t["weights"],
+        window=t["window"],
+        summary=t["summary"],
+        signals=durable(spanwindow.node_signals(t["summary"], t["stats"], t["changed"]), "signals"),
+        base=t["base"],
         anomalies=anomalies,
-        rejects=missed.unionByName(loc.unplaced(base, nodes)),
+        rejects=missed.unionByName(loc.unplaced(t["base"], nodes)),
     )
 
 
@@ -150,18 +158,24 @@ def examine(
     of = lambda t: ranked.where(F.col("node_type") == t).select(*KEY)
     svc, dbs, deps = of("service"), of("database"), of("external_dep")
 
-    code = durable(
-        service.code_facts(svc, facts.window, facts.changes, facts.nodes, inc, commits, functions, replies), "code"
+    code, settings, db, dep = together(
+        lambda: durable(
+            service.code_facts(svc, facts.window, facts.changes, facts.nodes, inc, commits, functions, replies), "code"
+        ),
+        lambda: durable(service.setting_changes(svc, facts.changes, inc), "settings"),
+        lambda: durable(
+            domains.database_facts(
+                dbs, facts.window, facts.summary, facts.stats, facts.systems, facts.edges, inc
+            ),
+            "db",
+        ),
+        lambda: durable(domains.dependency_facts(deps, facts.window, facts.edges, inc), "dep"),
     )
-    settings = durable(service.setting_changes(svc, facts.changes, inc), "settings")
     both = durable(
         ev_union(service.code_evidence(code, inc), service.config_evidence(code, settings, inc, replies)), "service-evidence"
     )
     arbitrated = durable(service.arbitrate(code, settings, both, inc), "arbitrated")
-
-    db = durable(domains.database_facts(dbs, facts.window, facts.summary, facts.stats, facts.systems, facts.edges, inc), "db")
     db_evidence = domains.database_evidence(db, inc)
-    dep = durable(domains.dependency_facts(deps, facts.window, facts.edges, inc), "dep")
     dep_evidence = domains.dependency_evidence(dep, inc)
 
     first = lambda df: df.withColumn("engine_pos", F.lit(0))
@@ -212,10 +226,10 @@ def conclude(
     replies: DataFrame | None = None,
 ) -> Analysis:
     inc = facts.inc
-    cyclic = not graph.cyclic_edges(facts.edges).isEmpty()
-    ranked = hints = None
-    if not cyclic:
-        ranked, hints, _ = reason(facts)
+    # The loop ends on any graph, so it need not wait for the cycle test.
+    cyclic, (ranked, hints, _) = together(lambda: graph.has_cycle(facts.edges), lambda: reason(facts))
+    if cyclic:
+        ranked = hints = None
     if ranked is None:
         # nothing to examine: keep the tables, but empty
         seed = facts.base.limit(0).join(facts.nodes.select("node_id", "node_type"), "node_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,18 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(scratch_dir(df.sparkSession), "rootseek", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(*steps: Callable):
+    """Run independent steps at the same time; Spark interleaves their jobs.
+
+    Keeps the executors busy when single steps are too small to fill them.
+    """
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        return [f.result() for f in [pool.submit(step) for step in steps]]
+
+
+def durable_all(**tables: DataFrame) -> dict[str, DataFrame]:
+    """``durable`` for several independent tables at once."""
+    written = together(*[lambda n=n, d=d: durable(d, n) for n, d in tables.items()])
+    return dict(zip(tables, written))
