@@ -26,10 +26,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def failure_severity(candidates: DataFrame, impact: DataFrame, inc: Incidents) -> DataFrame:
     """Severity in [0, 1] from the candidate's own observed impact."""
     p = inc.params
-    err = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("error_rate") / 100))
-    lat = F.greatest(
-        F.lit(0.0), F.least(F.lit(1.0), (F.col("latency_multiplier") - 1) / p.latency_factor)
-    )
+    # unobserved nodes carry no signal (least and greatest would skip a NULL)
+    raw_err = F.coalesce(F.col("error_rate") / 100, F.lit(0.0))
+    raw_lat = F.coalesce((F.col("latency_multiplier") - 1) / p.latency_factor, F.lit(0.0))
+    err = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw_err))
+    lat = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw_lat))
     worst = F.greatest(err, lat)
     return (
         candidates.select("incident_id", "node_id")

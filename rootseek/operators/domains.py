@@ -98,12 +98,12 @@ def database_facts(
         .withColumn("system", F.coalesce("db_system", F.lit("")))
         .withColumn("latency_known", known)
         .withColumn("has_latency_baseline", F.col("lat_base").isNotNull())
-        .withColumn("latency_z", F.when(known, (F.col("lat_now") - F.col("lat_base")) / F.greatest("lat_std", F.lit(p.std_floor))).otherwise(0.0))
+        .withColumn("latency_z", F.when(known, (F.col("lat_now") - F.col("lat_base")) / F.col("lat_std")).otherwise(0.0))
         .withColumn("latency_ms", F.coalesce("lat_now", F.lit(0.0)))
         .withColumn("latency_base", F.coalesce("lat_base", F.lit(0.0)))
         .withColumn("error_pct", F.when(F.col("spans") > 0, F.col("errors") / F.col("spans") * 100).otherwise(0.0))
         .withColumn("error_base", F.coalesce("err_base", F.lit(0.0)))
-        .withColumn("error_z", (F.col("error_pct") - F.col("error_base")) / F.coalesce(F.greatest("err_std", F.lit(p.std_floor)), F.lit(1.0)))
+        .withColumn("error_z", (F.col("error_pct") - F.col("error_base")) / F.coalesce(F.col("err_std"), F.lit(1.0)))
         .withColumn(
             "family",
             F.when(F.col("system").isin(*RELATIONAL_SYSTEMS), "relational")

@@ -76,13 +76,12 @@ def series_stats(cells: DataFrame, inc: Incidents) -> DataFrame:
 
     Baseline columns cover samples before the start (population deviation,
     floored), ``cur_*`` the half-open and ``obs_*`` the closed incident window.
-    Variances are merged around the overall mean of the series.
+    Variances are merged around the level the series starts at, which keeps
+    their digits when the values are large or jump during an incident.
     """
     p = inc.params
-    whole = W.partitionBy(*SERIES)
-    shifted = cells.withColumn(
-        "pivot", F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)
-    )
+    by_time = W.partitionBy(*SERIES).orderBy("chunk", "part")
+    shifted = cells.withColumn("pivot", F.first("mean").over(by_time))
     pre, cur, obs = _before(), _during(False), _during(True)
     shift = F.col("mean") - F.col("pivot")
     total = F.col("n") * F.col("mean")
