@@ -22,6 +22,7 @@ class Incidents:
     count: int
     first_us: int | None
     last_us: int | None
+    most_wanted: int  # largest top_k
     params: Params = DEFAULTS
 
     @classmethod
@@ -31,12 +32,13 @@ class Incidents:
             "incident_start",
             (F.col("top_k") if "top_k" in df.columns else F.lit(params.top_k)).cast("int").alias("top_k"),
         )
-        n, lo, hi = cols.agg(
+        n, lo, hi, k = cols.agg(
             F.count(F.lit(1)),
             F.min(F.unix_micros("incident_start")),
             F.max(F.unix_micros("incident_start")),
+            F.max("top_k"),
         ).first()
-        return cls(cols, n, lo, hi, params)
+        return cls(cols, n, lo, hi, k or params.top_k, params)
 
     def windows(self) -> DataFrame:
         end = F.col("incident_start") + F.make_dt_interval(secs=F.lit(self.params.window_seconds))
@@ -68,7 +70,8 @@ def in_window(
     so that the scan prunes files and row groups.
     """
     if inc.count == 0 or inc.first_us is None:
-        return events.join(inc.df.select("incident_id", "incident_start"), F.lit(False), "inner")
+        none = events.where(F.lit(False))
+        return none.withColumn("incident_id", F.lit("")).withColumn("incident_start", F.lit(None).cast("timestamp"))
     lo = F.col("incident_start") - F.make_dt_interval(secs=F.lit(before_seconds))
     hi = F.col("incident_start") + F.make_dt_interval(secs=F.lit(after_seconds))
     width = max(before_seconds + after_seconds, 60)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.incidents import Incidents, in_window
 from ..functions.text import basename, frames_of
+from ..functions.variants import once
 from ..session import durable
 
 KEY = ["incident_id", "node_id"]
@@ -46,17 +47,18 @@ def diff_lines(files: DataFrame) -> DataFrame:
     a removed line carries the new-file position it was removed at.
     """
     pieces = F.split("raw_diff", LINE_BREAK)
-    trimmed = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+    kept = F.col("pieces")
+    trimmed = F.when(F.element_at(kept, -1) == "", F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
     line = F.col("line")
     in_file = W.partitionBy(*FILE).orderBy("pos")
     in_hunk = W.partitionBy(*FILE, "hunk").orderBy("pos")
     earlier = in_hunk.rowsBetween(W.unboundedPreceding, -1)
     header = line.startswith("@@")
     number = lambda g: F.regexp_extract(line, HUNK, g).try_cast("int")
+    readable = file_changes(files).where("language <> 'unknown' AND change_type IN ('modified', 'added')")
     lines = (
-        file_changes(files)
-        .where("language <> 'unknown' AND change_type IN ('modified', 'added')")
-        .select(*FILE, "ord", F.posexplode(trimmed).alias("pos", "line"))
+        once(once(readable, *FILE, "ord", pieces=pieces), *FILE, "ord", kept=trimmed)
+        .select(*FILE, "ord", F.posexplode("kept").alias("pos", "line"))
         .withColumn("hunk", F.sum(header.cast("int")).over(in_file))
         .where("hunk > 0")
     )
@@ -197,10 +199,12 @@ def error_frames(window: DataFrame, of: DataFrame) -> DataFrame:
     """Stack frames of error spans of the given (incident, node) pairs."""
     own = F.transform(F.col("exceptions"), lambda x: x["stacktrace"])
     traces = F.concat(F.coalesce(own, F.array().cast("array<string>")), F.array("stacktrace"))
+    failing = window.where("is_error AND (exceptions IS NOT NULL OR stacktrace IS NOT NULL)").join(
+        of.select(*KEY).distinct(), KEY, "left_semi"
+    )
     return (
-        window.where("is_error AND (exceptions IS NOT NULL OR stacktrace IS NOT NULL)")
-        .join(of.select(*KEY).distinct(), KEY, "left_semi")
-        .select(*KEY, "span_id", "ord", F.posexplode(frames_of(traces)).alias("pos", "f"))
+        once(failing, *KEY, "span_id", "ord", frames=frames_of(traces))
+        .select(*KEY, "span_id", "ord", F.posexplode("frames").alias("pos", "f"))
         .select(
             *KEY, "span_id", "ord", "pos", "f.file_path", "f.function_name", "f.line_number",
             basename(F.col("f.file_path")).alias("base"),

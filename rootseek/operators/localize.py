@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.incidents import Incidents
 from ..params import ANOMALY_METRICS
@@ -197,14 +198,16 @@ def _reason() -> Column:
 
 
 def rank_candidates(candidates: DataFrame, scores: DataFrame, inc: Incidents) -> DataFrame:
-    """Best ``top_k`` candidates per incident by causal confidence."""
-    from pyspark.sql import Window as W
+    """Best ``top_k`` candidates per incident by causal confidence.
 
+    The literal bound lets Spark drop hopeless rows before the shuffle.
+    """
     order = W.partitionBy("incident_id").orderBy(F.desc(F.round("causal_confidence", 12)), "place")
     return (
         candidates.join(scores, KEY)
         .join(inc.df.select("incident_id", "top_k"), "incident_id")
         .withColumn("causal_rank", F.row_number().over(order))
+        .where(F.col("causal_rank") <= inc.most_wanted)
         .where("causal_rank <= top_k")
         .drop("top_k")
     )

@@ -18,6 +18,12 @@ from ..sources import changes as src_changes, commits as src_commits, lake, metr
 from . import analyze, views
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core; the small test files come as one each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Telemetry:
     """Views of one data directory and the tables derived from them.
 
@@ -39,7 +45,19 @@ class Telemetry:
 
     @cached_property
     def spans(self) -> DataFrame:
-        return durable(views.spans(self.spark, self.dir), "lake-spans")
+        return durable(spread(views.spans(self.spark, self.dir)), "lake-spans")
+
+    @cached_property
+    def raw_traces(self) -> DataFrame:
+        return durable(spread(views.raw_traces(self.spans)), "lake-raw-traces")
+
+    @cached_property
+    def raw_metrics(self) -> DataFrame:
+        return durable(spread(views.raw_metrics(self.metrics)), "lake-raw-metrics")
+
+    @cached_property
+    def raw_changes(self) -> DataFrame:
+        return durable(spread(views.raw_changes(self.changes)), "lake-raw-changes")
 
     @property
     def metrics(self) -> DataFrame:
@@ -73,11 +91,15 @@ class Telemetry:
 
     @cached_property
     def diffs(self) -> DataFrame:
-        return views.commit_diffs(self.spark, self.dir)
+        return durable(spread(views.commit_diffs(self.spark, self.dir)), "lake-diffs")
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return durable(views.symbols(self.diffs), "lake-symbols")
 
     @cached_property
     def functions(self) -> DataFrame:
-        return durable(codechange.function_changes(self.diffs, views.symbols(self.diffs)), "lake-functions")
+        return durable(codechange.function_changes(self.diffs, self.symbols), "lake-functions")
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -191,7 +213,7 @@ def fetch_metrics(t):
 
 @query
 def ingest_spans(t):
-    good, _ = traces.ingest_traces(views.raw_traces(t.spans), strict=True)
+    good, _ = traces.ingest_traces(t.raw_traces, strict=True)
     return good.select(
         "trace_id", "span_id", "parent_span_id", "service_id", "operation_name", "kind",
         F.unix_micros("start_time").alias("start_us"), "duration_ms", "otel_status_code", "http_status_code",
@@ -203,7 +225,7 @@ def ingest_spans(t):
 
 @query
 def ingest_metrics(t):
-    good, _ = src_metrics.ingest_metrics(views.raw_metrics(t.metrics))
+    good, _ = src_metrics.ingest_metrics(t.raw_metrics)
     return good.select(
         "node_id", "node_type", "metric_type", *r6("value"), F.unix_micros("timestamp").alias("ts_us"), "window_seconds", "unit", "ord"
     )
@@ -211,7 +233,7 @@ def ingest_metrics(t):
 
 @query
 def ingest_metrics_strict(t):
-    good, _ = src_metrics.ingest_metrics(views.raw_metrics(t.metrics), strict=True)
+    good, _ = src_metrics.ingest_metrics(t.raw_metrics, strict=True)
     return good.groupBy("node_id", "metric_type").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")
     )
@@ -219,7 +241,7 @@ def ingest_metrics_strict(t):
 
 @query
 def ingest_changes(t):
-    good, _ = src_changes.ingest_changes(views.raw_changes(t.changes), strict=True)
+    good, _ = src_changes.ingest_changes(t.raw_changes, strict=True)
     return good.select(
         "kind", "event_id", "service_id", F.unix_micros("timestamp").alias("ts_us"), "version", "change_type", "key",
         "old_value", "new_value", "author", "diff_summary", F.array_join("deploy_scope", ",").alias("scope"),
@@ -230,9 +252,9 @@ def ingest_changes(t):
 @query
 def ingest_rejects(t):
     bad = [
-        traces.ingest_traces(views.raw_traces(t.spans), strict=True)[1],
-        src_metrics.ingest_metrics(views.raw_metrics(t.metrics))[1],
-        src_changes.ingest_changes(views.raw_changes(t.changes))[1],
+        traces.ingest_traces(t.raw_traces, strict=True)[1],
+        src_metrics.ingest_metrics(t.raw_metrics)[1],
+        src_changes.ingest_changes(t.raw_changes)[1],
     ]
     return analyze.ev_union(*bad).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -536,7 +558,7 @@ def diff_lines(t):
 
 @query
 def function_changes(t):
-    return codechange.function_changes(t.diffs, views.symbols(t.diffs)).select(
+    return codechange.function_changes(t.diffs, t.symbols).select(
         "event_id", "file_path", "language", "function_name", "change_type", "start_line", "end_line", "old_code", "new_code"
     )
 
