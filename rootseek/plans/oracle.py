@@ -570,6 +570,40 @@ CHECKS = {
     "assessment_parse": """SELECT 'chg-' || o_orderkey AS ref_id, CASE o_orderkey % 7 WHEN 0 THEN 'likely' WHEN 1 THEN 'unlikely' ELSE 'uncertain' END AS assessment,
         CASE WHEN o_orderkey % 7 < 2 THEN 'r' || o_orderkey WHEN o_orderkey % 7 = 5 THEN 'unclear' ELSE 'parse error' END AS reasoning,
         CASE WHEN o_orderkey % 7 = 0 THEN 'a,' || o_custkey || ',True' ELSE '' END AS signals FROM orders""",
+    "assessment_requests": """
+        , firsts AS (SELECT node_id, arg_min(exc_type, ord) AS t, arg_min(exc_msg, ord) AS m FROM win WHERE err GROUP BY 1)
+        , newl AS (SELECT l_orderkey, new_line, text FROM dlines WHERE kind <> '-'), oldl AS (SELECT l_orderkey, old_at, text FROM dlines WHERE kind <> '+')
+        , spread AS (SELECT m.*, x.has_old, x.has_new, i, o.text AS old_text, n.text AS new_text
+           FROM (SELECT m.*, s.old_from, s.new_from, unnest(range(5)) AS i FROM matches m JOIN syms s USING (f)) m
+           JOIN funcs x ON x.l_orderkey = m.o_orderkey AND x.f = m.f AND (x.change_type = 'deleted') = m.del
+           LEFT JOIN oldl o ON o.l_orderkey = m.o_orderkey AND o.old_at = m.old_from + i
+           LEFT JOIN newl n ON n.l_orderkey = m.o_orderkey AND n.new_line = m.new_from + i)
+        , code AS (SELECT node_id, event_id, function_name, base, rank, line,
+                          CASE WHEN has_old THEN string_agg(coalesce(old_text, ''), chr(10) ORDER BY i) END AS old_code,
+                          CASE WHEN has_new THEN string_agg(coalesce(new_text, ''), chr(10) ORDER BY i) END AS new_code
+                   FROM spread GROUP BY node_id, event_id, function_name, base, rank, line, has_old, has_new)
+        , patterns AS (SELECT s.node_id, coalesce(arg_max(exc_type, (n, -first)), 'elevated error rate') AS p FROM services s LEFT JOIN exc USING (node_id) GROUP BY 1)
+        SELECT node_id AS service_id, 'deploy_exception' AS kind, event_id AS ref_id,
+               concat_ws(chr(10), 'Deploy diff summary: touches fn' || (o_orderkey % 8), 'Service: ' || node_id, 'Deploy version: v' || (o_orderkey % 10),
+                         'Exception type: ' || t, 'Exception message: ' || m) AS message
+        FROM deploys JOIN firsts USING (node_id) WHERE o_orderkey % 2 = 0 AND node_id IN (SELECT node_id FROM services)
+        UNION ALL
+        SELECT node_id, 'code_match', event_id,
+               concat_ws(chr(10), 'Service: ' || node_id, 'Function: ' || function_name, 'File: src/' || base,
+                         'Match type: ' || CASE rank WHEN 0 THEN 'exact_line' WHEN 1 THEN 'function_match' ELSE 'file_match' END,
+                         '', 'OLD CODE:', old_code, '', 'NEW CODE:', new_code, '', 'Exception type: ' || t, 'Exception at line: ' || line, 'Exception message: ' || m)
+        FROM code JOIN firsts USING (node_id) WHERE old_code <> '' AND new_code <> ''
+        UNION ALL
+        SELECT s.node_id, 'setting_change', event_id,
+               concat_ws(chr(10), CASE kind WHEN 'feature_flag' THEN 'Change type: feature_flag' ELSE 'Change type: config' END,
+                         CASE kind WHEN 'feature_flag' THEN 'Flag key: key' ELSE 'Config key: key' END || (o_orderkey % 20),
+                         'Old value: ' || o_orderstatus, 'New value: x' || (o_orderkey % 3), 'Error pattern: ' || p)
+        FROM settings s JOIN patterns USING (node_id) WHERE place <= 3""",
+    "narrative_requests": """
+        SELECT 'inc-1' AS incident_id, (c.items + 9)::INTEGER AS narrative_lines,
+               concat_ws(chr(10), 'Recommend a fix for this production incident.', 'Incident ID: inc-1', 'Root cause: ' || c.node_id || ' (' || n.node_type || ')',
+                         'Domain: ' || domain, 'Failure type: ' || failure_type, 'Confidence: ' || cents || '%') AS fix_head
+        FROM causes c JOIN nodes n USING (node_id) WHERE c.score_rank = (SELECT min(score_rank) FROM causes)""",
     "score": """SELECT node_id, domain, failure_type, (cents / 100)::DOUBLE AS domain_confidence, items AS evidence_count, strong AS strong_count,
         score_rank::INTEGER AS score_rank, it::INTEGER AS iteration FROM scored""",
     "multi_factor": """SELECT len(domains) >= 2 AS multi_factor_flagged, (CASE WHEN len(domains) >= 2 THEN 0.5 ELSE 0.0 END)::DOUBLE AS residual_unexplained,
