@@ -60,7 +60,7 @@ def forward_simulation(severities: DataFrame, edges: DataFrame, weights: DataFra
         F.col("severity").cast("double").alias("severity"),
         F.array().cast("array<bigint>").alias("path"),
     )
-    levels = [durable(front, "front")]
+    levels = [front]
     while True:
         step = (
             levels[-1]
@@ -110,29 +110,36 @@ def simple_paths(seeds: DataFrame, edges: DataFrame, inc: Incidents) -> DataFram
     return _union(found)
 
 
-def counterfactual(candidates: DataFrame, edges: DataFrame, impact: DataFrame, inc: Incidents) -> DataFrame:
+def sick_calls(edges: DataFrame, impact: DataFrame) -> DataFrame:
+    """Calls between anomalous nodes, with the number each caller has."""
+    sick = impact.where("is_anomalous").select("incident_id", "node_id")
+    links = (
+        edges.select("source_id", F.col("target_id").alias("node_id"))
+        .join(sick, "node_id")
+        .join(sick.withColumnRenamed("node_id", "source_id"), ["incident_id", "source_id"], "left_semi")
+    )
+    needs = links.groupBy("incident_id", "source_id").agg(F.count(F.lit(1)).alias("needed"))
+    return links.join(needs, ["incident_id", "source_id"])
+
+
+def counterfactual(
+    candidates: DataFrame, edges: DataFrame, impact: DataFrame, inc: Incidents, links: DataFrame | None = None
+) -> DataFrame:
     """How much of the anomaly remains explained once a candidate is removed.
 
     Grows, per candidate, the set of anomalous nodes that only it explains: a
     node joins when it calls anomalous nodes and all of those are already in
     the set. On a DAG everything else stays reachable from another root, so
     the small unexplained set is tracked and not the large explained one.
+    ``links`` is the written ``sick_calls`` table when the caller has it.
     """
     p = inc.params
     sick = impact.where("is_anomalous").select("incident_id", "node_id")
     total = sick.groupBy("incident_id").agg(F.count(F.lit(1)).alias("total"))
-    links = (
-        edges.select("source_id", F.col("target_id").alias("node_id"))
-        .join(sick, "node_id")
-        .join(sick.withColumnRenamed("node_id", "source_id"), ["incident_id", "source_id"], "left_semi")
-    )
-    needs = links.groupBy("incident_id", "source_id").agg(F.count(F.lit(1)).alias("needed"))
-    links = durable(links.join(needs, ["incident_id", "source_id"]), "sick-calls")
-    lost = durable(
-        candidates.select("incident_id", F.col("node_id").alias("candidate_id"), "node_id").join(
-            sick, ["incident_id", "node_id"], "left_semi"
-        ),
-        "lost",
+    if links is None:
+        links = durable(sick_calls(edges, impact), "sick_calls")
+    lost = candidates.select("incident_id", F.col("node_id").alias("candidate_id"), "node_id").join(
+        sick, ["incident_id", "node_id"], "left_semi"
     )
     sets = [lost.select(*STATE)]
     while not sets[-1].isEmpty():
@@ -204,14 +211,15 @@ def fit_scores(predicted: DataFrame, impact: DataFrame, inc: Incidents) -> DataF
 
 
 def causal_scores(
-    candidates: DataFrame, edges: DataFrame, weights: DataFrame, impact: DataFrame, inc: Incidents
+    candidates: DataFrame, edges: DataFrame, weights: DataFrame, impact: DataFrame, inc: Incidents,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """Fit, counterfactual and causal confidence per (incident, candidate)."""
     p = inc.params
     severities = failure_severity(candidates, impact, inc)
     predicted, cf = together(
         lambda: forward_simulation(severities, edges, weights, inc),
-        lambda: counterfactual(candidates, edges, impact, inc),
+        lambda: counterfactual(candidates, edges, impact, inc, links),
     )
     fit = fit_scores(predicted, impact, inc)
     return fit.join(cf, ["incident_id", "node_id"]).withColumn(

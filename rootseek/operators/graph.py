@@ -29,9 +29,16 @@ def _filled(key: str) -> Column:
     return F.nullif(_attr(key), F.lit(""))
 
 
-def call_targets(spans: DataFrame) -> DataFrame:
-    """Spans with the dependency their attributes name, if any."""
-    client, producer = F.col("kind") == "client", F.col("kind") == "producer"
+def call_facts(spans: DataFrame) -> DataFrame:
+    """The narrow columns the graph needs, read from the attribute maps once.
+
+    A span may name the dependency it calls (``target_id``, ``target_type``)
+    and, by slightly different fields, the other end of an edge (``other_id``).
+    All graph operators accept spans or this table; write it when several of
+    them run over a large span table.
+    """
+    kind = F.col("kind")
+    client, producer, consumer = kind == "client", kind == "producer", kind == "consumer"
     db = _has("db.system", "db.name", "db.namespace")
     queue = _has("messaging.system", "messaging.destination", "messaging.destination.name")
     target_type = (
@@ -40,20 +47,44 @@ def call_targets(spans: DataFrame) -> DataFrame:
         .when(client & _has("peer.service"), "external_dep")
         .when(producer, "queue")
     )
-    target_id = (
-        F.when(
-            target_type == "database",
-            F.coalesce(_filled("db.name"), _filled("db.namespace"), F.concat("service_id", F.lit("-db"))),
-        )
-        .when(
-            target_type == "queue",
-            F.coalesce(
-                _filled("messaging.destination"), _filled("messaging.destination.name"), F.lit("unknown-queue")
-            ),
-        )
+    database_id = F.coalesce(_filled("db.name"), _filled("db.namespace"), F.concat("service_id", F.lit("-db")))
+    queue_id = F.coalesce(
+        _filled("messaging.destination"), _filled("messaging.destination.name"), F.lit("unknown-queue")
+    )
+    channel = F.coalesce(_attr("messaging.destination"), F.lit("unknown-queue"))
+    callee = F.coalesce(_attr("db.name"), _attr("messaging.destination"), _attr("peer.service"))
+    writes = F.upper(F.coalesce(_attr("db.operation"), F.lit(""))).isin(*WRITE_OPERATIONS)
+    return spans.select(
+        "trace_id",
+        "span_id",
+        "parent_span_id",
+        "service_id",
+        "kind",
+        "ord",
+        target_type.alias("target_type"),
+        F.when(target_type == "database", database_id)
+        .when(target_type == "queue", queue_id)
         .when(target_type == "external_dep", _attr("peer.service"))
+        .alias("target_id"),
+        F.when(producer | consumer, channel).when(client, F.nullif(callee, F.lit(""))).alias("other_id"),
+        F.when(producer, "publishes_to")
+        .when(consumer, "subscribes_to")
+        .when(_has("db.system") & writes, "writes_to")
+        .when(_has("db.system"), "reads_from")
+        .otherwise("calls")
+        .alias("edge_type"),
+        F.coalesce(_attr("http.scheme"), _attr("rpc.system"), F.lit("unknown")).alias("protocol"),
+        _attr("db.system").alias("db_system"),
+        _attr("db.version").alias("db_version"),
+        _attr("messaging.system").alias("queue_system"),
+        _filled("messaging.destination").alias("topic"),
+        F.coalesce(_filled("server.address"), _filled("net.peer.name")).alias("address"),
+        F.nullif(F.col("resource_attributes")["deployment.environment"], F.lit("")).alias("environment"),
     )
-    return spans.withColumn("target_type", target_type).withColumn("target_id", target_id)
+
+
+def _facts(spans: DataFrame) -> DataFrame:
+    return spans if "other_id" in spans.columns else call_facts(spans)
 
 
 def discover_nodes(spans: DataFrame, known_nodes: DataFrame | None = None) -> DataFrame:
@@ -72,7 +103,7 @@ def discover_nodes(spans: DataFrame, known_nodes: DataFrame | None = None) -> Da
         F.col("target_type").alias("node_type"),
     )
     mentions = (
-        call_targets(spans)
+        _facts(spans)
         .withColumn(
             "m",
             F.explode(
@@ -84,14 +115,12 @@ def discover_nodes(spans: DataFrame, known_nodes: DataFrame | None = None) -> Da
             F.struct(
                 (F.col("ord") * 2 + F.col("m.sub")).alias("ord"),
                 kind.alias("node_type"),
-                when("database", F.coalesce(_attr("db.system"), F.lit("unknown"))).alias("db_type"),
-                when("database", _attr("db.version")).alias("db_version"),
-                when("queue", F.coalesce(_attr("messaging.system"), F.lit("unknown"))).alias("queue_type"),
-                when("external_dep", F.coalesce(_filled("server.address"), _filled("net.peer.name"))).alias("endpoint"),
-                when(
-                    "service", F.nullif(F.col("resource_attributes")["deployment.environment"], F.lit(""))
-                ).alias("env"),
-                when("queue", F.array_compact(F.array(_filled("messaging.destination")))).alias("topics"),
+                when("database", F.coalesce("db_system", F.lit("unknown"))).alias("db_type"),
+                when("database", F.col("db_version")).alias("db_version"),
+                when("queue", F.coalesce("queue_system", F.lit("unknown"))).alias("queue_type"),
+                when("external_dep", F.col("address")).alias("endpoint"),
+                when("service", F.col("environment")).alias("env"),
+                when("queue", F.array_compact(F.array("topic"))).alias("topics"),
             ).alias("first"),
         )
     )
@@ -116,37 +145,17 @@ def discover_nodes(spans: DataFrame, known_nodes: DataFrame | None = None) -> Da
 
 def _edge_candidates(spans: DataFrame) -> DataFrame:
     """Edges that a span states by itself, before any existence check."""
-    kind = F.col("kind")
-    dest = F.coalesce(_attr("messaging.destination"), F.lit("unknown-queue"))
-    client_target = F.coalesce(_attr("db.name"), _attr("messaging.destination"), _attr("peer.service"))
-    writes = F.upper(F.coalesce(_attr("db.operation"), F.lit(""))).isin(*WRITE_OPERATIONS)
+    consumer = F.col("kind") == "consumer"
     return (
-        spans.where(kind.isin("client", "producer", "consumer"))
+        spans.where("other_id IS NOT NULL AND other_id <> service_id")
         .select(
-            F.when(kind == "consumer", dest).otherwise(F.col("service_id")).alias("source_id"),
-            F.when(kind == "consumer", F.col("service_id"))
-            .when(kind == "producer", dest)
-            .otherwise(F.nullif(client_target, F.lit("")))
-            .alias("target_id"),
-            F.struct(
-                (F.col("ord") * 2).alias("ord"),
-                F.when(kind == "producer", "publishes_to")
-                .when(kind == "consumer", "subscribes_to")
-                .when(_has("db.system") & writes, "writes_to")
-                .when(_has("db.system"), "reads_from")
-                .otherwise("calls")
-                .alias("edge_type"),
-                _protocol().alias("protocol"),
-            ).alias("first"),
+            F.when(consumer, F.col("other_id")).otherwise(F.col("service_id")).alias("source_id"),
+            F.when(consumer, F.col("service_id")).otherwise(F.col("other_id")).alias("target_id"),
+            F.struct((F.col("ord") * 2).alias("ord"), "edge_type", "protocol").alias("first"),
         )
-        .where("target_id IS NOT NULL AND source_id <> target_id")
     )
 
 
-def _protocol() -> Column:
-    return F.coalesce(_attr("http.scheme"), _attr("rpc.system"), F.lit("unknown"))
-
-
 def parent_calls(spans: DataFrame, match_trace: bool = False) -> DataFrame:
     """Calls between services implied by parent links.
 
@@ -155,6 +164,7 @@ def parent_calls(spans: DataFrame, match_trace: bool = False) -> DataFrame:
     that occurs twice resolves to its last occurrence.
     """
     trace = ["trace_id"] if match_trace else []
+    spans = _facts(spans)
     parents = spans.groupBy(*trace, F.col("span_id").alias("parent_span_id")).agg(
         F.max_by("service_id", "ord").alias("source_id")
     )
@@ -166,7 +176,7 @@ def parent_calls(spans: DataFrame, match_trace: bool = False) -> DataFrame:
                 F.struct(
                     (F.col("ord") * 2 + 1).alias("ord"),
                     F.lit("calls").alias("edge_type"),
-                    _protocol().alias("protocol"),
+                    "protocol",
                 )
             ).alias("first")
         )
@@ -186,6 +196,7 @@ def discover_edges(
 ) -> DataFrame:
     """One row per (source, target) between known nodes; first mention wins."""
     ids = nodes.select("node_id")
+    spans = _facts(spans)
     found = (
         _edge_candidates(spans)
         .unionByName(parent_calls(spans, match_trace))
@@ -240,9 +251,9 @@ def attach_changes(changes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
 
 def db_systems(spans: DataFrame) -> DataFrame:
     """First non-empty db.system a node's own spans carry, lower-cased."""
-    value = _filled("db.system")
+    value = F.col("db_system")
     return (
-        spans.where(value.isNotNull())
+        _facts(spans).where("db_system <> ''")
         .groupBy(F.col("service_id").alias("node_id"))
         .agg(F.min_by(F.lower(value), "ord").alias("db_system"))
     )

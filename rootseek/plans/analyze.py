@@ -48,6 +48,7 @@ class Facts:
     changes: DataFrame
     stats: DataFrame
     impact: DataFrame
+    sick_calls: DataFrame
     weights: DataFrame
     window: DataFrame
     summary: DataFrame
@@ -69,17 +70,18 @@ def gather(
     known_edges: DataFrame | None = None,
 ) -> Facts:
     inc = Incidents.of(incidents, params)
-    nodes = graph.known_or_found_nodes(spans, service_config, known_nodes)
+    calls = durable(graph.call_facts(spans), "calls")
+    nodes = graph.known_or_found_nodes(calls, service_config, known_nodes)
     attached, missed = graph.attach_changes(changes, nodes)
     on_services = None
     if commits is not None:
         services = nodes.where("node_type = 'service'").select(F.col("node_id").alias("service_id"))
         on_services = commits.join(services, "service_id", "left_semi")
     t = durable_all(
-        edges=graph.discover_edges(spans, nodes, known_edges),
+        edges=graph.discover_edges(calls, nodes, known_edges),
         stats=series.series_stats(series.metric_cells(metrics, inc), inc),
         window=spanwindow.span_window(spans, inc),
-        systems=graph.db_systems(spans),
+        systems=graph.db_systems(calls),
         changed=spanwindow.changed_nodes(attached, on_services, inc),
     )
     anomalies = series.anomalies(t["stats"], inc)
@@ -89,6 +91,10 @@ def gather(
         impact=series.observed_impact(t["stats"], inc),
         weights=series.edge_weights(metrics, t["edges"], t["stats"], inc),
     )
+    t |= durable_all(
+        signals=spanwindow.node_signals(t["summary"], t["stats"], t["changed"]),
+        sick_calls=causal.sick_calls(t["edges"], t["impact"]),
+    )
     return Facts(
         inc=inc,
         nodes=nodes,
@@ -100,7 +106,8 @@ def gather(
         weights=t["weights"],
         window=t["window"],
         summary=t["summary"],
-        signals=durable(spanwindow.node_signals(t["summary"], t["stats"], t["changed"]), "signals"),
+        signals=t["signals"],
+        sick_calls=t["sick_calls"],
         base=t["base"],
         anomalies=anomalies,
         rejects=missed.unionByName(loc.unplaced(t["base"], nodes)),
@@ -127,7 +134,10 @@ def reason(facts: Facts) -> tuple[DataFrame | None, DataFrame | None, DataFrame
         new = candidates if scores is None else candidates.join(scores, KEY, "left_anti")
         if scores is None or not new.isEmpty():
             fresh = durable(
-                causal.causal_scores(new.select(*KEY), facts.edges, facts.weights, facts.impact, inc), "scores"
+                causal.causal_scores(
+                    new.select(*KEY), facts.edges, facts.weights, facts.impact, inc, facts.sick_calls
+                ),
+                "scores",
             )
             scores = fresh if scores is None else scores.unionByName(fresh)
         batch = durable(
