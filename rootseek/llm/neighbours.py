@@ -136,7 +136,7 @@ def nearest(
     lanes = max(1, -(-queries.count() // lane_queries))
     lane = F.pmod(F.xxhash64("id", "vec"), F.lit(lanes)).cast("int")
     numbers = shards.select("dim", "shard")
-    left = queries.withColumn("lane", lane).join(numbers, "dim").select("dim", "shard", "lane", "id", "vec")
+    left = queries.withColumn("lane", lane).join(numbers, "dim").select(F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard"), F.col("lane").alias("q_lane"), "id", "vec")
     right = shards.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
 
     def cell(key: tuple[pa.Scalar, ...], asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -154,6 +154,6 @@ def nearest(
         })
 
     keys = ("dim", "shard", "lane")
-    part = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, "query_id long, vec_id long, score double, verified long")
+    part = left.groupBy(*[f"q_{k}" for k in keys]).cogroup(right.groupBy(*keys)).applyInArrow(cell, "query_id long, vec_id long, score double, verified long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
