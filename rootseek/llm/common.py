@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +14,25 @@ from pyspark.sql import functions as F
 
 from rootseek.session import durable
 
-__all__ = ["durable", "read", "arrow_rows", "per_partition", "partition_offsets", "ceil_div"]
+__all__ = ["durable", "read", "ship", "arrow_rows", "per_partition", "partition_offsets", "ceil_div"]
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Have Spark send this package to the workers, wherever the driver found it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="rootseek-"), "rootseek.zip")  # Spark serves it from the driver
+        with zipfile.ZipFile(target, "w") as z:
+            for folder, _, names in os.walk(top):
+                for name in names:
+                    if name.endswith(".py"):
+                        z.write(os.path.join(folder, name), os.path.join("rootseek", os.path.relpath(os.path.join(folder, name), top)))
+        spark.sparkContext.addPyFile(target)
+    return spark
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +52,8 @@ def arrow_rows(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch
 
 
 def per_partition(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` under one name, so that all operators read alike."""
+    """``mapInArrow`` with this package at hand on the workers."""
+    ship(df.sparkSession)
     return df.mapInArrow(work, schema)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootseek.llm import language, maintext, neighbours, packing, sentencepieces, tokencount, tokenfiles, topk
+from rootseek.llm import jaccard, language, maintext, neighbours, packing, sentencepieces, tokencount, tokenfiles, topk
 from rootseek.llm.common import read
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -51,11 +51,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"), percent=85, width=4)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_token_files, op4_nearest, op6_main_text, op7_token_counts, op8_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_token_files, op4_nearest, op6_main_text, op7_token_counts, op8_language, op9_similar_documents, op10_packing)}
 
 # Vectors meet in SQL as pairs; quadratic, yet small enough at the scale of the checks.
 ORACLE = {

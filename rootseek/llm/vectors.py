@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootseek.llm.common import ceil_div
+from rootseek.llm.common import ceil_div, ship
 
 #: Rows of a shard and queries of a lane, on average.
 SHARD_ROWS, LANE_QUERIES = 8192, 16384
@@ -21,6 +21,7 @@ SHARD_ROWS, LANE_QUERIES = 8192, 16384
 
 def valid(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec array<double>, dim) of rows whose id is given and whose components are all finite."""
+    ship(rows.sparkSession)
     vec = F.col(vec_col).cast("array<double>")
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(
