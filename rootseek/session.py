@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +19,8 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
-_local_dirs: dict[str, str] = {}
+# Lists that take the folders of written tables while a ``written_here`` block is open.
+_open_lists: list[list[str]] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -30,21 +31,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for written intermediate tables.
+    """Shared folder for written intermediate tables, named by ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master,
-    where driver and executors share one disk, may fall back to a folder of
-    its own.
+    There is no fallback: a folder made up here might be local to one machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="rootseek-")
-    return _local_dirs[app]
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -53,11 +47,39 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage, survives the loss of executors, and gives the planner
     true file sizes for its join choices.
     """
-    path = os.path.join(scratch_dir(df.sparkSession), "rootseek", f"{label}-{uuid.uuid4().hex}")
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own under the shared one."""
+    path = os.path.join(scratch_dir(spark), "rootseek", f"{label}-{uuid.uuid4().hex}")
+    for folders in _open_lists:
+        folders.append(path)
+    return path
+
+
+@contextmanager
+def written_here():
+    """The folders written inside the block, for ``delete`` once their readers are done."""
+    folders: list[str] = []
+    _open_lists.append(folders)
+    try:
+        yield folders
+    finally:
+        _open_lists[:] = [x for x in _open_lists if x is not folders]
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Remove written tables, through the store that holds them."""
+    jvm = spark._jvm
+    for path in folders:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    folders.clear()
+
+
 def together(*steps: Callable):
     """Run independent steps at the same time; Spark interleaves their jobs.
 
