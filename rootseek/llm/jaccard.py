@@ -27,6 +27,7 @@ empty result; columns other than the two named ones are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,12 +117,13 @@ def _prefixes(sent, width: int, percent: int):
         levels = sent.value
         for batch in batches:
             sizes, keys, heads = [], [], []
+            texts = [text_key(t) for t in batch.column(1).to_pylist()]
             for found in shingles.sets(batch.column(1).to_pylist(), width):
                 order = np.lexsort((found, levels[(found % np.uint64(SKETCH)).astype(np.int64)]))
                 sizes.append(len(found))
                 keys.append(set_key(found))
                 heads.append(found[order[: prefix_size(len(found), percent)]].tobytes())
-            yield arrow_rows({"id": (batch.column(0), None), "n": (sizes, pa.int32()), "gid": (keys, pa.int64()), "head": (heads, pa.binary())})
+            yield arrow_rows({"id": (batch.column(0), None), "tid": (texts, pa.int64()), "n": (sizes, pa.int32()), "gid": (keys, pa.int64()), "head": (heads, pa.binary())})
 
     return work
 
@@ -240,10 +242,10 @@ def passing(df: DataFrame, col: str, bits: np.ndarray) -> DataFrame:
             bit = batch.column(at).to_numpy()
             yield pa.RecordBatch.from_arrays(batch.columns[:at], names=batch.schema.names[:at]).filter(pa.array((words[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
 
-    return per_partition(marked, work, _ddl(df))
+    return per_partition(marked, work, ddl(df))
 
 
-def _ddl(df: DataFrame) -> str:
+def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
@@ -309,11 +311,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 # --- the join ---------------------------------------------------------------
 def similar_groups(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """((id, n, gid) of every document, (gid, comp) of every group with a link). ``docs``: id, text."""
+    """((id, tid, n, gid) of every document, (gid, comp) of every group with a link). ``docs``: id, text."""
     sc = docs.sparkSession.sparkContext
     levels, total = frequency_levels(docs, width)
     sent = sc.broadcast(levels)
-    heads = durable(per_partition(docs, _prefixes(sent, width, percent), "id long, n int, gid long, head binary"), "prefixes")
+    heads = durable(per_partition(docs, _prefixes(sent, width, percent), "id long, tid long, n int, gid long, head binary"), "prefixes")
     buckets = max(sc.defaultParallelism, ceil_div(total * (100 - percent) // 100 + 1, BUCKET_ENTRIES))
     frequent = min(255, int(LEVELS * np.log2(1 + FREQUENT + 4 * total / SKETCH)))
     packed = per_partition(heads.where("n > 0").select("gid", "n", "head"), _route(sent, buckets, frequent), "bucket int, token binary, gid binary, n binary, pos binary")
@@ -354,7 +356,7 @@ def similar_groups(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame
         comps = components(links)
         if last:
             break
-    return heads.select("id", "n", "gid"), comps
+    return heads.select("id", "tid", "n", "gid"), comps
 
 
 def passing_ids(heads: DataFrame, entries: DataFrame):
@@ -365,6 +367,11 @@ def passing_ids(heads: DataFrame, entries: DataFrame):
     return lambda docs: passing(docs, "id", bits).select("text")
 
 
+def text_key(text: str | None) -> int:
+    """64 bits for a whole text."""
+    return int.from_bytes(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document; the component is its smallest id.
 
@@ -376,3 +383,36 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_
     least = placed.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
     whole = placed.where("n > 0").join(least, "comp").select("id", "n", "least").union(placed.where("n = 0").select("id", "n", F.col("id").alias("least")))
     return whole.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs``, which has a column text, with the text's key ``tid`` in front."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.int64()), *batch.columns], names=["tid", *batch.schema.names])
+
+    return per_partition(docs, work, "tid long, " + ddl(docs))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the smallest id, then the smallest text key.
+
+    Rows without words all stay. Rows are told apart by id and text; of rows that
+    agree in both one stays. Documents that stay are not shuffled.
+    """
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found, comps = similar_groups(plain.select("id", "text"), percent, width)
+    worded = found.where("n > 0").join(comps.withColumnRenamed("node", "gid"), "gid", "left").select("id", "tid", F.coalesce("component", "gid").alias("comp"))
+    rows = worded.groupBy("comp", "id", "tid").agg(F.count("*").alias("k"))  # equal rows fold before the shuffle
+    best = rows.groupBy("comp").agg(F.min(F.struct("id", "tid")).alias("best"))
+    judged = rows.join(best, "comp").select("id", "tid", (F.struct("id", "tid") == F.col("best")).alias("stays"), "k")
+    marked = durable(judged.where("NOT stays OR k > 1").select("id", "tid", "stays"), "judged")
+    bits, rows = bit_filter(marked, "tid"), keyed(plain)
+    touched = passing(rows, "tid", bits).join(marked, ["id", "tid"], "left")
+    single = touched.where("stays").dropDuplicates(["id", "tid"])
+    kept = passing(rows, "tid", ~bits)
+    columns = [f"c{i}" for i in range(len(names))]
+    return kept.select(*columns).union(touched.where("stays IS NULL").select(*columns)).union(single.select(*columns)).toDF(*names)

@@ -207,6 +207,29 @@ def predict(texts: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return found.withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a letter and a language that holds at least ``least`` of the text.
+
+    Without any learned language, all rows with a letter.
+    """
+    sent, at, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _predict(sent)
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string())
+            if sent.value[0]:
+                (found,) = judge(iter([pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], names=["id", "text"])]))
+                keep = [n != UNKNOWN and s >= least for n, s in zip(found.column(1).to_pylist(), found.column(2).to_pylist())]
+            else:
+                keep = [any(map(str.isalpha, t or "")) for t in texts.to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return per_partition(plain, work, schema).toDF(*names)
+
+
 def held_out(id_col: str = "doc_id"):
     """The fifth of the ids that learning never sees."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootseek.llm import jaccard, language, maintext, neighbours, packing, sentencepieces, tokencount, tokenfiles, topk
+from rootseek.llm import jaccard, language, maintext, neighbours, packing, repeats, sentencepieces, tokencount, tokenfiles, topk
 from rootseek.llm.common import read
+from rootseek.session import new_folder
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 #: The id appended to each document in token files.
@@ -27,7 +28,7 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = tokenfiles.new_folder(spark)
+    folder = new_folder(spark, "tokenfiles")
     tokenfiles.write_files(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), folder, end_id=END_ID)
     return tokenfiles.decode_files(spark, folder, with_ids=False)
 
@@ -36,6 +37,10 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(read(spark, sf_dir, "documents"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(read(spark, sf_dir, "pages"))
 
@@ -59,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_token_files, op4_nearest, op6_main_text, op7_token_counts, op8_language, op9_similar_documents, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_token_files, op4_nearest, op5_repeats, op6_main_text, op7_token_counts, op8_language, op9_similar_documents, op10_packing)}
 
 # Vectors meet in SQL as pairs; quadratic, yet small enough at the scale of the checks.
 ORACLE = {

@@ -20,8 +20,6 @@ other than the two named ones are ignored.
 
 from __future__ import annotations
 
-import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +31,6 @@ from pyspark.sql import functions as F
 
 from rootseek.llm import tokens
 from rootseek.llm.common import arrow_rows, ceil_div, durable, partition_offsets, per_partition
-from rootseek.session import scratch_dir
 
 #: Longest code. The decoding table has 2**MAX_BITS entries of 4 bytes.
 MAX_BITS = 18
@@ -250,8 +247,3 @@ def decode_files(spark: SparkSession, folder: str, with_ids: bool = True) -> Dat
     decoded = per_partition(blocks.drop("block"), work, schema)
     placed = decoded.join(partition_offsets(totals, "part", "tokens"), "part")
     return placed.withColumn("start", F.col("start") + F.col("before")).drop("part", "before")
-
-
-def new_folder(spark: SparkSession) -> str:
-    """A folder of its own under the shared scratch folder."""
-    return os.path.join(scratch_dir(spark), "rootseek", f"tokenfiles-{uuid.uuid4().hex}")
