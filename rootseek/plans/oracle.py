@@ -27,12 +27,12 @@ CTES = {
         SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn
         FROM lineitem""",
     "spans0": """
-        SELECT *, (rn - 1) * 3 + l_suppkey % 3 AS nn FROM lines WHERE rn <= 4""",
+        SELECT *, least(rn, 4) AS tier, (least(rn, 4) - 1) * 3 + l_suppkey % 3 AS nn FROM lines""",
     "spans1": """
         SELECT *, l_returnflag = 'R' AND nn <> 7 AS err, nn IN (6, 7, 8) AND l_linenumber % 2 = 0 AS calls_out FROM spans0""",
     "spans": """
         SELECT 't' || l_orderkey AS trace_id, 's' || l_orderkey || '-' || rn AS span_id,
-               CASE WHEN rn > 1 THEN 's' || l_orderkey || '-' || (rn - 1) END AS parent_span_id,
+               CASE WHEN rn > 1 THEN 's' || l_orderkey || '-' || (tier - 1) END AS parent_span_id,
                'n' || nn AS node_id, nn, 'op' || (l_partkey % 5) AS op,
                epoch_us(TIMESTAMP '2024-01-24 00:00:00') + ((l_orderkey * 7919) % 172800 + rn) * 1000000 AS start_us,
                round(l_extendedprice * 10, 0)::BIGINT AS dur_us,
@@ -49,17 +49,17 @@ CTES = {
                     WHEN l_partkey % 4 = 2 THEN 'ConnectionPoolExhausted' ELSE 'ValueError' END AS exc_type,
                CASE WHEN err THEN 'order ' || l_orderkey END AS exc_msg,
                '1.' || (l_partkey % 3) AS version, 'env' || (l_orderkey % 3) AS env,
-               l_partkey, l_suppkey, l_orderkey, rn, l_orderkey * 4 + rn AS ord
+               l_partkey, l_suppkey, l_orderkey, rn, tier, l_orderkey::BIGINT * 1000 + rn AS ord
         FROM spans1""",
     "win": f"""
         SELECT * FROM spans WHERE start_us BETWEEN epoch_us({T0}) AND epoch_us({T1})""",
     "changes": f"""
-        SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'deploy' WHEN '2-HIGH' THEN 'config_change' ELSE 'feature_flag' END AS kind,
+        SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'deploy' WHEN '2-HIGH' THEN 'config_change' WHEN '4-NOT SPECIFIED' THEN 'config_change' ELSE 'feature_flag' END AS kind,
                'chg-' || o_orderkey AS event_id, 'n' || (o_custkey % 9) AS node_id,
                epoch_us({T0}) - ((o_orderkey * 7919) % 5400) * 1000000 AS ts_us,
                ((o_orderkey * 7919) % 5400) / 60.0 AS minutes,
                o_orderkey, o_custkey, o_orderstatus, o_orderkey AS ord
-        FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""",
+        FROM orders""",
     "commits": f"""
         SELECT 'commit-' || o_orderkey AS event_id, 'n' || (o_custkey % 9) AS node_id, o_orderkey,
                (o_orderkey * 104729) % 5400 AS secs_before
@@ -473,17 +473,17 @@ CHECKS = {
         WHERE node_id IN (SELECT node_id FROM services) GROUP BY ALL""",
     "dag_check": """SELECT count(*) AS cyclic_edges, count(*) = 0 AS is_dag FROM walks WHERE hop > 0 AND cand = node_id""",
     "db_systems": "SELECT DISTINCT node_id, 'postgresql' AS db_system FROM spans WHERE nn = 9",
-    "causal_depth": "SELECT span_id, (rn - 1)::INTEGER AS depth FROM spans",
+    "causal_depth": "SELECT span_id, (tier - 1)::INTEGER AS depth FROM spans",
     "node_timeline": """
         SELECT node_id, count(*) AS total_span_count, count(*) FILTER (WHERE err) AS error_span_count,
-               round(count(*) FILTER (WHERE err) / count(*), 6) AS error_rate, round(avg(rn - 1), 6) AS causal_position,
-               (min(rn - 1) FILTER (WHERE err))::INTEGER AS first_error_depth,
-               arg_min(span_id, (rn, start_us, ord)) FILTER (WHERE err) AS first_error_span_id,
-               coalesce(count(*) FILTER (WHERE err) / count(*) >= 0.1 AND min(rn - 1) FILTER (WHERE err) <= 2, FALSE) AS is_likely_origin
+               round(count(*) FILTER (WHERE err) / count(*), 6) AS error_rate, round(avg(tier - 1), 6) AS causal_position,
+               (min(tier - 1) FILTER (WHERE err))::INTEGER AS first_error_depth,
+               arg_min(span_id, (tier, start_us, ord)) FILTER (WHERE err) AS first_error_span_id,
+               coalesce(count(*) FILTER (WHERE err) / count(*) >= 0.1 AND min(tier - 1) FILTER (WHERE err) <= 2, FALSE) AS is_likely_origin
         FROM spans GROUP BY 1""",
     "origin_candidates": """
-        SELECT node_id, (min(rn - 1) FILTER (WHERE err))::INTEGER AS first_error_depth, count(*) FILTER (WHERE err) AS error_span_count,
-               coalesce(count(*) FILTER (WHERE err) / count(*) >= 0.1 AND min(rn - 1) FILTER (WHERE err) <= 2, FALSE) AS is_likely_origin
+        SELECT node_id, (min(tier - 1) FILTER (WHERE err))::INTEGER AS first_error_depth, count(*) FILTER (WHERE err) AS error_span_count,
+               coalesce(count(*) FILTER (WHERE err) / count(*) >= 0.1 AND min(tier - 1) FILTER (WHERE err) <= 2, FALSE) AS is_likely_origin
         FROM spans WHERE node_id IN (SELECT node_id FROM anom) GROUP BY 1 HAVING count(*) FILTER (WHERE err) > 0""",
     "trace_totals": "SELECT count(DISTINCT trace_id) AS trace_count, count(*) AS span_count FROM spans",
     "failure_severity": "SELECT node_id, round(s, 6) AS severity FROM sev WHERE node_id IN (SELECT node_id FROM cands)",

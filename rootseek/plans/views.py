@@ -1,8 +1,9 @@
 """Telemetry derived from the driver tables.
 
 The tables hold no telemetry, so the registered queries read these views: every
-event is a metric sample, every line item (up to four per order) a span, every
-order a change event or a commit. All rows and whole texts are used.
+event is a metric sample, every line item a span (an order's fifth and later ones
+are further children of its third), every order a change event or a commit. All
+rows and whole texts are used.
 """
 
 from __future__ import annotations
@@ -55,8 +56,7 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = (
         numbered_lines(spark, sf_dir)
-        .where("rn <= 4")
-        .selectExpr("*", "(rn - 1) * 3 + l_suppkey % 3 AS nn")
+        .selectExpr("*", "least(rn, 4) AS tier", "(least(rn, 4) - 1) * 3 + l_suppkey % 3 AS nn")
         .selectExpr(
             "*",
             "l_returnflag = 'R' AND nn <> 7 AS err",
@@ -87,7 +87,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.selectExpr(
         "concat('t', l_orderkey) AS trace_id",
         "concat('s', l_orderkey, '-', rn) AS span_id",
-        "CASE WHEN rn > 1 THEN concat('s', l_orderkey, '-', rn - 1) END AS parent_span_id",
+        "CASE WHEN rn > 1 THEN concat('s', l_orderkey, '-', tier - 1) END AS parent_span_id",
         "concat('n', nn) AS service_id",
         "concat('op', l_partkey % 5) AS operation_name",
         "timestamp_micros(start_us) AS start_time",
@@ -120,16 +120,15 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
            END AS events""",
         """map('service.name', concat('n', nn), 'service.version', concat('1.', l_partkey % 3),
                'deployment.environment', concat('env', l_orderkey % 3)) AS resource_attributes""",
-        "l_orderkey * 4 + rn AS ord",
+        "CAST(l_orderkey AS BIGINT) * 1000 + rn AS ord",
     )
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = """CASE o_orderpriority WHEN '1-URGENT' THEN 'deploy' WHEN '2-HIGH' THEN 'config_change'
-               ELSE 'feature_flag' END"""
+               WHEN '4-NOT SPECIFIED' THEN 'config_change' ELSE 'feature_flag' END"""
     return (
         table(spark, sf_dir, "orders")
-        .where("o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')")
         .selectExpr(
             f"{kind} AS kind",
             "concat('chg-', o_orderkey) AS event_id",
