@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The three stack-frame formats (File "f", line n, in g; name (file:line[:col]);
-# at file:line:col without parentheses).
-PYTHON_FRAME = r'File\s+"?([^",\n]+)"?,\s+line\s+(\d+),\s+in\s+(\S+)'
-NAMED_FRAME = r"(?:at\s+)?([\w.<>/\[\]$]+)(?:\s+\[as\s+[^\]]+\])?\s*\(([^)]+?):(\d+)(?::\d+)?\)"
-ANONYMOUS_FRAME = r"(?m)^\s*at\s+(?:async\s+)?([^\s()]+?):(\d+):(\d+)\s*$"
+# at file:line:col without parentheses); word and space characters are Unicode's.
+PYTHON_FRAME = r'(?U)File\s+"?([^",\n]+)"?,\s+line\s+(\d+),\s+in\s+(\S+)'
+NAMED_FRAME = r"(?U)(?:at\s+)?([\w.<>/\[\]$]+)(?:\s+\[as\s+[^\]]+\])?\s*\(([^)]+?):(\d+)(?::\d+)?\)"
+ANONYMOUS_FRAME = r"(?mU)^\s*at\s+(?:async\s+)?([^\s()]+?):(\d+):(\d+)\s*$"
 
 
 def parse_int(raw: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.incidents import Incidents
 from ..session import durable, together
+from ..sources.records import ORDER
 from .series import unmeasured_weight
 
 STATE = ("incident_id", "candidate_id", "node_id")
@@ -50,7 +51,7 @@ def forward_simulation(severities: DataFrame, edges: DataFrame, weights: DataFra
     equally short ones through the first in call order.
     """
     p = inc.params
-    calls = edges.select("source_id", F.col("target_id").alias("node_id"), "ord")
+    calls = edges.select("source_id", F.col("target_id").alias("node_id"), F.col("ord").cast(ORDER).alias("ord"))
     w = weights.select("incident_id", "source_id", F.col("target_id").alias("node_id"), "weight")
     front = severities.select(
         "incident_id",
@@ -58,7 +59,7 @@ def forward_simulation(severities: DataFrame, edges: DataFrame, weights: DataFra
         "node_id",
         F.lit(0).alias("hop"),
         F.col("severity").cast("double").alias("severity"),
-        F.array().cast("array<bigint>").alias("path"),
+        F.array().cast(f"array<{ORDER}>").alias("path"),
     )
     levels = [front]
     while True:

@@ -224,7 +224,7 @@ def dependency_facts(
 
 def dependency_evidence(facts: DataFrame, inc: Incidents) -> DataFrame:
     c = F.col
-    minutes = inc.params.window_seconds / 60.0
+    minutes = inc.params.http_minutes
     return E.explode_items(
         facts,
         "dependency",

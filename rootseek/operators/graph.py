@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.incidents import Incidents, in_window
 from ..params import WRITE_OPERATIONS
 from ..session import durable
 
@@ -60,6 +61,7 @@ def call_facts(spans: DataFrame) -> DataFrame:
         "parent_span_id",
         "service_id",
         "kind",
+        "start_time",
         "ord",
         target_type.alias("target_type"),
         F.when(target_type == "database", database_id)
@@ -282,17 +284,18 @@ def build_graph(
     return nodes, edges
 
 
-def cyclic_edges(edges: DataFrame) -> DataFrame:
+def cyclic_edges(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Edges left after peeling off nodes without callers; empty for a DAG.
 
     Each round removes every node that has no incoming edge, so the number of
-    rounds is the depth of the graph.
+    rounds is the depth of the graph. ``by``: columns that tell graphs apart;
+    all of them are peeled together.
     """
-    left = edges.select("source_id", "target_id")
+    left = edges.select(*by, "source_id", "target_id")
     size = left.count()
     while size:
-        called = left.select(F.col("target_id").alias("source_id")).distinct()
-        left = durable(left.join(called, "source_id", "left_semi"), "peel")
+        called = left.select(*by, F.col("target_id").alias("source_id")).distinct()
+        left = durable(left.join(called, [*by, "source_id"], "left_semi"), "peel")
         remaining = left.count()
         if remaining == size:
             break
@@ -302,3 +305,23 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
 
 def has_cycle(edges: DataFrame) -> bool:
     return not cyclic_edges(edges).isEmpty()
+
+
+def cyclic_incidents(spans: DataFrame, edges: DataFrame, inc: Incidents) -> DataFrame:
+    """Incidents whose own graph has a cycle: the shared graph, cut to the nodes their window mentions.
+
+    Spans are read only if the shared graph has a cycle at all, and then only
+    those of the windows.
+    """
+    left = cyclic_edges(edges)
+    if left.isEmpty():
+        return inc.df.select("incident_id").limit(0)
+    seen = (
+        in_window(_facts(spans), "start_time", inc, 0, inc.params.window_seconds)
+        .select("incident_id", F.explode(F.array("service_id", "target_id", "other_id")).alias("node_id"))
+        .where("node_id IS NOT NULL")
+        .distinct()
+    )
+    callers, callees = (seen.withColumnRenamed("node_id", c) for c in ("source_id", "target_id"))
+    own = left.join(callers, "source_id").join(callees, ["incident_id", "target_id"])
+    return cyclic_edges(own, ("incident_id",)).select("incident_id").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.incidents import Incidents
 from ..params import ANOMALY_METRICS
+from ..sources.records import ORDER
 
 KEY = ["incident_id", "node_id"]
 # Why a node is a candidate, most important first.
@@ -25,12 +26,12 @@ def base_candidates(anomalies: DataFrame, changed: DataFrame, nodes: DataFrame)
     """
     metric = anomalies.where(F.col("metric_type").isin(*ANOMALY_METRICS)).select(
         *KEY,
-        F.struct(F.lit(0).alias("reason"), (-F.col("z_score")).alias("a"), F.col("cur_ord").alias("b"), F.lit(0).cast("bigint").alias("c")).alias("place"),
+        F.struct(F.lit(0).alias("reason"), (-F.col("z_score")).alias("a"), F.col("cur_ord").cast(ORDER).alias("b"), F.lit(0).cast(ORDER).alias("c")).alias("place"),
     )
     services = nodes.where("node_type = 'service'").select("node_id", "ord")
     change = changed.join(services, "node_id").select(
         *KEY,
-        F.struct(F.lit(1).alias("reason"), F.lit(0.0).alias("a"), F.col("ord").alias("b"), F.lit(0).cast("bigint").alias("c")).alias("place"),
+        F.struct(F.lit(1).alias("reason"), F.lit(0.0).alias("a"), F.col("ord").cast(ORDER).alias("b"), F.lit(0).cast(ORDER).alias("c")).alias("place"),
     )
     return metric.unionByName(change).groupBy(*KEY).agg(F.min("place").alias("place"))
 
@@ -42,8 +43,8 @@ def hint_candidates(hints: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(2).alias("reason"),
                 F.col("suggesting_rank").cast("double").alias("a"),
-                F.when(F.col("direction") == "predecessor", 0).otherwise(1).cast("bigint").alias("b"),
-                F.col("edge_ord").alias("c"),
+                F.when(F.col("direction") == "predecessor", 0).otherwise(1).cast(ORDER).alias("b"),
+                F.col("edge_ord").cast(ORDER).alias("c"),
             )
         ).alias("place")
     )
@@ -159,41 +160,38 @@ def _reason() -> Column:
         F.array(
             F.when(
                 F.size(codes) > 0,
-                F.concat(F.lit("HTTP "), F.array_join(codes, "/"), F.lit(" spans in incident window")),
+                F.concat(F.lit("status "), F.array_join(codes, "/")),
             ),
-            F.when(F.col("has_timeout"), F.lit("connection timeout signals in incident window")),
+            F.when(F.col("has_timeout"), F.lit("failed connections")),
         )
     )
     return (
-        F.when(signal == "error_code_pattern", F.concat(who, F.lit(" has "), F.array_join(parts, " and ")))
+        F.when(signal == "error_code_pattern", F.concat(who, F.lit(": "), F.array_join(parts, ", ")))
         .when(
             signal == "silent_degradation",
             F.concat(
-                who, F.lit(" returning HTTP 200 in incident window but "), suspect,
-                F.lit(" has error spans — possible silent degradation (malformed or semantically incorrect responses)"),
+                suspect, F.lit(" fails although "), who, F.lit(" answers with 200; its answers may be unusable"),
             ),
         )
         .when(
             signal == "change_event",
-            F.concat(who, F.lit(" has a change event and error spans in the incident window")),
+            F.concat(who, F.lit(": changed, and failing since")),
         )
         .when(
             signal == "missing_telemetry",
             F.concat(
                 who,
-                F.lit(" has error spans in the incident window but no metric coverage"
-                      " — possible missing telemetry masking the real root cause"),
+                F.lit(": failing spans, yet no metric that would show it"),
             ),
         )
         .when(
             signal == "sub_threshold_metric",
             F.concat(
                 who,
-                F.lit(" has a recent change event and metric movement in the incident window"
-                      " below the anomaly detection threshold"),
+                F.lit(": changed, and a metric moved without crossing the threshold"),
             ),
         )
-        .otherwise(F.concat(who, F.lit(" has error spans in the incident window")))
+        .otherwise(F.concat(who, F.lit(": failing spans")))
     )
 
 

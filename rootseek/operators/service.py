@@ -131,13 +131,13 @@ def code_evidence(facts: DataFrame, inc: Incidents) -> DataFrame:
             E.deploy(p, node, c("version"), c("deploy_minutes"), c("deploy_id").isNotNull()),
             E.exception(2, node, c("exception_type"), c("exception_message"), c("exception_type").isNotNull()),
             E.assessment(3, "llm_causal_assessment", c("a_assessment"), c("a_reasoning"), c("a_signals"),
-                         "change unlikely to cause this exception", {}, {}, F.lit(True)),
+                         "the change does not explain the exception", {}, {}, F.lit(True)),
             E.stack_match(c("function_name"), c("file_path"), c("frame_line"), c("match_type"), c("match_type").isNotNull()),
             E.assessment(5, "llm_case_b_analysis", c("b_assessment"), c("b_reasoning"), c("b_signals"),
-                         "code change unlikely to cause this exception",
+                         "the code change does not explain the exception",
                          {"function": c("function_name"), "match_type": c("match_type")},
                          {"function": c("function_name")}, c("smoking_gun")),
-            E.operation(6, "degraded_operation", "weak", " in incident window", c("operation"), c("rate"),
+            E.operation(6, "degraded_operation", "weak", " of its calls", c("operation"), c("rate"),
                         c("operation").isNotNull()),
             E.no_deploy(p, node, c("deploy_id").isNull()),
         ],
@@ -158,7 +158,7 @@ def config_evidence(facts: DataFrame, settings: DataFrame, inc: Incidents, repli
             F.when(
                 c("asked"),
                 E.assessment(3, "llm_config_assessment", c("assessment"), c("reasoning"), c("signals"),
-                             "change unlikely to cause these errors", {}, {}, F.lit(True), order=c("place")),
+                             "the setting does not explain the errors", {}, {}, F.lit(True), order=c("place")),
             ),
         ],
     )
@@ -167,7 +167,7 @@ def config_evidence(facts: DataFrame, settings: DataFrame, inc: Incidents, repli
         facts.join(any_change, KEY, "left_semi"),
         "config",
         [
-            E.operation(4, "post_change_errors", "moderate", " after config/flag change", c("operation"), c("rate"),
+            E.operation(4, "post_change_errors", "moderate", " of its calls since the setting changed", c("operation"), c("rate"),
                         c("operation").isNotNull()),
             E.simultaneous_change(node, F.lit("pending_arbitration"), c("deploy_id").isNotNull()),
         ],

@@ -81,6 +81,7 @@ class Params:
     exhaustion_strong: float = 0.5
     http_strong: float = 0.5
     http_strong_minutes: float = 2.0
+    http_minutes: float = 5.0            # duration stated for HTTP errors, whatever the window
     slow_span_ms: float = 100.0
     db_latency_z: float = 1.0
     caller_timeout_items: int = 2

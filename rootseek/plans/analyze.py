@@ -42,6 +42,7 @@ class Facts:
     """Small tables derived once from the telemetry."""
 
     inc: Incidents
+    calls: DataFrame
     nodes: DataFrame
     edges: DataFrame
     systems: DataFrame
@@ -70,7 +71,8 @@ def gather(
     known_edges: DataFrame | None = None,
 ) -> Facts:
     inc = Incidents.of(incidents, params)
-    calls = durable(graph.call_facts(spans), "calls")
+    # not written: a table as long as the lake would cost more than reading it again
+    calls = graph.call_facts(spans)
     nodes = graph.known_or_found_nodes(calls, service_config, known_nodes)
     attached, missed = graph.attach_changes(changes, nodes)
     on_services = None
@@ -97,6 +99,7 @@ def gather(
     )
     return Facts(
         inc=inc,
+        calls=calls,
         nodes=nodes,
         edges=t["edges"],
         systems=t["systems"],
@@ -222,8 +225,8 @@ def analyze(
 ) -> Analysis:
     """Analyse every incident over the shared telemetry tables.
 
-    A graph with a cycle cannot be ranked: incidents with candidates then get
-    the failure result, the others are unaffected.
+    A graph with a cycle cannot be ranked: an incident with candidates whose own
+    part of the graph has one gets the failure result, the others are unaffected.
     """
     facts = gather(incidents, spans, metrics, changes, params, commits, service_config, known_nodes, known_edges)
     return conclude(facts, commits, functions, replies)
@@ -237,9 +240,11 @@ def conclude(
 ) -> Analysis:
     inc = facts.inc
     # The loop ends on any graph, so it need not wait for the cycle test.
-    cyclic, (ranked, hints, _) = together(lambda: graph.has_cycle(facts.edges), lambda: reason(facts))
-    if cyclic:
-        ranked = hints = None
+    cyclic, (ranked, hints, _) = together(
+        lambda: durable(graph.cyclic_incidents(facts.calls, facts.edges, inc), "cyclic"), lambda: reason(facts)
+    )
+    if ranked is not None:
+        ranked, hints = (t.join(cyclic, "incident_id", "left_anti") for t in (ranked, hints))
     if ranked is None:
         # nothing to examine: keep the tables, but empty
         seed = facts.base.limit(0).join(facts.nodes.select("node_id", "node_type"), "node_id")
@@ -257,7 +262,7 @@ def conclude(
     quality = scoring.data_quality(inc, facts.anomalies, series.baselines(facts.stats))
     loops = ranked.groupBy("incident_id").agg(F.max("iteration").alias("loops"))
     has_candidates = facts.base.join(facts.nodes, "node_id", "left_semi").select("incident_id").distinct()
-    failed = has_candidates.withColumn("failed", F.lit(True)) if cyclic else has_candidates.limit(0).withColumn("failed", F.lit(True))
+    failed = has_candidates.join(cyclic, "incident_id", "left_semi").withColumn("failed", F.lit(True))
     none = F.array().cast("array<string>")
     bad = F.coalesce("failed", F.lit(False))
     results = (
@@ -276,7 +281,7 @@ def conclude(
             "root_cause_domain",
             F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
             F.coalesce("root_cause_ids", none).alias("root_cause_ids"),
-            F.when(bad, "Analysis failed due to internal error").otherwise("").alias("narrative"),
+            F.when(bad, "not analysed: the call graph of this incident has a cycle").otherwise("").alias("narrative"),
             F.when(bad, 0).otherwise(F.coalesce("loops", F.lit(1))).alias("iterations_run"),
             F.when(bad, "low").otherwise(F.col("data_quality")).alias("data_quality"),
             "multi_factor_explanation",

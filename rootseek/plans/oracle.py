@@ -512,14 +512,14 @@ CHECKS = {
     "neighbour_hints": """
         SELECT node_id, signal, direction, CASE WHEN signal IN ('error_code_pattern', 'silent_degradation', 'change_event') THEN 'strong' ELSE 'moderate' END AS hint_strength,
                CASE signal
-                 WHEN 'error_code_pattern' THEN node_id || ' has ' || concat_ws(' and ',
-                   CASE WHEN h503 OR h429 THEN 'HTTP ' || concat_ws('/', CASE WHEN h429 THEN '429' END, CASE WHEN h503 THEN '503' END) || ' spans in incident window' END,
-                   CASE WHEN tmo THEN 'connection timeout signals in incident window' END)
-                 WHEN 'silent_degradation' THEN node_id || ' returning HTTP 200 in incident window but ' || suspect || ' has error spans — possible silent degradation (malformed or semantically incorrect responses)'
-                 WHEN 'change_event' THEN node_id || ' has a change event and error spans in the incident window'
-                 WHEN 'missing_telemetry' THEN node_id || ' has error spans in the incident window but no metric coverage — possible missing telemetry masking the real root cause'
-                 WHEN 'sub_threshold_metric' THEN node_id || ' has a recent change event and metric movement in the incident window below the anomaly detection threshold'
-                 ELSE node_id || ' has error spans in the incident window' END AS reason,
+                 WHEN 'error_code_pattern' THEN node_id || ': ' || concat_ws(', ',
+                   CASE WHEN h503 OR h429 THEN 'status ' || concat_ws('/', CASE WHEN h429 THEN '429' END, CASE WHEN h503 THEN '503' END) END,
+                   CASE WHEN tmo THEN 'failed connections' END)
+                 WHEN 'silent_degradation' THEN suspect || ' fails although ' || node_id || ' answers with 200; its answers may be unusable'
+                 WHEN 'change_event' THEN node_id || ': changed, and failing since'
+                 WHEN 'missing_telemetry' THEN node_id || ': failing spans, yet no metric that would show it'
+                 WHEN 'sub_threshold_metric' THEN node_id || ': changed, and a metric moved without crossing the threshold'
+                 ELSE node_id || ': failing spans' END AS reason,
                suspect AS suggesting_node_id
         FROM hints1""",
     "iterations": f"""SELECT node_id, it::INTEGER AS iteration, rk::INTEGER AS causal_rank, {REASON} AS inclusion_reason, origin AS is_potential_origin,
@@ -607,15 +607,14 @@ CHECKS = {
     "score": """SELECT node_id, domain, failure_type, (cents / 100)::DOUBLE AS domain_confidence, items AS evidence_count, strong AS strong_count,
         score_rank::INTEGER AS score_rank, it::INTEGER AS iteration FROM scored""",
     "multi_factor": """SELECT len(domains) >= 2 AS multi_factor_flagged, (CASE WHEN len(domains) >= 2 THEN 0.5 ELSE 0.0 END)::DOUBLE AS residual_unexplained,
-        CASE WHEN len(domains) >= 2 THEN 'Multi-factor condition detected: ' || domains[1] || ' and ' || domains[2] || ' both have strong evidence'
-             ELSE 'Single domain dominates' END AS explanation FROM multi""",
+        CASE WHEN len(domains) >= 2 THEN 'strong evidence in two domains: ' || domains[1] || ', ' || domains[2]
+             ELSE 'one domain explains it' END AS explanation FROM multi""",
     "verdict": """SELECT 'inc-1' AS incident_id, verdict, (SELECT node_id FROM causes ORDER BY score_rank LIMIT 1) AS root_cause_node,
         (SELECT domain FROM causes ORDER BY score_rank LIMIT 1) AS root_cause_domain,
         coalesce((SELECT cents / 100 FROM causes ORDER BY score_rank LIMIT 1), 0)::DOUBLE AS confidence,
         coalesce((SELECT string_agg(node_id, ',' ORDER BY score_rank) FROM causes), '') AS root_cause_ids,
         (SELECT max(it) FROM scored)::INTEGER AS iterations_run, CASE WHEN (SELECT count(*) FROM anom) > 0 THEN 'high' ELSE 'low' END AS data_quality,
-        CASE WHEN verdict = 'multi_factor' THEN 'Multi-factor incident: ' || (SELECT string_agg(domain || ' (' || node_id || ')', ' and ' ORDER BY score_rank) FROM causes)
-             || ' both have sufficient evidence' END AS multi_factor_explanation,
+        CASE WHEN verdict = 'multi_factor' THEN 'two causes: ' || (SELECT string_agg(domain || ' (' || node_id || ')', ', ' ORDER BY score_rank) FROM causes) END AS multi_factor_explanation,
         CASE WHEN verdict = 'no_root_cause_found' THEN (SELECT string_agg(node_id, ',' ORDER BY score_rank) FROM scored) ELSE '' END AS weak_signals
         FROM verdicts""",
     "result_documents": """SELECT 'inc-1' AS incident_id, verdict = 'root_cause_found' AS has_root_cause, (SELECT node_id FROM causes ORDER BY score_rank LIMIT 1) AS root_cause_node,

@@ -71,6 +71,13 @@ def written_here():
         _open_lists[:] = [x for x in _open_lists if x is not folders]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything lies under a path or pattern."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0
+
+
 def delete(spark: SparkSession, folders: list[str]) -> None:
     """Remove written tables, through the store that holds them."""
     jvm = spark._jvm

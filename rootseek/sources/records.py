@@ -5,15 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import exists
 
-def record_order() -> Column:
-    """Position of a row in file order. Unique up to 2^28 rows per partition."""
-    i = F.monotonically_increasing_id()
-    return F.shiftright(i, 33) * F.lit(1 << 28) + i.bitwiseAND(F.lit((1 << 33) - 1))
+
+# Wide enough for batch, partition, row and position in a record together.
+ORDER = "decimal(38,0)"
+BATCH_ROWS, RECORD_ITEMS = 1 << 63, 1 << 31
+
+
+def record_order(batch: int | None = None) -> Column:
+    """Position of a row: batch, partition of the read, row.
+
+    It follows the read, in which Spark may take larger files first; give
+    records an order of their own where file order matters.
+    """
+    row = F.monotonically_increasing_id()
+    return row if batch is None else (F.lit(batch).cast(ORDER) * F.lit(BATCH_ROWS - 1) + F.lit(batch) + row).cast(ORDER)
+
+
+def item_order(record: Column, position: Column) -> Column:
+    """Order of the items of ordered records. A record has fewer items than an array can hold."""
+    return (record.cast(ORDER) * F.lit(RECORD_ITEMS) + position).cast(ORDER)
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One record per line; files split freely across tasks."""
+    """One record per line; files split freely across tasks. A path without files has no records."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "raw string, ord long")
     return spark.read.text(path).select(F.col("value").alias("raw"), record_order().alias("ord"))
 
 
@@ -21,8 +39,11 @@ def json_files(spark: SparkSession, path: str) -> DataFrame:
     """Files holding one object or an array of them.
 
     Each file is parsed as a whole, so keep single files moderate; files are
-    spread over tasks. Unreadable text and other roots give no records.
+    spread over tasks. Unreadable text and other roots give no records, nor
+    does a path without files.
     """
+    if not exists(spark, path):
+        return spark.createDataFrame([], "raw string, ord long")
     missing_ok = spark.read.option("ignoreMissingFiles", "true")
     v = F.try_parse_json("value")
     root = F.schema_of_variant("v")

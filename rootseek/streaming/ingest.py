@@ -2,7 +2,8 @@
 
 They are column expressions, so the batch functions serve each micro-batch
 unchanged; valid rows and rejects go to two append-only tables. Rows keep an
-order within their micro-batch.
+order across micro-batches. The progress of a stream is kept beside its results,
+not among tables that may be deleted.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import scratch_dir
 from ..sources.records import record_order
 
 Ingest = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
@@ -26,7 +26,7 @@ def ingest_stream(
     """Ingest every new JSON-lines file under ``source`` until none is left."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        records = batch.select(F.col("value").alias("raw"), record_order().alias("ord"))
+        records = batch.select(F.col("value").alias("raw"), record_order(batch_id).alias("ord"))
         good, bad = ingest(records)
         # One folder per batch: a batch replayed after a failure replaces its own output.
         good.write.mode("overwrite").parquet(os.path.join(good_path, f"batch={batch_id}"))
@@ -35,7 +35,7 @@ def ingest_stream(
     return (
         spark.readStream.text(source)
         .writeStream.foreachBatch(write)
-        .option("checkpointLocation", os.path.join(scratch_dir(spark), "rootseek", "streams", name))
+        .option("checkpointLocation", os.path.join(good_path + ".progress", name))
         .trigger(availableNow=True)
         .start()
     )

@@ -106,7 +106,7 @@ def test_verdicts(analysis):
     assert short["flag_flip"] == ("root_cause_found", "flag_flip-fraud", "configuration", 0.75)
     assert short["two_causes"][0] == "multi_factor" and len(got["two_causes"].root_cause_ids) == 2
     assert got["two_causes"].residual_unexplained == 0.5
-    assert got["two_causes"].multi_factor_explanation.startswith("Multi-factor incident: ")
+    assert got["two_causes"].multi_factor_explanation.startswith("two causes: ")
     assert short["calm"] == ("no_root_cause_found", None, None, 0.0)
     assert (got["calm"].iterations_run, got["calm"].data_quality, got["calm"].narrative) == (1, "low", "")
     assert got["bad_deploy"].data_quality == "high"
@@ -131,7 +131,7 @@ def test_candidates_and_invariants(analysis):
 def test_narratives_and_requests(analysis):
     text = {r.incident_id: r for r in analysis.narratives.collect()}
     assert "Root cause: flag_flip-fraud (service)" in text["flag_flip"].narrative_prompt
-    assert "1. feature_flag_change: feature flag" in text["flag_flip"].narrative_prompt
+    assert "1. feature_flag_change: flag " in text["flag_flip"].narrative_prompt
     assert "1. [STRONG] feature_flag_change" in text["flag_flip"].fix_prompt and "2. " not in text["flag_flip"].fix_prompt
     assert "Confidence: 75%" in text["flag_flip"].fix_prompt and "calm" not in text
     asked = {(r.service_id, r.kind): r.message for r in analysis.requests.collect()}
@@ -171,17 +171,30 @@ def test_results_are_stored_found_and_updated(spark, analysis, tmp_path):
     assert rows(unknown, "raw") == [("nope",)]
 
 
-def test_a_cycle_fails_only_incidents_with_candidates(spark):
+def test_a_cycle_fails_only_the_incident_that_sees_it(spark):
     lake = Lake()
     hinted(lake, START, "")
-    a = lake.span("x", span_id="xa")
-    b = lake.span("y", span_id="yb", parent="xa")
+    hinted(lake, START + 3 * DAY, "later-")
+    lake.span("x", span_id="xa")
+    lake.span("y", span_id="yb", parent="xa")
     lake.span("x", parent="yb")
     lake.incident("busy", START)
+    lake.incident("later", START + 3 * DAY)
     lake.incident("calm", START + 9 * DAY)
     t = lake.tables(spark)
     assert graph.has_cycle(graph.build_graph(t["spans"])[1])
     got = {r.incident_id: r for r in analyze(t["incidents"], t["spans"], t["metrics"], t["changes"]).results.collect()}
     assert (got["busy"].verdict, got["busy"].narrative, got["busy"].iterations_run, got["busy"].data_quality) == (
-        "no_root_cause_found", "Analysis failed due to internal error", 0, "low")
+        "no_root_cause_found", "not analysed: the call graph of this incident has a cycle", 0, "low")
+    assert got["later"].narrative == "" and got["later"].iterations_run > 0
     assert (got["calm"].narrative, got["calm"].iterations_run) == ("", 1)
+
+
+def test_stored_ids_come_back_as_they_were(spark, tmp_path):
+    path = str(tmp_path / "store")
+    ids = ["0012", "12", "2024-01-01", "a/b"]
+    results.store(spark.createDataFrame([(i, i) for i in ids], "incident_id string, narrative string"), path)
+    for i in ids:
+        assert [tuple(r) for r in results.lookup(spark, path, i).collect()] == [(i, i)]
+    results.store(spark.createDataFrame([("12", "new")], "incident_id string, narrative string"), path)
+    assert sorted(map(tuple, results.stored(spark, path).collect())) == [("0012", "0012"), ("12", "new"), ("2024-01-01", "2024-01-01"), ("a/b", "a/b")]

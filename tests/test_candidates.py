@@ -56,8 +56,8 @@ def test_each_hint_signal(spark):
         ("silent", "successor"): ("silent_degradation", "strong"), ("changed", "successor"): ("change_event", "strong"),
         ("changed", "predecessor"): ("change_event", "strong"), ("old", "successor"): ("missing_telemetry", "moderate"),
         ("plain", "successor"): ("span_errors", "moderate"), ("moving", "successor"): ("sub_threshold_metric", "moderate")}
-    assert got["both", "successor"][2] == "both has HTTP 429/503 spans in incident window"
-    assert got["slow", "successor"][2] == "slow has connection timeout signals in incident window"
+    assert got["both", "successor"][2] == "both: status 429/503"
+    assert got["slow", "successor"][2] == "slow: failed connections"
 
 
 def test_known_neighbours_give_no_hint(spark):

@@ -71,7 +71,7 @@ def test_database_rules(spark):
     items = {(r.node_id, r.signal, r["item"]): r for r in evidence.collect()}
     assert items["broken", "db_integrity_error", 0].metadata["exception_message"] == "dup key"
     assert items["full", "caller_timeout", 1].metadata["caller_node_id"] == "c2" and items["full", "caller_timeout", 2].metadata["caller_node_id"] == "c1"
-    assert items["ghost", "missing_telemetry", 0].finding == "ghost has limited observability: 0 spans, no metrics — analysis may be incomplete"
+    assert items["ghost", "missing_telemetry", 0].finding == "little is recorded of ghost: 0 spans and no metrics"
     assert items["cache2", "error_rate_spike", 0].metadata["z_score"] == "100.0"
 
 
@@ -96,7 +96,7 @@ def test_dependency_rules(spark):
         ("lagging", "all_callers_affected", "moderate"), ("limited", "all_callers_affected", "moderate"), ("unseen", "all_callers_affected", "weak"),
         ("unseen", "missing_telemetry", "moderate")]
     http = evidence.where("signal = 'http_error_pattern'").first()
-    assert http.finding == "down returning HTTP 503 on 2/3 requests over 5 minutes"
+    assert http.finding == "2 of 3 calls to down came back as 503 within 5 min"
 
 
 STACK = 'File "src/risk.py", line 47, in evaluate'
@@ -168,14 +168,14 @@ def test_service_rules(spark):
 
     assert of("deployed") == ("application_code", "code_regression", 0.2)
     assert signals["deployed"] == [("deploy_in_window", "strong")]
-    assert shown["deployed"][0].finding == "deployed deployed v2 10 minutes before incident"
+    assert shown["deployed"][0].finding == "version v2 went live on deployed, 10 min ahead of the incident"
     assert of("thrower") == ("application_code", "runtime_error", 0.0)
     assert signals["thrower"] == [("exception_in_spans", "moderate"), ("degraded_operation", "weak"), ("no_deploy_in_window", "weak")]
-    assert shown["thrower"][0].finding == "thrower throwing KeyError: " + "k" * 120
-    assert shown["thrower"][1].finding == "op error rate 100% in incident window"
+    assert shown["thrower"][0].finding == "KeyError raised in thrower: " + "k" * 120
+    assert shown["thrower"][1].finding == "op fails in 100% of its calls"
     assert of("flagged") == ("configuration", "feature_flag_regression", 0.2)
     assert signals["flagged"] == [("feature_flag_change", "strong"), ("post_change_errors", "moderate"), ("degraded_operation", "weak"), ("no_deploy_in_window", "weak")]
-    assert shown["flagged"][0].finding == "feature flag 'retry' changed from 'False' to 'True' on flagged, 3 minutes before incident"
+    assert shown["flagged"][0].finding == "flag retry of flagged: False -> True, 3 min ahead of the incident"
     assert of("mixed") == ("application_code", "code_regression", 0.2) and found["mixed"].both_strong
     assert signals["mixed"] == [("feature_flag_change", "strong"), ("config_change", "moderate"), ("simultaneous_change", "moderate"), ("deploy_in_window", "strong")]
     assert shown["mixed"][2].metadata["both_strong"] == "true"
@@ -184,7 +184,7 @@ def test_service_rules(spark):
     assert of("tuned") == ("configuration", "config_regression", 0.0)
     assert of("gun") == ("application_code", "code_regression", 0.95) and found["gun"].smoking_gun
     assert [s for s, _ in signals["gun"]] == ["deploy_in_window", "exception_in_spans", "stacktrace_match", "llm_case_b_analysis", "degraded_operation"]
-    assert shown["gun"][2].finding == "exception traceback matches evaluate at src/risk.py:47 (match: exact_line)"
+    assert shown["gun"][2].finding == "a stack trace leads to evaluate, src/risk.py line 47 [exact_line]"
     assert shown["gun"][3].metadata == {"assessment": "likely", "function": "evaluate", "match_type": "exact_line", "signals": "s1, s2"}
     assert ("llm_case_b_analysis", "weak") in signals["nolikely"] and not found["nolikely"].smoking_gun
     assert ("stacktrace_match", "weak") in signals["filematch"] and not found["filematch"].smoking_gun

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from build import rows
+from rootseek.operators import graph
 from rootseek.sources import changes, commits, lake, metrics, records, traces
 from rootseek.streaming.ingest import ingest_stream
 
@@ -187,3 +188,21 @@ def test_a_stream_of_files_uses_the_same_rules(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "good")).count() == 1
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 2
+
+
+def test_orders_of_late_partitions_and_batches_stay_apart(spark):
+    late = (1_000_000 << 33) + 5  # the sixth row of partition 1,000,000
+    record = json.dumps(trace(span("a"), span("b")))
+    rows_in = [(record, late), (record, late + 1)]
+    good, _ = traces.ingest_traces(spark.createDataFrame(rows_in, "raw string, ord bigint"))
+    orders = [r.ord for r in good.orderBy("ord").collect()]
+    assert len(set(orders)) == 4 and orders == sorted(orders)
+    nodes, _ = graph.build_graph(good)
+    assert nodes.count() >= 1
+    row = spark.range(1).select(records.record_order(3).alias("later"), records.record_order(2).alias("sooner")).first()
+    assert row.later > row.sooner + (1 << 62)
+
+
+def test_paths_without_files_have_no_records(spark, tmp_path):
+    for read in (records.json_lines, records.json_files):
+        assert read(spark, str(tmp_path / "none*.json")).count() == 0
