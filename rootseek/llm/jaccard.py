@@ -108,7 +108,7 @@ def set_key(found: np.ndarray) -> int:
     """64 bits for a whole set, by a sum and a mixed sum of its hashes."""
     if not len(found):
         return 0
-    sums = np.array([found.sum(dtype=np.uint64), mix(found).sum(dtype=np.uint64)])
+    sums = np.array([found.sum(dtype=np.uint64), np.bitwise_xor.reduce(found * np.uint64(0xD6E8FEB86659FD93))])
     return int(mix(sums[:1] ^ (sums[1:] * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)[0])
 
 
@@ -326,7 +326,7 @@ def similar_groups(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame
     sizes = counted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
     entries = durable(counted.join(sizes, "token"), "entries")
     candidates = passing_ids(heads, entries)
-    sets = durable(per_partition(candidates(docs), _whole_sets(width), "gid long, words binary").dropDuplicates(["gid"]), "sets")
+    sets = durable(per_partition(candidates(docs), _whole_sets(width), "gid long, words binary"), "sets")
 
     small, large = entries.where(F.col("k") <= SMALL).drop("k"), entries.where(F.col("k") > SMALL).drop("k")
     met = _with_other(small, small, percent).where("gid < hid").select("gid", "hid").union(
@@ -360,7 +360,7 @@ def similar_groups(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame
 
 
 def passing_ids(heads: DataFrame, entries: DataFrame):
-    """A filter of documents: one of each group that has an entry, and few others."""
+    """A filter of documents: one of each group that has an entry, and few others. A set that comes twice does no harm."""
     groups = entries.select("gid").distinct()
     first = heads.where("n > 0").groupBy("gid").agg(F.min("id").alias("id"))
     bits = bit_filter(first.join(groups, "gid", "left_semi"), "id")

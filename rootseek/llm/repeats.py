@@ -40,15 +40,17 @@ from rootseek.llm.jaccard import bit_filter, ddl, keyed, passing
 #: Bytes of an anchor's gram.
 GRAM = 50
 #: Bytes handled at once; a longer text goes in overlapping pieces.
-BYTES = 1 << 20
+BYTES = 1 << 18
 #: Anchors per bucket of the packed shuffle: about 50 MB.
 BUCKET_ANCHORS = 2_000_000
 #: Occurrences in one task from which a gram skips that shuffle.
 FREQUENT = 16
 #: Different segments from which a gram is cut into pieces, and windows of a piece at each further level.
 MANY, STEPS = 1000, (8, 1)
-#: Text of a block, and of the strings of one shuffle bucket, in bytes.
-BLOCK, BUCKET_BYTES = 1 << 18, 1 << 23
+#: Text of a block, in bytes.
+BLOCK = 1 << 18
+#: Segments a task remembers having sent.
+SEEN = 200_000
 
 
 # --- anchors ----------------------------------------------------------------
@@ -220,19 +222,24 @@ def _cut(width: int):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             out = defaultdict(list)
-            for tid, text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = _bytes(text)
-                for s in spots:
-                    piece = data[s["first"] : s["first"] + s["windows"] + width - 1]
-                    key = bytes_key(piece)
-                    name = (s["gram"], key)
-                    for column, value in zip(("gram", "seg", "tid", "first", "windows", "place", "bytes"), (*name, tid, s["first"], s["windows"], s["place"], None if name in seen else piece)):
-                        out[column].append(value)
-                    if len(seen) < 500_000:
-                        seen.add(name)
-            if out:
-                kinds = {"windows": pa.int32(), "place": pa.int32(), "bytes": pa.binary()}
-                yield arrow_rows({c: (v, kinds.get(c, pa.int64())) for c, v in out.items()})
+            spots = batch.column(2)
+            sizes = np.diff(spots.offsets.to_numpy())
+            flat = spots.flatten()
+            columns = {n: flat.field(n) for n in ("gram", "first", "windows", "place")}
+            texts = [_bytes(t) for t in batch.column(1).to_pylist()]
+            of = np.repeat(np.arange(len(texts)), sizes).tolist()
+            keys, pieces = [], []
+            for i, gram, first, windows in zip(of, *(columns[n].to_pylist() for n in ("gram", "first", "windows"))):
+                piece = texts[i][first : first + windows + width - 1]
+                name = (gram, bytes_key(piece))
+                keys.append(name[1])
+                pieces.append(None if name in seen else piece)
+                if len(seen) < SEEN:
+                    seen.add(name)
+            yield arrow_rows({
+                "gram": (columns["gram"], None), "seg": (keys, pa.int64()), "tid": (np.repeat(batch.column(0).to_numpy(), sizes), pa.int64()),
+                "first": (columns["first"], None), "windows": (columns["windows"], None), "place": (columns["place"], None), "bytes": (pieces, pa.binary()),
+            })
 
     return work
 
@@ -253,8 +260,8 @@ def _recut(width: int, step: int):
                     core = r["bytes"][max(0, lowest + step - 1) : lowest + width]
                     own = f"{r['gram']}/{(r['place'] - a) // step}/".encode()
                     for column, value in zip(
-                        ("gram", "seg", "up_gram", "up_seg", "shift", "windows", "place", "n", "bytes"),
-                        (bytes_key(own + core), bytes_key(own + b"/%d/" % (r["place"] - a) + piece), r["gram"], r["seg"], r["shift"] + a, b - a, r["place"] - a, r["n"], piece),
+                        ("gram", "seg", "up_gram", "up_seg", "shift", "windows", "place", "bytes"),
+                        (bytes_key(own + core), bytes_key(own + b"/%d/" % (r["place"] - a) + piece), r["gram"], r["seg"], a, b - a, r["place"] - a, piece),
                     ):
                         out[column].append(value)
                     a = b
@@ -266,16 +273,19 @@ def _recut(width: int, step: int):
 
 
 def _sort_blocks(width: int):
-    """(gram, seg, from, to): runs of windows that occur again. Whole grams stay in one block."""
+    """(gram, seg, from, to): runs of windows that occur in several strings. Whole grams stay in one block.
+
+    Rows come in order of gram and seg; a string may come several times.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
-        size, last = 0, None
+        size, last = 0, (None, None)
 
         def settle():
             out = defaultdict(list)
-            flags = suffixes.repeated_windows([r[2] for r in block], [r[3] for r in block], width)
-            for (gram, seg, _, _), again in zip(block, flags):
+            flags = suffixes.repeated_windows([r[2] for r in block], width)
+            for (gram, seg, _), again in zip(block, flags):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
                 for a, b in edge.reshape(-1, 2).tolist():
                     for column, value in zip(("gram", "seg", "from", "to"), (gram, seg, a, b)):
@@ -284,59 +294,51 @@ def _sort_blocks(width: int):
             return arrow_rows({c: (out[c], kinds.get(c, pa.int64())) for c in ("gram", "seg", "from", "to")})
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns[:4])):
-                if size > BLOCK and row[0] != last:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:2] == last:
+                    continue
+                if size > BLOCK and row[0] != last[0]:
                     yield settle()
                     block, size = [], 0
                 block.append(row)
-                size, last = size + len(row[2]), row[0]
+                size, last = size + len(row[2]), row[:2]
         if block:
             yield settle()
 
     return work
 
 
-def _sorted_runs(strings: DataFrame, width: int, total: int) -> DataFrame:
-    """``strings``: gram, seg, bytes, n. Grams are gathered by hash into buckets of bounded size."""
-    parts = max(strings.sparkSession.sparkContext.defaultParallelism, ceil_div(total, BUCKET_BYTES))
-    gathered = strings.select("gram", "seg", "bytes", "n").repartition(parts, "gram").sortWithinPartitions("gram")
+def _sorted_runs(strings: DataFrame, width: int) -> DataFrame:
+    """``strings``: gram, seg, bytes. All strings of a gram meet in one task, which sorts block after block."""
+    gathered = strings.repartition("gram").sortWithinPartitions("gram", "seg")
     return per_partition(gathered, _sort_blocks(width), "gram long, seg long, from int, to int")
 
 
 def _repeated(segments: DataFrame, width: int) -> DataFrame:
     """(gram, seg, from, to) of all segments with windows that occur again."""
-    runs = []
-    # gram, seg, windows, place, n (occurrences), one copy of the bytes
-    level = segments.groupBy("gram", "seg").agg(
-        F.count("*").alias("n"), F.max("windows").alias("windows"), F.max("place").alias("place"), F.max("bytes").alias("bytes")
-    ).withColumn("shift", F.lit(0))
-    level = durable(level, "strings")
-    parents: list[DataFrame] = []
+    runs, ups = [], []
+    level = segments
     for depth in range(len(STEPS) + 1):
-        grams = level.groupBy("gram").agg(F.count("*").alias("k"), F.sum(F.length("bytes")).alias("size"))
-        grams = durable(grams, "grams")
-        # a gram with one string: nothing to sort, its copies are the repeats
-        alone = level.where("n > 1").select("gram", "seg", F.lit(0).alias("from"), F.col("windows").alias("to"))
-        several = grams.where("k > 1")
-        many = several.where(F.col("k") > MANY) if depth < len(STEPS) else several.limit(0)
-        here = several if depth == len(STEPS) else several.where(F.col("k") <= MANY)
-        total = here.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first().s
-        found = _sorted_runs(level.join(here.select("gram"), "gram", "left_semi"), width, total).union(
-            alone.join(here.select("gram"), "gram", "left_anti")
-        )
-        for up in reversed(parents):
-            # runs of pieces become runs of the strings they were cut from
-            found = found.join(up, ["gram", "seg"]).select(F.col("up_gram").alias("gram"), F.col("up_seg").alias("seg"), (F.col("from") + F.col("shift")).alias("from"), (F.col("to") + F.col("shift")).alias("to"))
-        runs.append(durable(found, "runs"))
-        if depth == len(STEPS) or many.isEmpty():
+        counts = durable(level.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.max("windows").alias("windows")), "strings")
+        # copies of a whole string repeat in all its windows
+        copies = counts.where("n > 1").select("gram", "seg", F.lit(0).alias("from"), F.col("windows").alias("to"))
+        several = durable(counts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "grams")
+        last = depth == len(STEPS)
+        here = several if last else several.where(F.col("k") <= MANY)
+        # the filter may let a few other grams pass; theirs is one string, or is sorted in vain
+        found = _sorted_runs(passing(level.where("bytes IS NOT NULL").select("gram", "seg", "bytes"), "gram", bit_filter(here, "gram")), width).union(copies)
+        for up in reversed(ups):  # runs of pieces become runs of the strings they were cut from
+            found = found.join(up, ["gram", "seg"]).select(
+                F.col("up_gram").alias("gram"), F.col("up_seg").alias("seg"), (F.col("from") + F.col("shift")).alias("from"), (F.col("to") + F.col("shift")).alias("to")
+            )
+        runs.append(durable(found.distinct(), "runs"))
+        many = several.where(F.col("k") > MANY)
+        if last or many.isEmpty():
             break
-        cut = per_partition(
-            level.join(many.select("gram"), "gram", "left_semi").select("gram", "seg", "windows", "place", "n", "bytes").withColumn("shift", F.lit(0)),
-            _recut(width, STEPS[depth]), "gram long, seg long, up_gram long, up_seg long, shift int, windows int, place int, n long, bytes binary",
-        )
-        cut = durable(cut, "pieces")
-        parents.append(cut.select("gram", "seg", "up_gram", "up_seg", "shift"))
-        level = durable(cut.groupBy("gram", "seg").agg(F.sum("n").alias("n"), F.max("windows").alias("windows"), F.max("place").alias("place"), F.max("bytes").alias("bytes")).withColumn("shift", F.lit(0)), "strings")
+        wide = level.where("bytes IS NOT NULL").join(many.select("gram"), "gram", "left_semi").dropDuplicates(["gram", "seg"])
+        cut = "gram long, seg long, up_gram long, up_seg long, shift int, windows int, place int, bytes binary"
+        level = durable(per_partition(wide.select("gram", "seg", "windows", "place", "bytes"), _recut(width, STEPS[depth]), cut), "pieces")
+        ups.append(level.select("gram", "seg", "up_gram", "up_seg", "shift"))
     out = runs[0]
     for r in runs[1:]:
         out = out.union(r)

@@ -9,7 +9,7 @@ import numpy as np
 from rootseek.llm import rolling
 
 #: Bytes hashed at once; a longer text goes in pieces.
-BYTES = 1 << 20
+BYTES = 1 << 18
 #: Word separators: blank and the control characters 9 to 13.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, *range(9, 14)]] = True
@@ -51,7 +51,10 @@ def _combine(words: np.ndarray, n: int) -> np.ndarray:
 
 def set_of(words: np.ndarray, width: int) -> np.ndarray:
     """Ascending distinct shingle hashes; a shorter text is one shingle, one without words none."""
-    return np.unique(_combine(words, min(width, len(words)))) if len(words) else np.zeros(0, np.uint64)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    found = np.sort(_combine(words, min(width, len(words))))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
