@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..params import DEFAULTS, Params
 from ..session import durable
@@ -67,7 +68,7 @@ def causal_depths(spans: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 
 def causal_events(spans: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Every span with its depth; order by (depth, start, input order)."""
+    """Every span with its depth; see ``in_causal_order``."""
     return spans.select(
         F.col("service_id").alias("node_id"),
         "trace_id",
@@ -79,6 +80,24 @@ def causal_events(spans: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     ).join(causal_depths(spans, params), "span_id")
 
 
+def in_causal_order(events: DataFrame) -> DataFrame:
+    """Events with their ``position`` from 1 in order of (depth, start, input order).
+
+    Ranges of the order go to partitions; a position is the row's place in its
+    partition plus the sizes of those before, so no task sees all events.
+    """
+    order = ["depth", "timestamp", "ord"]
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = durable(
+        events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", row),
+        "causal-order",
+    )
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn("position", F.col("_row") + F.col("_before") + 1).drop("_part", "_row", "_before")
+
+
 def node_timelines(events: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Counts, error rate, mean depth and first error of each node."""
     first = F.min(F.when(F.col("is_error"), F.struct("depth", "timestamp", "ord", "span_id")))

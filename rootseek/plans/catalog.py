@@ -13,8 +13,8 @@ from ..operators import (
     assessments, causal, codechange, domains, graph, localize as loc, scoring, series, service, spanfacts, spanwindow,
     timeline,
 )
-from ..session import configure, durable
-from ..sources import changes as src_changes, commits as src_commits, lake, metrics as src_metrics, results, traces
+from ..session import configure, durable, new_folder
+from ..sources import changes as src_changes, commits as src_commits, lake, metrics as src_metrics, records, results, traces
 from . import analyze, views
 
 
@@ -277,6 +277,28 @@ def ingest_push_gitlab(t):
     return _push(t, "gitlab")
 
 
+@query
+def ingest_commits(t):
+    good, bad = src_commits.ingest_commits(views.raw_commits(t.spark, t.dir))
+    kept = good.select("event_id", "service_id", "commit_sha", "author", "deploy_event_id", F.unix_micros("timestamp").alias("ts_us"), F.lit(None).cast("string").alias("reason"))
+    gone = bad.select(*[F.lit(None).cast(k).alias(n) for n, k in kept.dtypes[:-1]], "reason")
+    return kept.unionByName(gone)
+
+
+@query
+def scan_files(t):
+    """Records written as JSON lines, scanned and ingested again."""
+    out = []
+    for name, raw, ingest in (
+        ("traces", t.raw_traces, traces.ingest_traces), ("metrics", t.raw_metrics, src_metrics.ingest_metrics), ("changes", t.raw_changes, src_changes.ingest_changes)
+    ):
+        path = new_folder(t.spark, f"scan-{name}")
+        raw.select("raw").write.text(path)
+        good, _ = ingest(records.json_lines(t.spark, path), strict=True)
+        out.append(good.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("good"), F.countDistinct("ord").alias("orders")))
+    return analyze.ev_union(*out)
+
+
 @query
 def span_flags(t):
     return (
@@ -311,6 +333,13 @@ def graph_edges(t):
     return graph.discover_edges(t.spans, t.facts.nodes).select("source_id", "target_id", "edge_type", "protocol", "ord")
 
 
+@query
+def known_topology(t):
+    nodes, edges = views.known_topology(t.spark, t.dir)
+    found, calls = graph.build_graph(t.spans, known_nodes=nodes, known_edges=edges)
+    return found.selectExpr("node_id AS id", "node_type AS kind", "CAST(NULL AS STRING) AS target").unionByName(calls.selectExpr("source_id AS id", "edge_type AS kind", "target_id AS target"))
+
+
 @query
 def change_attach(t):
     attached, _ = graph.attach_changes(t.changes, t.facts.nodes)
@@ -343,6 +372,11 @@ def node_timeline(t):
     )
 
 
+@query
+def causal_events(t):
+    return timeline.in_causal_order(timeline.causal_events(t.spans)).select("position", "span_id", "node_id", F.col("depth").cast("int").alias("depth"), "is_error", "is_server_error")
+
+
 @query
 def origin_candidates(t):
     lines = timeline.node_timelines(timeline.causal_events(t.spans))
@@ -504,6 +538,14 @@ def evidence_dependency(t):
     return _shown(domains.dependency_evidence(domains.dependency_facts(t.of_type("external_dep"), f.window, f.edges, f.inc), f.inc))
 
 
+@query
+def finding_texts(t):
+    f = t.facts
+    found = domains.dependency_evidence(domains.dependency_facts(t.of_type("external_dep"), f.window, f.edges, f.inc), f.inc)
+    both = found.select("node_id", "signal", "finding").unionByName(_database(t)[1].where("signal = 'db_integrity_error'").select("node_id", "signal", "finding"))
+    return both
+
+
 @query
 def dependency_findings(t):
     f = t.facts
@@ -632,6 +674,16 @@ def result_summaries(t):
     return results.summaries(results.documents(t.analysis, with_evidence=False)).drop("analyzed_at")
 
 
+@query
+def result_lookup(t):
+    """Results stored in two rounds and read back by id and as a whole."""
+    path = new_folder(t.spark, "store")
+    results.store(views.stored_results(t.spark, t.dir, "first"), path)
+    results.store(views.stored_results(t.spark, t.dir, "second", "c_custkey % 3 = 0"), path)
+    alone = [results.lookup(t.spark, path, i).select(F.concat(F.lit("lookup of "), "incident_id").alias("incident_id"), "narrative") for i in ("12", "000000000012", "7")]
+    return analyze.ev_union(results.stored(t.spark, path), *alone)
+
+
 @query
 def result_feedback(t):
     """Analyst feedback, one entry per order; the newest one counts."""

@@ -436,6 +436,17 @@ CHECKS = {
         FROM metrics WHERE ord % 50 NOT IN (1, 3, 4, 5, 6, 7)""",
     "ingest_metrics_strict": """SELECT node_id, metric_type, count(*) AS n, round(sum(value), 4) AS total
         FROM metrics WHERE ord % 50 NOT IN (1, 2, 3, 4, 5, 6, 7, 8, 9) GROUP BY ALL""",
+    "ingest_commits": """
+        SELECT 'commit-' || o_orderkey AS event_id, 'n' || (o_custkey % 9) AS service_id, md5(o_orderkey::VARCHAR) AS commit_sha, 'dev' || (o_custkey % 50) AS author,
+               CASE WHEN o_orderkey % 2 = 0 THEN 'chg-' || o_orderkey END AS deploy_event_id,
+               epoch_us(o_orderdate::TIMESTAMP) - CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 7200000000 END AS ts_us, NULL::VARCHAR AS reason
+        FROM orders WHERE o_orderkey % 29 <> 0 AND o_orderkey % 31 <> 0
+        UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN o_orderkey % 29 = 0 THEN 'missing commit_sha' ELSE 'bad timestamp' END
+        FROM orders WHERE o_orderkey % 29 = 0 OR o_orderkey % 31 = 0""",
+    "scan_files": f"""
+        SELECT 'traces' AS source, count(*) AS good, count(*) AS orders FROM spans WHERE NOT ({BAD_SPAN})
+        UNION ALL SELECT 'metrics', count(*), count(*) FROM metrics WHERE ord % 50 NOT IN (1, 2, 3, 4, 5, 6, 7, 8, 9)
+        UNION ALL SELECT 'changes', count(*), count(*) FROM changes WHERE ord % 40 NOT IN (1, 2, 3) AND NOT (ord % 40 = 4 AND kind = 'deploy')""",
     "ingest_changes": f"SELECT {RAW_CHANGE} FROM changes WHERE ord % 40 NOT IN (1, 2, 3) AND NOT (ord % 40 = 4 AND kind = 'deploy')",
     "ingest_rejects": """
         SELECT 'spans' AS source, CASE WHEN ord % 101 = 0 THEN 'empty spanId' WHEN ord % 107 = 0 THEN 'unparseable timestamp' ELSE 'end before start' END AS reason,
@@ -471,8 +482,16 @@ CHECKS = {
     "graph_edges": "SELECT source_id, target_id, 'calls' AS edge_type, protocol, ord FROM edges",
     "change_attach": """SELECT node_id AS service_id, kind, count(*) AS n, max(ts_us) AS last_us FROM changes
         WHERE node_id IN (SELECT node_id FROM services) GROUP BY ALL""",
+    "known_topology": """
+        SELECT 'n' || n_nationkey AS id, 'queue' AS kind, NULL::VARCHAR AS target FROM nation WHERE n_nationkey % 3 = 0
+        UNION ALL SELECT node_id, node_type, NULL FROM nodes WHERE node_id NOT IN (SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 3 = 0)
+        UNION ALL SELECT 'n' || r_regionkey, 'depends_on', 'n' || (r_regionkey + 3) FROM region
+        UNION ALL SELECT source_id, 'calls', target_id FROM edges
+        WHERE NOT EXISTS (SELECT 1 FROM region WHERE 'n' || r_regionkey = source_id AND 'n' || (r_regionkey + 3) = target_id)""",
     "dag_check": """SELECT count(*) AS cyclic_edges, count(*) = 0 AS is_dag FROM walks WHERE hop > 0 AND cand = node_id""",
     "db_systems": "SELECT DISTINCT node_id, 'postgresql' AS db_system FROM spans WHERE nn = 9",
+    "causal_events": """SELECT row_number() OVER (ORDER BY tier, start_us, ord) AS position, span_id, node_id, (tier - 1)::INTEGER AS depth, err AS is_error,
+        coalesce(code >= 500, FALSE) AS is_server_error FROM spans""",
     "causal_depth": "SELECT span_id, (tier - 1)::INTEGER AS depth FROM spans",
     "node_timeline": """
         SELECT node_id, count(*) AS total_span_count, count(*) FILTER (WHERE err) AS error_span_count,
@@ -546,6 +565,12 @@ CHECKS = {
     "evidence_assessed": """SELECT node_id, 'llm_config_assessment' AS signal, CASE o_orderkey % 7 WHEN 0 THEN 'strong' ELSE 'weak' END AS strength, place AS item
         FROM settings WHERE place <= 3 AND o_orderkey % 7 IN (0, 1)""",
     "database_findings": "SELECT node_id, domain, failure_type, priority::DOUBLE AS priority_score FROM findings WHERE domain = 'database'",
+    "finding_texts": """
+        SELECT 'n11' AS node_id, 'http_error_pattern' AS signal, calls || ' of ' || (SELECT sum(calls) FROM calls) || ' calls to n11 came back as ' || code || ' within 5 min' AS finding
+        FROM calls WHERE code BETWEEN 500 AND 599
+        UNION ALL SELECT 'n11', 'all_callers_affected', affected || ' of ' || callers || ' services that call n11 suffer' || CASE WHEN affected = callers THEN ', that is all' ELSE '' END FROM scope
+        UNION ALL SELECT node_id, 'db_integrity_error', exc_type || ' reported by ' || node_id || ': ' || exc_msg FROM (
+            SELECT node_id, arg_min(exc_type, ord) AS exc_type, arg_min(exc_msg, ord) AS exc_msg FROM win WHERE nn = 9 AND exc_type = 'UniqueViolation' GROUP BY 1)""",
     "dependency_findings": "SELECT node_id, domain, failure_type, priority::DOUBLE AS priority_score FROM findings WHERE domain = 'dependency'",
     "queue_findings": "SELECT node_id, domain, failure_type, priority::DOUBLE AS priority_score FROM findings WHERE domain = 'queue'",
     "latest_deploy": """SELECT node_id, event_id AS deploy_id, 'v' || (o_orderkey % 10) AS version,
@@ -624,6 +649,10 @@ CHECKS = {
     "result_summaries": """SELECT 'inc-1' AS incident_id, verdict = 'root_cause_found' AS has_root_cause,
         coalesce((SELECT cents / 100 FROM causes ORDER BY score_rank LIMIT 1), 0)::DOUBLE AS confidence,
         (SELECT node_id FROM scored WHERE score_rank = 1) AS top_candidate, (SELECT domain FROM scored WHERE score_rank = 1) AS domain FROM verdicts""",
+    "result_lookup": """
+        WITH stored AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN lpad(c_custkey::VARCHAR, 12, '0') ELSE c_custkey::VARCHAR END AS incident_id,
+                               CASE WHEN c_custkey % 3 = 0 THEN 'second' ELSE 'first' END AS narrative FROM customer)
+        SELECT * FROM stored UNION ALL SELECT 'lookup of ' || incident_id, narrative FROM stored WHERE incident_id IN ('12', '000000000012', '7')""",
     "result_feedback": """
         SELECT 'inc-1' AS incident_id, arg_max(o_orderstatus = 'F', (epoch_us(o_orderdate) + o_orderkey, o_orderstatus = 'F', 'note ' || o_orderkey)) AS correct,
                arg_max('note ' || o_orderkey, (epoch_us(o_orderdate) + o_orderkey, o_orderstatus = 'F', 'note ' || o_orderkey)) AS notes, 1::BIGINT AS n

@@ -284,6 +284,34 @@ def raw_changes(changes_view: DataFrame) -> DataFrame:
     )
 
 
+def raw_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit metadata records, one per order, some of them broken."""
+    stamp = """concat(date_format(CAST(o_orderdate AS TIMESTAMP), "yyyy-MM-dd'T'HH:mm:ss"), CASE o_orderkey % 3 WHEN 0 THEN 'Z' ELSE '+02:00' END)"""
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"""to_json(named_struct('event_id', concat('commit-', o_orderkey), 'commit_sha', CASE WHEN o_orderkey % 29 = 0 THEN '' ELSE md5(CAST(o_orderkey AS STRING)) END,
+            'repo_url', concat('https://h/', o_custkey), 'branch', 'main', 'author', concat('dev', o_custkey % 50), 'commit_message', concat('m', o_orderkey),
+            'deploy_event_id', CASE WHEN o_orderkey % 2 = 0 THEN concat('chg-', o_orderkey) END,
+            'timestamp', CASE WHEN o_orderkey % 31 = 0 THEN 'now' ELSE {stamp} END)) AS raw""",
+        "concat('n', o_custkey % 9) AS service_id", "CAST(o_orderkey AS BIGINT) AS ord",
+    )
+
+
+def stored_results(spark: SparkSession, sf_dir: str, narrative: str, condition: str = "true") -> DataFrame:
+    """Result rows, one per customer, with ids that read like numbers."""
+    return table(spark, sf_dir, "customer").where(condition).selectExpr(
+        "CASE WHEN c_custkey % 2 = 0 THEN lpad(CAST(c_custkey AS STRING), 12, '0') ELSE CAST(c_custkey AS STRING) END AS incident_id", f"'{narrative}' AS narrative"
+    )
+
+
+def known_topology(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Known nodes and edges from the nations and regions."""
+    nodes = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").selectExpr("concat('n', n_nationkey) AS node_id", "'queue' AS node_type")
+    edges = table(spark, sf_dir, "region").selectExpr(
+        "concat('n', r_regionkey) AS source_id", "concat('n', r_regionkey + 3) AS target_id", "'depends_on' AS edge_type", "'known' AS protocol"
+    )
+    return nodes, edges
+
+
 def raw_pushes(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
     """Push payloads of both shapes, one per order."""
     stamp = """concat(date_format(CAST(o_orderdate AS TIMESTAMP), "yyyy-MM-dd'T'HH:mm:ss"),
