@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -53,10 +54,40 @@ def arrow_rows(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch
     )
 
 
+def _release() -> None:
+    """Give memory that a task no longer needs back to the machine; workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def _tidy(work: Callable) -> Callable:
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _release()
+
+    return run
+
+
+def chain(*works: Callable) -> Callable:
+    """Several steps over batches in one worker, each taking what the one before gives."""
+
+    def run(batches):
+        for work in works:
+            batches = work(batches)
+        return batches
+
+    return run
+
+
 def per_partition(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with this package at hand on the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(_tidy(work), schema)
 
 
 def partition_offsets(totals: DataFrame, part: str, amount: str) -> DataFrame:

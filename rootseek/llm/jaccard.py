@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootseek.llm import shingles
-from rootseek.llm.common import arrow_rows, ceil_div, durable, per_partition
+from rootseek.llm.common import arrow_rows, ceil_div, chain, durable, per_partition
 from rootseek.llm.components import components
 from rootseek.llm.rolling import mix
 
@@ -44,8 +44,8 @@ from rootseek.llm.rolling import mix
 SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
 #: A counter's level: LEVELS steps per doubling.
 LEVELS = 8
-#: Prefix entries per bucket of the packed shuffle: about 50 MB.
-BUCKET_ENTRIES = 2_000_000
+#: Prefix entries per bucket of the packed shuffle: about 12 MB, sorted in one worker.
+BUCKET_ENTRIES = 500_000
 #: Estimated groups from which a shingle skips the packed shuffle, besides the sketch's mean.
 FREQUENT = 1024
 #: Groups up to which a shingle gives all pairs.
@@ -221,28 +221,27 @@ def _as_pairs(met: DataFrame) -> DataFrame:
 
 
 def bit_filter(ids: DataFrame, col: str) -> np.ndarray:
-    """A filter of fixed size that passes at least all given ids."""
-    bit = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
-    words = ids.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({col}), {FILTER_BITS}) % 32 as int))").alias("b"))
+    """A filter of fixed size that passes at least all given ids, by their lowest bits."""
+    bit = f"pmod(coalesce(cast({col} as long), 0), {FILTER_BITS})"
+    words = ids.select(F.expr(f"cast({bit} div 32 as int)").alias("w"), F.expr(f"shiftleft(1L, cast({bit} % 32 as int))").alias("b"))
     out = np.zeros(FILTER_BITS // 32, np.uint32)
     for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # FILTER_BITS / 32 rows at most
         out[r.w] = r.b
     return out
 
 
-def passing(df: DataFrame, col: str, bits: np.ndarray) -> DataFrame:
-    """Rows whose id the filter passes, tested before any shuffle."""
+def passing(df: DataFrame, col: str, bits: np.ndarray, before: tuple = (), after: tuple = (), schema: str | None = None) -> DataFrame:
+    """Rows whose id the filter passes, tested before any shuffle. Steps before and after run in the same worker."""
     sent = df.sparkSession.sparkContext.broadcast(bits)
-    marked = df.withColumn("_bit", F.pmod(F.xxhash64(col), F.lit(FILTER_BITS)))
-    at = len(df.columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value
         for batch in batches:
-            bit = batch.column(at).to_numpy()
-            yield pa.RecordBatch.from_arrays(batch.columns[:at], names=batch.schema.names[:at]).filter(pa.array((words[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
+            ids = batch.column(batch.schema.get_field_index(col)).fill_null(0).to_numpy(zero_copy_only=False)
+            bit = np.mod(ids, FILTER_BITS)
+            yield batch.filter(pa.array((words[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
 
-    return per_partition(marked, work, ddl(df))
+    return per_partition(df, chain(*before, work, *after), schema or ddl(df))
 
 
 def ddl(df: DataFrame) -> str:
@@ -256,7 +255,7 @@ def _whole_sets(width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, data = [], []
-            for found in shingles.sets(batch.column(0).to_pylist(), width):
+            for found in shingles.sets(batch.column(batch.schema.get_field_index("text")).to_pylist(), width):
                 keys.append(set_key(found))
                 data.append(_to_48(found >> np.uint64(16)))
             yield arrow_rows({"gid": (keys, pa.int64()), "words": (data, pa.binary())})
@@ -325,8 +324,9 @@ def similar_groups(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame
     counted = durable(shared.union(straight), "entries")
     sizes = counted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
     entries = durable(counted.join(sizes, "token"), "entries")
-    candidates = passing_ids(heads, entries)
-    sets = durable(per_partition(candidates(docs), _whole_sets(width), "gid long, words binary"), "sets")
+    sets = durable(
+        passing(docs, "id", _candidates(heads, entries), after=(_whole_sets(width),), schema="gid long, words binary"), "sets"
+    )
 
     small, large = entries.where(F.col("k") <= SMALL).drop("k"), entries.where(F.col("k") > SMALL).drop("k")
     met = _with_other(small, small, percent).where("gid < hid").select("gid", "hid").union(
@@ -359,12 +359,10 @@ def similar_groups(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame
     return heads.select("id", "tid", "n", "gid"), comps
 
 
-def passing_ids(heads: DataFrame, entries: DataFrame):
+def _candidates(heads: DataFrame, entries: DataFrame) -> np.ndarray:
     """A filter of documents: one of each group that has an entry, and few others. A set that comes twice does no harm."""
-    groups = entries.select("gid").distinct()
     first = heads.where("n > 0").groupBy("gid").agg(F.min("id").alias("id"))
-    bits = bit_filter(first.join(groups, "gid", "left_semi"), "id")
-    return lambda docs: passing(docs, "id", bits).select("text")
+    return bit_filter(first.join(entries.select("gid").distinct(), "gid", "left_semi"), "id")
 
 
 def text_key(text: str | None) -> int:
@@ -385,15 +383,11 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_
     return whole.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs``, which has a column text, with the text's key ``tid`` in front."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.int64()), *batch.columns], names=["tid", *batch.schema.names])
-
-    return per_partition(docs, work, "tid long, " + ddl(docs))
+def add_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the key ``tid`` of their column text in front."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.int64()), *batch.columns], names=["tid", *batch.schema.names])
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,9 +404,9 @@ def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     best = rows.groupBy("comp").agg(F.min(F.struct("id", "tid")).alias("best"))
     judged = rows.join(best, "comp").select("id", "tid", (F.struct("id", "tid") == F.col("best")).alias("stays"), "k")
     marked = durable(judged.where("NOT stays OR k > 1").select("id", "tid", "stays"), "judged")
-    bits, rows = bit_filter(marked, "tid"), keyed(plain)
-    touched = passing(rows, "tid", bits).join(marked, ["id", "tid"], "left")
+    bits, schema = bit_filter(marked, "tid"), "tid long, " + ddl(plain)
+    touched = passing(plain, "tid", bits, before=(add_key,), schema=schema).join(marked, ["id", "tid"], "left")
     single = touched.where("stays").dropDuplicates(["id", "tid"])
-    kept = passing(rows, "tid", ~bits)
+    kept = passing(plain, "tid", ~bits, before=(add_key,), schema=schema)
     columns = [f"c{i}" for i in range(len(names))]
     return kept.select(*columns).union(touched.where("stays IS NULL").select(*columns)).union(single.select(*columns)).toDF(*names)

@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootseek.llm import rolling, suffixes
-from rootseek.llm.common import arrow_rows, ceil_div, durable, per_partition
-from rootseek.llm.jaccard import bit_filter, ddl, keyed, passing
+from rootseek.llm.common import arrow_rows, ceil_div, chain, durable, per_partition
+from rootseek.llm.jaccard import add_key, bit_filter, ddl, passing
 
 #: Bytes of an anchor's gram.
 GRAM = 50
 #: Bytes handled at once; a longer text goes in overlapping pieces.
 BYTES = 1 << 18
-#: Anchors per bucket of the packed shuffle: about 50 MB.
-BUCKET_ANCHORS = 2_000_000
+#: Anchors per bucket of the packed shuffle: about 12 MB, sorted in one worker.
+BUCKET_ANCHORS = 500_000
 #: Occurrences in one task from which a gram skips that shuffle.
 FREQUENT = 16
 #: Different segments from which a gram is cut into pieces, and windows of a piece at each further level.
@@ -365,8 +365,7 @@ def spans(texts: DataFrame, width: int = 200) -> DataFrame:
         per_partition(found.where("bucket < 0"), _straight, _ROW)
     ).distinct()
     spots = durable(shared.groupBy("tid").agg(F.collect_list(F.struct("gram", "first", "windows", "place")).alias("spots")), "spots")
-    with_key = keyed(texts.select("text"))
-    wanted = passing(with_key, "tid", bit_filter(spots, "tid")).dropDuplicates(["tid"])
+    wanted = passing(texts.select("text"), "tid", bit_filter(spots, "tid"), before=(add_key,), schema="tid long, text string").dropDuplicates(["tid"])
     segments = durable(
         per_partition(wanted.join(spots, "tid").select("tid", "text", "spots"), _cut(width), "gram long, seg long, tid long, first long, windows int, place int, bytes binary"),
         "segments",
@@ -399,6 +398,12 @@ def _outside(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
+def _no_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        none = pa.nulls(len(batch), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))
+        yield pa.RecordBatch.from_arrays([*batch.columns, none], names=[*batch.schema.names, "spans"])
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = defaultdict(list)
@@ -410,26 +415,23 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["n_removed"].append(len(data) - len(kept))
             out["n_spans"].append(len(ranges))
             out["kept"].append(kept)
-        kinds = {"kept": pa.binary()}
-        columns = [(c, pa.array(v, kinds.get(c, pa.int64()))) for c, v in out.items()]
+        columns = [(c, pa.array(out[c], t)) for c, t in (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()))]
         rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n not in ("tid", "spans", "text")]
         yield pa.RecordBatch.from_arrays([c for _, c in rest + columns], names=[n for n, _ in rest + columns])
 
 
-def kept_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
+def kept_bytes(docs: DataFrame, width: int = 200, after: tuple = (), schema: str | None = None) -> DataFrame:
     """The columns of ``docs`` except text, and n_bytes, n_removed, n_spans, kept (binary).
 
     ``docs`` has a column text. Documents that lose nothing are not shuffled.
+    ``after`` are further steps in the same worker, which give ``schema``.
     """
     found = spans(docs, width)
-    bits = bit_filter(found, "tid")
-    with_key = keyed(docs)
-    hit = passing(with_key, "tid", bits).join(found, "tid", "left")
-    clean = passing(with_key, "tid", ~bits).withColumn("spans", F.lit(None).cast("array<struct<from:bigint,to:bigint>>"))
-    rest = docs.drop("text")
-    schema = ", ".join(x for x in (ddl(rest), "n_bytes long, n_removed long, n_spans long, kept binary") if x)
-    columns = ["tid", *docs.columns, "spans"]
-    return per_partition(hit.select(*columns).union(clean.select(*columns)), _apply, schema)
+    bits, with_key = bit_filter(found, "tid"), "tid long, " + ddl(docs)
+    schema = schema or ", ".join(x for x in (ddl(docs.drop("text")), "n_bytes long, n_removed long, n_spans long, kept binary") if x)
+    hit = passing(docs, "tid", bits, before=(add_key,), schema=with_key).join(found, "tid", "left")
+    clean = passing(docs, "tid", ~bits, before=(add_key,), after=(_no_spans, _apply, *after), schema=schema)
+    return per_partition(hit.select("tid", *docs.columns, "spans"), chain(_apply, *after), schema).union(clean)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200) -> DataFrame:
@@ -446,17 +448,15 @@ def without_repeats(docs: DataFrame, text_col: str = "text", width: int = 200) -
     """
     order = docs.columns
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)], F.col(f"`{text_col}`").cast("string").alias("text"))
-    done = kept_bytes(renamed, width)
-    fixed = per_partition(done.select(*[f"c{i}" for i in range(len(order))], "kept"), _to_text(order.index(text_col)), ddl(renamed.drop("text")))
-    return fixed.toDF(*order)
+    return kept_bytes(renamed, width, (_to_text(order.index(text_col)),), ddl(renamed.drop("text"))).toDF(*order)
 
 
 def _to_text(at: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *columns, kept = batch.columns
+            *columns, _, _, _, kept = batch.columns
             old = columns[at].to_pylist()
             columns[at] = pa.array([None if o is None else k.decode("utf-8", "ignore") for o, k in zip(old, kept.to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(columns)])
 
     return work
