@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..params import DEFAULTS, Params
 
@@ -95,6 +96,61 @@ def in_window(
     )
 
 
+def edge_ranks(inc: Incidents) -> DataFrame:
+    """(edge, rank) of all window edges: start, end, and the instant after the end.
+
+    At most three rows per incident, so numbering them in one task is bounded
+    by the incidents, not by the telemetry.
+    """
+    edges = _window_edges(inc).select(F.explode(F.array("incident_start", "incident_end", "after_end")).alias("edge")).distinct()
+    return edges.withColumn("rank", F.row_number().over(W.orderBy("edge")))
+
+
+def _window_edges(inc: Incidents) -> DataFrame:
+    return inc.windows().withColumn("after_end", F.col("incident_end") + F.expr("INTERVAL '0.000001' SECOND"))
+
+
+def ranked_windows(inc: Incidents, ranks: DataFrame) -> DataFrame:
+    """Incidents with the ranks of their three edges."""
+    out = _window_edges(inc)
+    for edge, name in (("incident_start", "start_rank"), ("incident_end", "end_rank"), ("after_end", "after_rank")):
+        out = out.join(ranks.select(F.col("edge").alias(edge), F.col("rank").alias(name)), edge)
+    return out.select("incident_id", "incident_start", "start_rank", "end_rank", "after_rank")
+
+
+def with_segment(rows: DataFrame, ts: str, inc: Incidents, ranks: DataFrame, seconds: int = 86400) -> DataFrame:
+    """Add ``seg``, the number of window edges at or before a row.
+
+    Edges are grouped by day, days without edges carry the number before them,
+    so a row meets one small list.
+    """
+    days = ranks.groupBy(bucket(F.col("edge"), seconds).alias("_day")).agg(
+        F.sort_array(F.collect_list("edge")).alias("_edges"), (F.min("rank") - 1).alias("_before")
+    )
+    first, last, total = days.agg(F.min("_day"), F.max("_day"), F.coalesce(F.sum(F.size("_edges")), F.lit(0))).first()
+    if first is None:
+        return rows.withColumn("seg", F.lit(0).cast("bigint"))
+    following = F.coalesce(F.lead("_day").over(W.orderBy("_day")) - 1, F.col("_day"))
+    filled = days.withColumn("_to", following).withColumn("_at", F.explode(F.sequence("_day", "_to")))
+    own = F.col("_at") == F.col("_day")
+    filled = filled.select(
+        F.col("_at").alias("_day"),
+        F.when(own, F.col("_edges")).otherwise(F.array().cast("array<timestamp>")).alias("_edges"),
+        (F.col("_before") + F.when(own, 0).otherwise(F.size("_edges"))).alias("_before"),
+    )
+    day = F.col("_day")
+    return (
+        rows.withColumn("_day", bucket(F.col(ts), seconds))
+        .join(inc.small(filled, 3), "_day", "left")
+        .withColumn(
+            "seg",
+            F.when(day < first, 0).when(day > last, total)
+            .otherwise(F.col("_before") + F.size(F.filter("_edges", lambda e: e <= F.col(ts)))).cast("bigint"),
+        )
+        .drop("_day", "_edges", "_before")
+    )
+
+
 def with_history(cells: DataFrame, first_ts: str, inc: Incidents) -> DataFrame:
     """Pair every cell with the incidents whose window ends at or after it starts.
 

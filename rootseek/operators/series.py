@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.incidents import Incidents, bucket, with_history
+from ..functions.incidents import Incidents, bucket, edge_ranks, ranked_windows, with_history, with_segment
 from ..params import ANOMALY_METRICS
 
 SERIES = ("node_id", "metric_type")
@@ -66,11 +66,6 @@ def _before() -> Column:
     return F.col("last_ts") < F.col("incident_start")
 
 
-def _during(closed: bool) -> Column:
-    upper = F.col("last_ts") <= F.col("incident_end") if closed else F.col("last_ts") < F.col("incident_end")
-    return (F.col("first_ts") >= F.col("incident_start")) & upper
-
-
 def series_stats(cells: DataFrame, inc: Incidents) -> DataFrame:
     """One row per incident and series: baseline, current and observed figures.
 
@@ -80,28 +75,56 @@ def series_stats(cells: DataFrame, inc: Incidents) -> DataFrame:
     their digits when the values are large or jump during an incident.
     """
     p = inc.params
-    by_time = W.partitionBy(*SERIES).orderBy("chunk", "part")
-    shifted = cells.withColumn("pivot", F.first("mean").over(by_time))
-    pre, cur, obs = _before(), _during(False), _during(True)
+    ranks = edge_ranks(inc)
+    windows = ranked_windows(inc, ranks)
+    pivots = cells.groupBy(*SERIES).agg(F.min_by("mean", F.struct("chunk", "part")).alias("pivot"))
     shift = F.col("mean") - F.col("pivot")
-    total = F.col("n") * F.col("mean")
-    sums = (
-        with_history(shifted, "first_ts", inc)
-        .groupBy("incident_id", "incident_start", *SERIES)
+    # Between two edges all incidents see the same samples: one row per series and
+    # stretch, and from here on nothing grows with the past.
+    stretches = (
+        with_segment(cells, "first_ts", inc, ranks)
+        .join(pivots, list(SERIES))
+        .groupBy(*SERIES, "seg")
         .agg(
             F.max("pivot").alias("pivot"),
-            F.sum(F.when(pre, F.col("n"))).alias("sample_count"),
-            F.sum(F.when(pre, F.col("n") * shift)).alias("s1"),
-            F.sum(F.when(pre, F.col("n") * (F.col("var") + shift * shift))).alias("s2"),
-            F.min(F.when(pre, F.col("lo"))).alias("min_value"),
-            F.max(F.when(pre, F.col("hi"))).alias("max_value"),
+            F.sum("n").alias("n"),
+            F.sum(F.col("n") * shift).alias("s1"),
+            F.sum(F.col("n") * (F.col("var") + shift * shift)).alias("s2"),
+            F.min("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+            F.sum(F.col("n") * F.col("mean")).alias("total"),
+            F.min("first_ord").alias("first_ord"),
+        )
+    )
+    key = ["incident_id", "incident_start", *SERIES]
+    in_order = W.partitionBy(*SERIES).orderBy("seg")
+    until = F.greatest(F.coalesce(F.lead("seg").over(in_order) - 1, F.lit(3 * inc.count)), F.col("seg"))
+    before = (
+        stretches.select(
+            *SERIES, "seg", until.alias("until"), "pivot",
+            F.sum("n").over(in_order).alias("sample_count"), F.sum("s1").over(in_order).alias("s1"), F.sum("s2").over(in_order).alias("s2"),
+            F.min("lo").over(in_order).alias("min_value"), F.max("hi").over(in_order).alias("max_value"),
+        )
+        .withColumn("seg", F.explode(F.sequence("seg", "until")))
+        .join(windows.select("incident_id", "incident_start", (F.col("start_rank") - 1).cast("bigint").alias("seg")), "seg")
+        .select(*key, "pivot", "sample_count", "s1", "s2", "min_value", "max_value")
+    )
+    inside = windows.select(
+        "incident_id", "incident_start", F.explode(F.sequence("start_rank", F.col("after_rank") - 1)).alias("seg"), "end_rank"
+    ).select("incident_id", "incident_start", F.col("seg").cast("bigint").alias("seg"), (F.col("seg") < F.col("end_rank")).alias("open"))
+    cur = F.col("open")
+    during = (
+        stretches.join(inside, "seg")
+        .groupBy(*key)
+        .agg(
             F.sum(F.when(cur, F.col("n"))).alias("cur_n"),
-            F.sum(F.when(cur, total)).alias("cur_sum"),
+            F.sum(F.when(cur, F.col("total"))).alias("cur_sum"),
             F.min(F.when(cur, F.col("first_ord"))).alias("cur_ord"),
-            F.sum(F.when(obs, F.col("n"))).alias("obs_n"),
-            F.sum(F.when(obs, total)).alias("obs_sum"),
+            F.sum("n").alias("obs_n"),
+            F.sum("total").alias("obs_sum"),
         )
     )
+    sums = before.join(during, key, "full")
     d1 = F.try_divide("s1", "sample_count")
     var = F.greatest(F.try_divide("s2", "sample_count") - d1 * d1, F.lit(0.0))
     return sums.select(

@@ -2,6 +2,7 @@ import random
 from datetime import timedelta
 
 from build import START, Lake, rows
+from rootseek import schemas
 from rootseek.functions.incidents import Incidents
 from rootseek.operators import series
 from rootseek.params import Params
@@ -159,3 +160,20 @@ def test_large_incident_lists_are_not_broadcast(spark):
     cols = ["incident_id", "node_id", "sample_count", "cur_n", "obs_n"]
     assert rows(stats, *cols) == rows(same, *cols)
     assert "ResolvedHint" not in stats._jdf.queryExecution().analyzed().toString()
+
+
+def test_many_incidents_cost_rows_per_series_not_per_cell(spark):
+    start = START
+    samples = [("n", "service", "error_rate", float(i % 7), start - timedelta(hours=i), 60, "u", i) for i in range(400)]
+    metrics = spark.createDataFrame(samples, schemas.METRICS)
+    rows_in = [(f"i{k}", start - timedelta(hours=3 * k, minutes=k % 5), 5) for k in range(50)]
+    inc = Incidents.of(spark.createDataFrame(rows_in, schemas.INCIDENTS))
+    got = {r.incident_id: r for r in series.series_stats(series.metric_cells(metrics, inc), inc).collect()}
+    assert len(got) == 50
+    for name, at, _ in rows_in:
+        old = [v for _, _, _, v, ts, *_ in samples if ts < at]
+        now = [v for _, _, _, v, ts, *_ in samples if at <= ts < at + timedelta(seconds=300)]
+        mean = sum(old) / len(old)
+        r = got[name]
+        assert (r.sample_count, r.min_value, r.max_value, r.cur_n) == (len(old), min(old), max(old), len(now))
+        assert abs(r.mean - mean) < 1e-9 and abs(r.std - max(0.01, (sum((v - mean) ** 2 for v in old) / len(old)) ** 0.5)) < 1e-9
