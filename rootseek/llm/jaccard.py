@@ -61,14 +61,8 @@ def _sketch(width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            held = []
             for found in shingles.sets(batch.column(0).to_pylist(), width):
-                held.append((found % np.uint64(SKETCH)).astype(np.int64))
-                if len(held) >= 2048:
-                    total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
-                    held = []
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
+                np.add.at(total, (found % np.uint64(SKETCH)).astype(np.int64), np.uint32(1))
         for i, row in enumerate(total.reshape(-1, SKETCH_ROW)):
             if row.any():
                 size = np.uint8 if row.max() < 256 else np.uint32

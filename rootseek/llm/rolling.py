@@ -15,7 +15,7 @@ def powers(name: str, base: np.uint64, size: int) -> np.ndarray:
     """base**0, base**1, ... modulo 2**64; kept by the worker."""
     have = _powers.get(name)
     if have is None or len(have) < size:
-        steps = np.full(max(size, 1 << 20), base, np.uint64)
+        steps = np.full(max(size, 1 << 18), base, np.uint64)
         steps[0] = 1
         have = _powers[name] = np.multiply.accumulate(steps)
     return have[:size]
