@@ -4,7 +4,7 @@ Method: grouped prefix join. Documents with the same set are one group from the
 start (so exact copies cost one member). Shingles are ordered rare first; two
 sets can only reach the threshold if they share a shingle among the first
 ``n - ceil(t n) + 1`` of each. Groups that meet in such a prefix shingle are
-filtered by size and by the positions of the shared shingles, and the rest is
+filtered by size and by the positions of the shared shingle, and the rest is
 verified on whole sets.
 
 The order comes from a sketch of fixed size that counts all shingles of all
@@ -194,8 +194,12 @@ def _need(percent: int, a: str = "n", b: str = "m") -> str:
 
 
 def _reach(a: str = "pos", b: str = "qos", n: str = "n", m: str = "m") -> str:
-    """Most common shingles of two sets whose shared shingle stands at these positions."""
-    return f"least({a}, {b}) + 1 + least({n} - {a} - 1, {m} - {b} - 1)"
+    """Most common shingles of two sets whose first shared shingle stands at these positions.
+
+    Two sets that link have a first one, so a pair may be judged at each of its
+    shared shingles as if that were the first.
+    """
+    return f"1 + least({n} - {a} - 1, {m} - {b} - 1)"
 
 
 def _with_other(entries: DataFrame, others: DataFrame, percent: int) -> DataFrame:
@@ -342,8 +346,6 @@ def similar_groups(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame
         last = seed == LEADER_ROUNDS or left.p <= FEW_PAIRS * left.e
         if last:
             met = _with_other(open_, open_, percent).where("gid < hid AND comp <> comp_2")
-            shared_so_far = met.groupBy("gid", "hid").agg(F.count("*").alias("c"), F.max("pos").alias("p"), F.max("qos").alias("q"), F.max("n").alias("n"), F.max("m").alias("m"))
-            met = shared_so_far.where(f"c + least(n - p - 1, m - q - 1) >= {_need(percent)}")
         else:
             met = _with_other(open_, _leaders(open_, seed), percent).where("comp <> comp_2")
         links = links.union(verified(_as_pairs(met), sets, percent))
