@@ -8,7 +8,8 @@ The weights come from labelled pages, those that mark their article with
 ``<article>`` or ``<main>``. For every element key (tag name, and each class,
 id or role beside it) learning counts the occurrences inside and outside such
 an article; a tag's penalty and whether an element is boilerplate follow from these
-counts. A short fixed list names elements that are boilerplate by their
+counts. An element that encloses an article counts as inside and is no boilerplate.
+A short fixed list names elements that are boilerplate by their
 meaning. On a page with a marked article, words outside it score negative.
 
 A block is the text between two block-level tags; white space inside it
@@ -115,15 +116,18 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class Walk:
-    """Open elements while a page is scanned."""
+    """Open elements while a page is scanned; those whose opening tags are numbered in ``around`` are no boilerplate."""
 
-    def __init__(self, boilerplate):
-        self.judge, self.open, self.bad, self.articles = boilerplate, [], 0, 0
+    def __init__(self, boilerplate, around: frozenset[int] | set[int] = frozenset()):
+        self.judge, self.around, self.open, self.bad, self.articles, self.tags = boilerplate, around, [], 0, 0, 0
 
     def step(self, kind: str, name: str, attributes: str) -> None:
-        if kind == "open" and name not in VOID:
-            bad = self.judge(name, attributes)
-            self.open.append((name, bad))
+        if kind == "open":
+            number, self.tags = self.tags, self.tags + 1
+            if name in VOID:
+                return
+            bad = number not in self.around and self.judge(name, attributes)
+            self.open.append((name, bad, number))
             self.bad += bad
             self.articles += name in ARTICLE
             if name == "body":  # what an unclosed head left open
@@ -134,26 +138,49 @@ class Walk:
     def _leave(self, name: str) -> None:
         for i in range(len(self.open) - 1, max(-1, len(self.open) - 257), -1):
             if self.open[i][0] == name:
-                self.bad -= sum(b for _, b in self.open[i:])
-                self.articles -= sum(n in ARTICLE for n, _ in self.open[i:])
+                self.bad -= sum(b for _, b, _ in self.open[i:])
+                self.articles -= sum(n in ARTICLE for n, _, _ in self.open[i:])
                 del self.open[i:]
                 return
 
 
+def enclosing(events: list[tuple[str, str, str]]) -> set[int]:
+    """Numbers of the opening tags whose elements enclose an article.
+
+    Articles within elements that are boilerplate by their meaning, such as
+    teasers, count only on a page that has no other article.
+    """
+    walk, some, found, every = Walk(hinted), False, set(), set()
+    for kind, name, attributes in events:
+        if kind == "text":
+            continue
+        walk.step(kind, name, attributes)
+        if kind == "open" and name in ARTICLE:
+            some = some or not walk.bad
+            for numbers in (every,) if walk.bad else (every, found):
+                for _, _, number in reversed(walk.open[:-1]):
+                    if number in numbers:  # and so are all around it
+                        break
+                    numbers.add(number)
+    return found if some else every
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     inside, outside = defaultdict(int), defaultdict(int)
     for batch in batches:
         for page in batch.column(0).to_pylist():
             if page is None or not MARKED.search(page):
                 continue
-            walk = Walk(hinted)
-            for kind, name, attributes in scan(page):
+            events = list(scan(page))
+            around = enclosing(events)
+            walk = Walk(hinted, around)
+            for kind, name, attributes in events:
                 if kind == "text":
                     continue
                 walk.step(kind, name, attributes)
                 if kind == "open":
                     for key in keys_of(name, attributes)[walk.bad > 0 :]:
-                        (inside if walk.articles else outside)[key] += 1
+                        (inside if walk.articles or walk.tags - 1 in around else outside)[key] += 1
     found = sorted(inside.keys() | outside.keys())
     yield arrow_rows({
         "key": (found, pa.string()), "inside": ([inside[k] for k in found], pa.int64()), "outside": ([outside[k] for k in found], pa.int64())
@@ -187,11 +214,12 @@ class Extractor:
     def text(self, page: str | None) -> str:
         if not page:
             return ""
-        walk = Walk(self.boilerplate)
+        marked = MARKED.search(page) is not None
+        events = list(scan(page)) if marked else scan(page)
+        walk = Walk(self.boilerplate, enclosing(events) if marked else frozenset())
         pieces: list[tuple[int, str, bool]] = []  # block, text, below boilerplate
         score, best, begin, span, block = 0.0, 0.0, 0, (0, 0), 0
-        marked = MARKED.search(page) is not None
-        for kind, name, attributes in scan(page):
+        for kind, name, attributes in events:
             if kind != "text":
                 if name not in INLINE:
                     block += 1

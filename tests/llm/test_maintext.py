@@ -53,3 +53,24 @@ def test_table(spark):
     got = maintext.extract(df).collect()
     assert sorted((r.page_id or 0, r.url or "", r.n_chars) for r in got) == [(0, "v", 3), (1, "", 0), (1, "u", 28), (2, "w", 20_000 * 4 - 1)]
     assert maintext.extract(df.limit(0)).count() == 0
+
+
+def wrapped(i, opening="<div class='container' id=page>", closing="</div>"):
+    return f"<html><body>{opening}<div class=teaser>buy this {i}</div><section class=wrap><main><p>One two {i}</p></main></section>{closing}</body></html>"
+
+
+def test_elements_around_an_article_are_no_boilerplate(spark):
+    learned = maintext.learn(spark.createDataFrame([(wrapped(i),) for i in range(30)], "html string"))
+    assert learned["div.teaser"][1] and not any(learned.get(k, (0, False))[1] for k in ("div.container", "div.page", "section.wrap"))
+    own = maintext.Extractor(learned)
+    assert own.text(wrapped(7)) == "One two 7"
+    assert own.text("<div class=container><div class=teaser>no</div><p>three four</p></div>") == "three four"
+    always = maintext.Extractor({"div.container": (0.1, True), "section.wrap": (0.1, True), "div.teaser": (0.1, True)})
+    assert always.text(wrapped(8)) == "One two 8"
+    for opening, closing in (("<form id=aspnetForm>", "</form>"), ("<div class=header>", "</div>"), ("<div hidden><aside>", "</aside></div>")):
+        assert own.text(wrapped(9, opening, closing)) == "One two 9"
+
+
+def test_articles_in_boilerplate_stay_out_beside_others(weights):
+    page = "<main><p>One two</p></main><aside><div><article><p>more to read elsewhere on these pages</p></article></div></aside>"
+    assert maintext.Extractor(weights).text(page) == "One two"
