@@ -18,6 +18,8 @@ are decoded as browsers do.
 
 Defined cases: null or empty html, or a page without any word of content, gives
 the empty text; markup that is cut off or not closed is read as far as it goes;
+a closing tag ends its element at any depth, a stray one does nothing, and p, li, dd, dt,
+option and the parts of a table end where HTML ends them without a closing tag;
 equal ids stay separate rows; other columns are ignored. Without any labelled
 page the fixed list alone decides.
 """
@@ -51,6 +53,36 @@ HINTS = frozenset(
 )
 ARTICLE = frozenset(("article", "main"))
 
+# Elements that HTML closes without a closing tag: by opening tag, the names it closes and the scope in which it looks for them.
+_TABLE = ("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup")
+ENDS = {
+    **{n: ((_TABLE[:2], "#table"),) for n in ("td", "th")},
+    "tr": ((("td", "th", "tr", "caption", "colgroup"), "#table"),),
+    **{n: ((_TABLE, "#table"),) for n in ("tbody", "thead", "tfoot", "caption", "colgroup")},
+    "option": ((("option",), "#select"),),
+    "optgroup": ((("option", "optgroup"), "#select"),),
+    "li": ((("li",), "#list"), (("p",), "#p")),
+    **{n: ((("dd", "dt"), "#list"), (("p",), "#p")) for n in ("dd", "dt")},
+    **{
+        n: ((("p",), "#p"),)
+        for n in (
+            "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+            "header hgroup hr listing main menu nav ol p plaintext pre search section summary table ul xmp"
+        ).split()
+    },
+}
+#: Elements that bound such a scope.
+_BOUNDS = {
+    "#table": "table template",
+    "#select": "select datalist template",
+    "#list": "ul ol menu dir dl table caption td th article aside section main nav header footer blockquote figure figcaption form fieldset details summary center pre button object template select dialog search body",
+    "#p": "applet caption table td th marquee object select template button svg math html",
+}
+SCOPES: dict[str, list[str]] = defaultdict(list)
+for _scope, _names in _BOUNDS.items():
+    for _name in _names.split():
+        SCOPES[_name].append(_scope)
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
@@ -120,13 +152,18 @@ class Walk:
 
     def __init__(self, boilerplate, around: frozenset[int] | set[int] = frozenset()):
         self.judge, self.around, self.open, self.bad, self.articles, self.tags = boilerplate, around, [], 0, 0, 0
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # places in ``open``, by name and by scope
 
     def step(self, kind: str, name: str, attributes: str) -> None:
         if kind == "open":
             number, self.tags = self.tags, self.tags + 1
+            for closed, scope in ENDS.get(name, ()):
+                self._end(closed, scope)
             if name in VOID:
                 return
             bad = number not in self.around and self.judge(name, attributes)
+            for place in (name, *SCOPES.get(name, ())):
+                self.at[place].append(len(self.open))
             self.open.append((name, bad, number))
             self.bad += bad
             self.articles += name in ARTICLE
@@ -136,12 +173,24 @@ class Walk:
             self._leave(name)
 
     def _leave(self, name: str) -> None:
-        for i in range(len(self.open) - 1, max(-1, len(self.open) - 257), -1):
-            if self.open[i][0] == name:
-                self.bad -= sum(b for _, b, _ in self.open[i:])
-                self.articles -= sum(n in ARTICLE for n, _, _ in self.open[i:])
-                del self.open[i:]
-                return
+        """Close the innermost element of this name and all within it; a stray closing tag does nothing."""
+        if self.at.get(name):
+            self._cut(self.at[name][-1])
+
+    def _end(self, names: tuple[str, ...], scope: str) -> None:
+        """Close the elements of these names that are open inside the innermost one that bounds the scope."""
+        bound = self.at[scope][-1] if self.at.get(scope) else -1
+        found = [self.at[n][-1] for n in names if self.at.get(n) and self.at[n][-1] > bound]
+        if found:
+            self._cut(min(found))
+
+    def _cut(self, size: int) -> None:
+        while len(self.open) > size:
+            name, bad, _ = self.open.pop()
+            self.bad -= bad
+            self.articles -= name in ARTICLE
+            for place in (name, *SCOPES.get(name, ())):
+                self.at[place].pop()
 
 
 def enclosing(events: list[tuple[str, str, str]]) -> set[int]:

@@ -74,3 +74,38 @@ def test_elements_around_an_article_are_no_boilerplate(spark):
 def test_articles_in_boilerplate_stay_out_beside_others(weights):
     page = "<main><p>One two</p></main><aside><div><article><p>more to read elsewhere on these pages</p></article></div></aside>"
     assert maintext.Extractor(weights).text(page) == "One two"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<ul class=menu>" + "<li><a>x</a>" * 600 + "</ul><main><p>One two</p></main>",
+        "<div class=sidebar>" + "<p>x y" * 600 + "</div><main><p>One two</p></main>",
+        "<div class=sidebar>" + "<b><i>x y" * 600 + "</div><main><p>One two</p></main>",
+        "<table class=ads>" + "<tr><td>x y<td>z" * 600 + "</table><main><p>One two</p></main>",
+        "<main><p>One two" + "<b><span>" * 600 + "</main><p>and much more behind it</p>",
+        "<main><p>One two</p></main><div class=related>" + "<dt>a<dd>b" * 600 + "</div>",
+        "<p class=promo>buy this<p>One two",
+        "<ul><li class=promo>buy<div>this</div><li>One two</ul>",
+        "<table><tr><td class=promo>buy this<td>One two</table>",
+    ],
+)
+def test_elements_end_at_any_depth_and_without_closing_tags(page):
+    assert maintext.Extractor({}).text(page) == "One two"
+
+
+def test_inner_lists_and_tables_do_not_end_the_outer_ones():
+    own = maintext.Extractor({})
+    assert own.text("<ul><li class=promo>no<ul><li>no<li>no</ul>no<li>yes</ul>") == "yes"
+    assert own.text("<table><tr><td class=promo>no<table><tr><td>no<td>no</table>no<td>yes</table>") == "yes"
+    walk = maintext.Walk(maintext.hinted)
+    for tag in ["ul", "li", "p", "li", "select", "option", "option", "/x", "/select", "p", "div"]:
+        walk.step("close" if tag[0] == "/" else "open", tag.strip("/"), "")
+    assert [name for name, *_ in walk.open] == ["ul", "li", "div"]
+
+
+def test_deep_markup_takes_linear_time():
+    start = time.time()
+    for page in ("<div>" * 20_000 + "</x>" * 20_000, "<b>" * 20_000 + "</i></p>" * 20_000 + "</b>" * 20_000, "<p><button>" + "<div>" * 40_000, "<main>" + "<div><article>" * 20_000):
+        maintext.Extractor({}).text(page)
+    assert time.time() - start < 20
