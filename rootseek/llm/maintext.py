@@ -10,7 +10,8 @@ id or role beside it) learning counts the occurrences inside and outside such
 an article; a tag's penalty and whether an element is boilerplate follow from these
 counts. An element that encloses an article counts as inside and is no boilerplate.
 A short fixed list names elements that are boilerplate by their
-meaning. On a page with a marked article, words outside it score negative.
+meaning. Keys that are not among the most frequent ones stay in a table, and pages
+are joined to it, so no key is left out. On a page with a marked article, words outside it score negative.
 
 A block is the text between two block-level tags; white space inside it
 becomes one space, blocks are joined by one line feed, and character references
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import ChainMap, defaultdict
 from collections.abc import Iterator
 from math import log
 
@@ -36,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootseek.llm.common import arrow_rows, per_partition
+from rootseek.llm.common import arrow_rows, durable, per_partition
+from rootseek.llm.jaccard import add_key, bit_filter, ddl, passing, text_key
 
 # Element names and the words of class, id and role attributes, by their meaning in HTML.
 RAW = frozenset("script style noscript template textarea svg math iframe object select title head".split())
@@ -92,8 +94,10 @@ MARKED = re.compile(r"<(article|main)\b", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
 WORDS = re.compile(r"[\s_-]+")
 
-#: Element keys kept by learning, the most frequent ones.
-KEYS = 50_000
+#: Element keys broadcast, the most frequent ones, and characters of them in all; pages are joined to the other keys.
+KEYS, KEY_CHARS = 50_000, 4_000_000
+#: Element keys counted in a task before it hands its counts on.
+COUNTED = 100_000
 #: Occurrences outside articles from which a key that never lies inside one is boilerplate.
 ENOUGH = 5
 #: What every tag costs, in words, besides its learned penalty.
@@ -215,7 +219,18 @@ def enclosing(events: list[tuple[str, str, str]]) -> set[int]:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    inside, outside = defaultdict(int), defaultdict(int)
+    inside, outside, names = defaultdict(int), defaultdict(int), set()
+
+    def settle() -> pa.RecordBatch:
+        found = sorted(inside.keys() | outside.keys())
+        out = arrow_rows({
+            "key": (found, pa.string()), "tag": ([k in names for k in found], pa.bool_()),
+            "inside": ([inside.get(k, 0) for k in found], pa.int64()), "outside": ([outside.get(k, 0) for k in found], pa.int64()),
+        })
+        for held in (inside, outside, names):
+            held.clear()
+        return out
+
     for batch in batches:
         for page in batch.column(0).to_pylist():
             if page is None or not MARKED.search(page):
@@ -230,22 +245,44 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind == "open":
                     for key in keys_of(name, attributes)[walk.bad > 0 :]:
                         (inside if walk.articles or walk.tags - 1 in around else outside)[key] += 1
-    found = sorted(inside.keys() | outside.keys())
-    yield arrow_rows({
-        "key": (found, pa.string()), "inside": ([inside[k] for k in found], pa.int64()), "outside": ([outside[k] for k in found], pa.int64())
-    })
+                    if not walk.bad:
+                        names.add(name)
+            if len(inside) + len(outside) > COUNTED:
+                yield settle()
+    yield settle()
+
+
+def _weight(inside: int, outside: int, bad: bool) -> tuple[float, bool]:
+    return TAG_COST + max(0.0, log((outside + 1) / (inside + 1))), bad
+
+
+class Weights(dict):
+    """Element key to (penalty of its tag, boilerplate or not): the most frequent keys; ``rest`` is a table of the others, if any."""
+
+    rest: DataFrame | None = None
 
 
-def learn(pages: DataFrame, html_col: str = "html") -> dict[str, tuple[float, bool]]:
-    """Element key to (penalty of its tag, boilerplate or not), from all labelled pages."""
-    counts = per_partition(pages.select(F.col(html_col).cast("string").alias("html")), _learn, "key string, inside long, outside long")
-    total = counts.groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    top = total.orderBy(F.desc(F.col("inside") + F.col("outside")), "key").limit(KEYS).collect()
-    return {r.key: (TAG_COST + max(0.0, log((r.outside + 1) / (r.inside + 1))), r.inside == 0 and r.outside >= ENOUGH) for r in top}
+def learn(pages: DataFrame, html_col: str = "html") -> Weights:
+    """Weights from all labelled pages: those of every tag, and of every class, id and role that is boilerplate."""
+    counts = per_partition(pages.select(F.col(html_col).cast("string").alias("html")), _learn, "key string, tag boolean, inside long, outside long")
+    total = counts.groupBy("key").agg(F.max("tag").alias("tag"), F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    ruled = total.withColumn("bad", F.expr(f"inside = 0 AND outside >= {ENOUGH}")).where("tag OR bad")
+    ruled = durable(ruled.select("key", "inside", "outside", "bad", F.expr("inside + outside").alias("seen")), "element-keys")
+    short = F.length("key") <= KEY_CHARS // KEYS
+    top = ruled.where(short).orderBy(F.desc("seen"), "key").limit(KEYS).collect()
+    weights = Weights({r.key: _weight(r.inside, r.outside, r.bad) for r in top})
+    others = ~short
+    if len(top) == KEYS:
+        seen, key = F.lit(top[-1].seen), F.lit(top[-1].key)
+        others = others | (F.col("seen") < seen) | ((F.col("seen") == seen) & (F.col("key") > key))
+    rest = ruled.where(others & F.expr("bad OR outside > inside")).select("key", "inside", "outside", "bad")  # any other weighs what an unknown one does
+    if not rest.isEmpty():
+        weights.rest = rest
+    return weights
 
 
 class Extractor:
-    """Main text of single pages, given the learned weights."""
+    """Main text of single pages, given the learned weights; ``extract`` adds those of ``Weights.rest``."""
 
     def __init__(self, weights: dict[str, tuple[float, bool]]):
         self.weights = weights
@@ -293,17 +330,65 @@ class Extractor:
         return "\n".join(line for line in lines if line)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: dict | None = None) -> DataFrame:
-    """(id, url, text, n_chars) of every page; weights are learned from the pages unless given."""
-    weights = learn(pages, html_col) if weights is None else weights
-    sent = pages.sparkSession.sparkContext.broadcast(weights)
-    narrow = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+def _page_keys(sent):
+    """(tid, kid, text): the keys of each page's elements that are not broadcast."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, str]] = []
+
+        def settle() -> pa.RecordBatch:
+            tids, found = zip(*out) if out else ((), ())
+            out.clear()
+            return arrow_rows({"tid": (tids, pa.int64()), "kid": ([text_key(k) for k in found], pa.int64()), "text": (found, pa.string())})
+
+        for batch in batches:
+            for page in batch.column(0).to_pylist():
+                tid = text_key(page)
+                out += [(tid, k) for k in {k for kind, name, attributes in scan(page or "") if kind == "open" for k in keys_of(name, attributes)} if k not in sent.value]
+                if len(out) > COUNTED:
+                    yield settle()
+        yield settle()
+
+    return work
+
+
+def _texts(sent):
+    """(id, url, text, n_chars) of pages; a column ``more`` has weights besides those broadcast."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Extractor(sent.value)
         for batch in batches:
-            texts = [own.text(p) for p in batch.column(2).to_pylist()]
-            yield arrow_rows({"id": (batch.column(0), None), "url": (batch.column(1), None), "text": (texts, pa.string()), "n_chars": ([len(t) for t in texts], pa.int64())})
+            ids, urls, pages = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "url", "text"))
+            at = batch.schema.get_field_index("more")
+            more = batch.column(at).to_pylist() if at >= 0 else [None] * len(batch)
+            texts = []
+            for page, found in zip(pages.to_pylist(), more):
+                extra = {r["key"]: _weight(r["inside"], r["outside"], r["bad"]) for r in found or []}
+                texts.append((Extractor(ChainMap(extra, sent.value)) if extra else own).text(page))
+            yield arrow_rows({"id": (ids, None), "url": (urls, None), "text": (texts, pa.string()), "n_chars": ([len(t) for t in texts], pa.int64())})
+
+    return work
+
+
+def _by_all(narrow: DataFrame, sent, rest: DataFrame, schema: str) -> DataFrame:
+    """Texts by the broadcast weights and those of ``rest``; pages without a key of ``rest`` are not shuffled."""
+    named = per_partition(rest.withColumnRenamed("key", "text"), add_key, "tid long, text string, inside long, outside long, bad boolean").withColumnRenamed("tid", "kid")
+    named = durable(named, "other-keys")
+    keys = passing(narrow.select("text"), "kid", bit_filter(named, "kid"), before=(_page_keys(sent),), schema="tid long, kid long, text string").distinct()
+    weight = F.struct(F.col("text").alias("key"), "inside", "outside", "bad")
+    found = durable(keys.join(named, ["kid", "text"]).groupBy("tid").agg(F.collect_list(weight).alias("more")), "page-weights")
+    bits = bit_filter(found, "tid")
+    hit = passing(narrow, "tid", bits, before=(add_key,), schema="tid long, " + ddl(narrow)).join(found, "tid", "left")
+    clean = passing(narrow, "tid", ~bits, before=(add_key,), after=(_texts(sent),), schema=schema)
+    return per_partition(hit.select("id", "url", "text", "more"), _texts(sent), schema).union(clean)
+
 
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: dict | None = None) -> DataFrame:
+    """(id, url, text, n_chars) of every page; weights are learned from the pages unless given."""
+    weights = learn(pages, html_col) if weights is None else weights
+    sent, rest = pages.sparkSession.sparkContext.broadcast(dict(weights)), getattr(weights, "rest", None)
+    narrow = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("text"))
     kinds = [narrow.schema[c].dataType.simpleString() for c in ("id", "url")]
-    return per_partition(narrow, work, f"id {kinds[0]}, url {kinds[1]}, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
+    schema = f"id {kinds[0]}, url {kinds[1]}, text string, n_chars long"
+    done = per_partition(narrow, _texts(sent), schema) if rest is None else _by_all(narrow, sent, rest, schema)
+    return done.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -109,3 +109,22 @@ def test_deep_markup_takes_linear_time():
     for page in ("<div>" * 20_000 + "</x>" * 20_000, "<b>" * 20_000 + "</i></p>" * 20_000 + "</b>" * 20_000, "<p><button>" + "<div>" * 40_000, "<main>" + "<div><article>" * 20_000):
         maintext.Extractor({}).text(page)
     assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("keys,chars,counted", [(2, 4_000_000, 3), (6, 4_000_000, 100), (50_000, 50_000 * 8, 7)])
+def test_rare_keys_count_as_much_as_frequent_ones(spark, monkeypatch, keys, chars, counted):
+    sites = [f"s{i}" for i in range(12)]
+    rows = [(k, f"u{s}", f"<html><body><div class=site-{s}x>buy {s}</div><x-{s}>very</x-{s}><main><div><p>One two {s}</p></div></main></body></html>") for s in sites for k in range(6)]
+    rows += [(7, f"v{s}", f"<div class='site-{s}x'>no no</div><p>three four {s}</p>") for s in sites for _ in range(2)] + [(8, None, None), (None, "w", "<p class=seldom>five</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    whole = maintext.learn(df)
+    assert whole.rest is None and all(whole[f"div.site-{s}x"][1] for s in sites)
+    want = sorted(map(str, maintext.extract(df, weights=whole).collect()))
+    monkeypatch.setattr(maintext, "KEYS", keys)
+    monkeypatch.setattr(maintext, "KEY_CHARS", chars)
+    monkeypatch.setattr(maintext, "COUNTED", counted)
+    part = maintext.learn(df)
+    assert len(part) <= keys and part.rest is not None
+    got = maintext.extract(df)
+    assert sorted(map(str, got.collect())) == want and got.schema == maintext.extract(df, weights=whole).schema
+    assert {r.text for r in got.collect() if r.page_id == 7} == {f"three four {s}" for s in sites}
