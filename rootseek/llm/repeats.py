@@ -325,17 +325,19 @@ def _repeated(segments: DataFrame, width: int) -> DataFrame:
         several = durable(counts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "grams")
         last = depth == len(STEPS)
         here = several if last else several.where(F.col("k") <= MANY)
-        # the filter may let a few other grams pass; theirs is one string, or is sorted in vain
-        found = _sorted_runs(passing(level.where("bytes IS NOT NULL").select("gram", "seg", "bytes"), "gram", bit_filter(here, "gram")), width).union(copies)
+        many = None if last else durable(several.where(F.col("k") > MANY).select("gram"), "many")
+        last = last or many.isEmpty()
+        # the filter may let other grams pass: theirs is one string, sorted in vain, or they are to be cut and are taken out by a join
+        strings = passing(level.where("bytes IS NOT NULL").select("gram", "seg", "bytes"), "gram", bit_filter(here, "gram"))
+        found = _sorted_runs(strings if last else strings.join(many, "gram", "left_anti"), width).union(copies)
         for up in reversed(ups):  # runs of pieces become runs of the strings they were cut from
             found = found.join(up, ["gram", "seg"]).select(
                 F.col("up_gram").alias("gram"), F.col("up_seg").alias("seg"), (F.col("from") + F.col("shift")).alias("from"), (F.col("to") + F.col("shift")).alias("to")
             )
         runs.append(durable(found.distinct(), "runs"))
-        many = several.where(F.col("k") > MANY)
-        if last or many.isEmpty():
+        if last:
             break
-        wide = level.where("bytes IS NOT NULL").join(many.select("gram"), "gram", "left_semi").dropDuplicates(["gram", "seg"])
+        wide = level.where("bytes IS NOT NULL").join(many, "gram", "left_semi").dropDuplicates(["gram", "seg"])
         cut = "gram long, seg long, up_gram long, up_seg long, shift int, windows int, place int, bytes binary"
         level = durable(per_partition(wide.select("gram", "seg", "windows", "place", "bytes"), _recut(width, STEPS[depth]), cut), "pieces")
         ups.append(level.select("gram", "seg", "up_gram", "up_seg", "shift"))

@@ -64,6 +64,21 @@ def test_repeats_equal_brute_force(spark, rows, monkeypatch, many, steps):
     assert sorted(map(tuple, got)) == repeats(rows)
 
 
+def test_frequent_grams_stay_out_of_blocks_when_the_filter_is_full(spark, rows, monkeypatch):
+    monkeypatch.setattr(rep, "MANY", 2)
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 32)
+    most, sort = [], rep._sorted_runs
+
+    def watched(strings, width):
+        most.append(strings.groupBy("gram").agg(F.countDistinct("seg").alias("k")).agg(F.max("k")).first()[0] or 0)
+        return sort(strings, width)
+
+    monkeypatch.setattr(rep, "_sorted_runs", watched)
+    got = rep.digests(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == repeats(rows)
+    assert len(most) == 3 and max(most) <= 2
+
+
 def test_texts_without_repeats(spark, rows):
     got = rep.without_repeats(frame(spark, rows))
     assert got.columns == [f.split()[0].strip("`") for f in CLASHING.split(", ")]
