@@ -218,9 +218,20 @@ def _as_pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("gid", "hid").alias("a"), F.greatest("gid", "hid").alias("b")).distinct()
 
 
+def _xxhash64(ids: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of one long column."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = (turned(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1) ^ (p5 + np.uint64(42 + 8))
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def bit_filter(ids: DataFrame, col: str) -> np.ndarray:
-    """A filter of fixed size that passes at least all given ids, by their lowest bits."""
-    bit = f"pmod(coalesce(cast({col} as long), 0), {FILTER_BITS})"
+    """A filter of fixed size that passes at least all given ids, by bits of their hashes."""
+    bit = f"pmod(xxhash64(coalesce(cast({col} as long), 0L)), {FILTER_BITS})"
     words = ids.select(F.expr(f"cast({bit} div 32 as int)").alias("w"), F.expr(f"shiftleft(1L, cast({bit} % 32 as int))").alias("b"))
     out = np.zeros(FILTER_BITS // 32, np.uint32)
     for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # FILTER_BITS / 32 rows at most
@@ -236,7 +247,7 @@ def passing(df: DataFrame, col: str, bits: np.ndarray, before: tuple = (), after
         words = sent.value
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(col)).fill_null(0).to_numpy(zero_copy_only=False)
-            bit = np.mod(ids, FILTER_BITS)
+            bit = np.mod(_xxhash64(ids), FILTER_BITS)
             yield batch.filter(pa.array((words[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
 
     return per_partition(df, chain(*before, work, *after), schema or ddl(df))
@@ -322,9 +333,7 @@ def similar_groups(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame
     counted = durable(shared.union(straight), "entries")
     sizes = counted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
     entries = durable(counted.join(sizes, "token"), "entries")
-    sets = durable(
-        passing(docs, "id", _candidates(heads, entries), after=(_whole_sets(width),), schema="gid long, words binary"), "sets"
-    )
+    sets = _one_set_each(docs, heads, _candidates(heads, entries), width)
 
     small, large = entries.where(F.col("k") <= SMALL).drop("k"), entries.where(F.col("k") > SMALL).drop("k")
     met = _with_other(small, small, percent).where("gid < hid").select("gid", "hid").union(
@@ -356,11 +365,21 @@ def similar_groups(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame
 
 
 def _candidates(heads: DataFrame, entries: DataFrame) -> np.ndarray:
-    """A filter of documents: one of each group that has an entry, and few others. A set that comes twice does no harm."""
+    """A filter of documents: one of each group that has an entry, and those it cannot tell from it."""
     first = heads.where("n > 0").groupBy("gid").agg(F.min("id").alias("id"))
     return bit_filter(first.join(entries.select("gid").distinct(), "gid", "left_semi"), "id")
 
 
+def _one_set_each(docs: DataFrame, heads: DataFrame, bits: np.ndarray, width: int) -> DataFrame:
+    """(gid, words) of the documents that pass, once for each group; only groups of which several pass are shuffled."""
+    sets = durable(passing(docs, "id", bits, after=(_whole_sets(width),), schema="gid long, words binary"), "sets")
+    several = bit_filter(passing(heads.select("id", "gid"), "id", bits).groupBy("gid").agg(F.count("*").alias("k")).where("k > 1"), "gid")
+    if not several.any():
+        return sets
+    once = durable(passing(sets, "gid", several).dropDuplicates(["gid"]), "sets-once")
+    return passing(sets, "gid", ~several).union(once)
+
+
 def text_key(text: str | None) -> int:
     """64 bits for a whole text."""
     return int.from_bytes(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)

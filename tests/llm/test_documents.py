@@ -25,6 +25,31 @@ def test_similar_documents_equal_brute_force(spark, rows, monkeypatch, small):
     assert sorted(map(tuple, got)) == components(rows, 85, 4)
 
 
+@pytest.mark.parametrize("bits", [1 << 23, 64])
+def test_each_group_is_verified_by_one_set(spark, rows, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "FILTER_BITS", bits)
+    some = rows[:60] + rows[220:260]
+    apart = [(k << 23, t) for k, (_, t) in enumerate(some + some[:30] + some[-40:])] + [(0, t) for _, t in some[:20]]  # copies, with other ids and with equal ones
+    most, verify = [], jaccard.verified
+
+    def watched(pairs, sets, percent):
+        most.append(sets.groupBy("gid").count().agg(F.max("count")).first()[0])
+        return verify(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard, "verified", watched)
+    got = jaccard.join(frame(spark, apart), percent=85, width=4).collect()
+    assert sorted(map(tuple, got)) == components(apart, 85, 4)
+    assert most and set(most) == {1}
+
+
+def test_filter_spreads_ids_of_any_stride(spark):
+    ids = spark.range(200).select((F.col("id") * (1 << 23) - (1 << 30)).alias("id"))
+    bits = jaccard.bit_filter(ids.where("id % 3 = 0"), "id")
+    passed = {r.id for r in jaccard.passing(ids.union(spark.createDataFrame([(None,)], "id long")), "id", bits).collect()}
+    wanted = {r.id for r in ids.where("id % 3 = 0").collect()}
+    assert wanted <= passed and len(passed) < len(wanted) + 5
+
+
 def test_one_document_of_each_group_stays(spark, rows):
     df = frame(spark, rows)
     kept = jaccard.one_of_each(df)
