@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootseek.llm import jaccard, language, maintext, neighbours, packing, repeats, sentencepieces, tokencount, tokenfiles, topk
+from rootseek.llm import jaccard, language, maintext, neighbours, packing, repeats, sentencepieces, tokencount, tokenfiles, topk, whitening
 from rootseek.llm.common import read
 from rootseek.session import new_folder
 
@@ -64,7 +64,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_token_files, op4_nearest, op5_repeats, op6_main_text, op7_token_counts, op8_language, op9_similar_documents, op10_packing)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_sentencepiece, op2_exact_top_k, op3_token_files, op4_nearest, op5_repeats, op6_main_text, op7_token_counts, op8_language,
+    op9_similar_documents, op10_packing, op11_whitening,
+)}
 
 # Vectors meet in SQL as pairs; quadratic, yet small enough at the scale of the checks.
 ORACLE = {
