@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootseek.llm import jaccard, language, maintext, neighbours, packing, repeats, sentencepieces, tokencount, tokenfiles, topk, whitening
+from rootseek.llm import bytebpe, jaccard, language, maintext, neighbours, packing, repeats, sentencepieces, tokencount, tokenfiles, topk, whitening
 from rootseek.llm.common import read
 from rootseek.session import new_folder
 
-WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORDS, PIECES, RANKS = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 #: The id appended to each document in token files.
 END_ID = 2
 #: Tokens beyond which a document is flagged.
@@ -68,9 +68,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_exact_top_k, op3_token_files, op4_nearest, op5_repeats, op6_main_text, op7_token_counts, op8_language,
-    op9_similar_documents, op10_packing, op11_whitening,
+    op9_similar_documents, op10_packing, op11_whitening, op13_byte_bpe,
 )}
 
 # Vectors meet in SQL as pairs; quadratic, yet small enough at the scale of the checks.
