@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootseek.llm import bytebpe, jaccard, language, maintext, neighbours, packing, repeats, sentencepieces, tokencount, tokenfiles, topk, whitening
+from rootseek.llm import bytebpe, collocations, jaccard, language, maintext, neighbours, packing, repeats, sentencepieces, tokencount, tokenfiles, topk, whitening
 from rootseek.llm.common import read
 from rootseek.session import new_folder
 
@@ -68,13 +68,17 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_exact_top_k, op3_token_files, op4_nearest, op5_repeats, op6_main_text, op7_token_counts, op8_language,
-    op9_similar_documents, op10_packing, op11_whitening, op13_byte_bpe,
+    op9_similar_documents, op10_packing, op11_whitening, op12_collocations, op13_byte_bpe,
 )}
 
 # Vectors meet in SQL as pairs; quadratic, yet small enough at the scale of the checks.
@@ -93,5 +97,42 @@ WITH ok AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, w[i : i + k - 1] AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) sizes(k) WHERE len(w) >= k)
+), counts AS (
+  SELECT lang, g, count(*) AS a FROM grams GROUP BY lang, g HAVING count(*) >= 30
+), candidates AS (
+  SELECT * FROM counts WHERE len(g) >= 2
+), cuts AS (
+  SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM candidates) c
+  JOIN counts x ON x.lang = c.lang AND x.g = c.g[1 : k]
+  JOIN counts y ON y.lang = c.lang AND y.g = c.g[k + 1 : len(c.g)]
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, g[i : i + m - 1] AS g, max(a) AS longer
+  FROM (SELECT lang, g, a, m, unnest(range(1, len(g) - m + 2)) AS i FROM candidates, (VALUES (2), (3)) sizes(m) WHERE len(g) > m)
+  GROUP BY ALL
+), kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN inside ON inside.lang = lowest.lang AND inside.g = lowest.g
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+), ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+  FROM kept
+)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
 """,
 }
