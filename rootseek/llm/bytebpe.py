@@ -9,9 +9,10 @@ of the pre-token pattern; each is encoded by itself. A token of the vocabulary
 that merging would not reach is looked up where a whole match equals it.
 Decoding maps ids to pieces and their characters back to bytes.
 
-Texts are cut before the pattern is tried wherever one blank stands between two
-other characters: no match crosses such a place, and no match depends on what is
-before it. Workers keep the ids of such stretches, up to ``CACHE_BYTES``.
+Under the usual pattern, texts are cut before it is tried wherever one blank stands
+between two other characters: no match crosses such a place, and none depends on
+what is before it. Workers keep the ids of such stretches, in the bounded cache of
+``tokens``. Under any other pattern they keep those of its matches.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; a long
 text is encoded whole, stretches over ``LONGEST`` characters are not kept; rows with
@@ -29,6 +30,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain as joined_up
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootseek.llm.common import arrow_rows, chain, per_partition
+from rootseek.llm.tokens import WordCache
 
-#: Longest stretch that is kept, in characters, and bytes that a worker keeps, by estimate.
-LONGEST, CACHE_BYTES = 128, 96_000_000
+#: Longest stretch that is looked up whole, and characters of longer matches that a worker keeps.
+LONGEST, LONG_CHARS = 128, 10_000_000
+#: The pre-token pattern of the public byte-level vocabularies (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes that are characters of their own, as the public byte-level vocabularies print them; the others follow from 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -101,56 +106,85 @@ def serialise(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _block(2, trainer) + _block(3, normaliser)
 
 
-class Codec:
-    """Encoder and decoder of a worker."""
+class Codec(WordCache):
+    """Encoder and decoder of a worker.
+
+    A cached word is a stretch after a blank, or one with a leading mark: after
+    a newline, at the start of a text, or a whole match of the pattern. Stretches
+    start with no blank, so the marks are unambiguous.
+    """
+
+    NEWLINE, START, MATCH = "\n\t\r"
 
     def __init__(self, model: bytes, pattern: str, whole: dict[bytes, int]):
+        super().__init__()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.split = regex.compile(pattern).findall
+        self.cuts, self.split = pattern == PATTERN, regex.compile(pattern).findall
         self.marks = dict(enumerate(byte_characters()))
         bytes_of = {ord(c): b for b, c in self.marks.items()}
         size = self.library.get_piece_size() - 1
         self.bytes = [bytes(bytes_of[ord(c)] for c in self.library.id_to_piece(i)) for i in range(size)]
-        self.whole = {self._mapped(t): np.array([i], "<u4").tobytes() for t, i in whole.items()}
-        self.known: dict[str, bytes] = {}
-        self.kept = 0
-
-    def _mapped(self, data: bytes) -> str:
-        return data.decode("latin-1").translate(self.marks)
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        """Ids of stretches, each cut into the matches of the pattern."""
-        cut = [[self._mapped(w.encode()) for w in self.split(p)] for p in parts]
-        words = list({w for ws in cut for w in ws})
-        ids = dict(zip(words, (np.array(x, "<u4").tobytes() for x in self.library.encode(words, num_threads=1))))
-        ids.update((w, i) for w, i in self.whole.items() if w in ids)
-        return [b"".join(map(ids.__getitem__, ws)) for ws in cut]
-
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of stretches after a blank; short ones are kept."""
-        found = dict(zip(parts, self._encode([" " + p for p in parts])))
-        if self.kept > CACHE_BYTES:
-            self.known, self.kept = {}, 0
-        for p, ids in found.items():
-            if len(p) <= LONGEST:
-                self.known[p] = ids
-                self.kept += 200 + 2 * len(p) + len(ids)
-        return found
+        self.whole = {t.decode("latin-1").translate(self.marks): np.array([i], "<u4").tobytes() for t, i in whole.items()}
+        self.single = dict(zip(".,\n", self._matches([".", ",", "\n"])))
+        self.long = 0
+
+    def _mapped(self, word: str) -> str:
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", self.marks[32])
+        return word.encode().decode("latin-1").translate(self.marks)
+
+    def _matches(self, words: list[str]) -> list[bytes]:
+        """Ids of whole matches."""
+        mapped = list(map(self._mapped, words))
+        lists = self.library.encode(mapped, num_threads=1)
+        ids = np.fromiter(joined_up.from_iterable(lists), "<u4").tobytes()
+        ends = np.cumsum([4 * len(x) for x in lists]).tolist()
+        out = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return [self.whole.get(m, x) for m, x in zip(mapped, out)] if self.whole else out
+
+    def words(self, text: str) -> list[str]:
+        if not self.cuts:
+            return [self.MATCH + w for w in self.split(text)]
+        if _TWO_BLANKS.search(text) or text[0].isspace() or text[-1].isspace():
+            first, *rest = _CUT.split(text)
+            out = [self.START + first, *[p[1:] for p in rest]]
+        else:  # a newline between two other characters is a match of its own
+            out = (self.START + text.replace("\n", " \n")).split(" ")
+        if max(map(len, out)) <= LONGEST:
+            return out
+        return [w for p in out for w in ([p] if len(p) <= LONGEST else [self.MATCH + m for m in self.split(self._text(p))])]
+
+    def _text(self, word: str) -> str:
+        return word if word[0] == self.NEWLINE else word[1:] if word[0] == self.START else " " + word
+
+    def take(self, new: set[str]) -> None:
+        if self.long > LONG_CHARS:
+            self.known, self.older, self.long = {}, {}, 0
+        self.long += sum(len(w) for w in new if len(w) > LONGEST)
+        super().take(new)
+
+    def learn(self, new: list[str]) -> None:
+        """Put the ids of words into ``known``."""
+        wanted: dict[str, list[str]] = {}  # word: its matches
+        for word in new:
+            mark = word[0]
+            if mark == self.MATCH:
+                wanted[word] = [word[1:]]
+                continue
+            plain = word[1:] if mark in self.NEWLINE + self.START else word
+            end = plain[-1:] if plain[-1:] in self.single else ""
+            stem = plain[:-1] if end else plain
+            if stem.isascii() and stem.isalpha():  # letters are one match, with the blank before them
+                wanted[word] = [x for x in ("\n" if mark == self.NEWLINE else "", stem if mark in self.NEWLINE + self.START else " " + stem, end) if x]
+            else:
+                wanted[word] = self.split(self._text(word))
+        matches = list({m for ms in wanted.values() for m in ms if m not in self.single})
+        ids = dict(zip(matches, self._matches(matches))) | self.single
+        self.known.update((w, ids[ms[0]] if len(ms) == 1 else b"".join(map(ids.__getitem__, ms))) for w, ms in wanted.items())
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a whole text, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _TWO_BLANKS.search(text) or text[0].isspace() or text[-1].isspace():
-            first, *rest = _CUT.split(text)
-            rest = [p[1:] for p in rest]
-        else:
-            first, *rest = text.split(" ")
-        found = list(map(self.known.get, rest))
-        if None in found:
-            new = self._learn(list({p for p, f in zip(rest, found) if f is None}))
-            found = [new[p] if f is None else f for p, f in zip(rest, found)]
-        return self._encode([first])[0] + b"".join(found)
+        return self.encode_all([text])[0]
 
     def data(self, ids: bytes) -> bytes:
         """The bytes of ids in the same form."""
@@ -164,7 +198,7 @@ class Vocabulary:
         tokens = read_ranks(path)
         self.parts = (serialise(tokens), pattern, {})
         codec = Codec(*self.parts)
-        reached = codec.library.encode([codec._mapped(t) for t in tokens], num_threads=1)
+        reached = codec.library.encode([t.decode("latin-1").translate(codec.marks) for t in tokens], num_threads=1)
         self.parts[2].update((t, i) for i, (t, ids) in enumerate(zip(tokens, reached)) if ids != [i])
 
     def __getstate__(self):
@@ -186,7 +220,7 @@ def _encoding(known):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = known.value.codec()
         for batch in batches:
-            yield arrow_rows({"id": (batch.column(0), None), "ids": (_lists([codec.ids(t) for t in batch.column(1).to_pylist()]), None)})
+            yield arrow_rows({"id": (batch.column(0), None), "ids": (_lists(codec.encode_all(batch.column(1).to_pylist())), None)})
 
     return work
 
@@ -225,20 +259,20 @@ def _narrow(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def encode(texts: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(texts: DataFrame, path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of every row. ``path`` names the ranks, ``pattern`` tells pre-tokens."""
     known = _known(texts, path, pattern)
     return per_partition(_narrow(texts, id_col, text_col), _encoding(known), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str, pattern: str = PATTERN, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, data) of every row of (id, ids): the bytes, which need not be whole characters."""
     known = _known(encoded, path, pattern)
     narrow = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return per_partition(narrow, _decoding(known), "id long, ids array<int>, data binary").select(F.col("id").alias(id_col), "data")
 
 
-def round_trip(texts: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(texts: DataFrame, path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, digests of the ids and of the decoded bytes): encoding and decoding in one worker, nothing shuffled."""
     known = _known(texts, path, pattern)
     work = chain(_encoding(known), _decoding(known), _digests)

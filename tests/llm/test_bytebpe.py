@@ -10,19 +10,20 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rootseek.llm import bytebpe
+from rootseek.llm import bytebpe, tokens
 
 SCHEMA = "doc_id long, text string, id string, ids int, data int"
 NAMES = ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"]
 PATTERN = public_tokenizers.PATTERN
+assert PATTERN == bytebpe.PATTERN
 WORDS = ["the", "The", "don't", "we'll", "x'sy", "naïve", "straße", "12345", "３.14", "日本語", "العربية", "🙂👍🏽", "é", "▁a", "<|endoftext|>", "--", "…", "\x1c", "﻿", "\x00", "aaaa"]
 BLANKS = [" ", "  ", "\n", " \n", "\n ", "\t", " ", " 　", "\x1d", "\x85", "   \n\n  ", " "]
 made = st.lists(st.one_of(st.sampled_from(WORDS), st.sampled_from(BLANKS), st.text(max_size=4)), max_size=25).map("".join)
 
 
 def library(name):
-    tokens = bytebpe.read_ranks(public_tokenizers.path(name))
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    ranks = bytebpe.read_ranks(public_tokenizers.path(name))
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
 
 
 @pytest.fixture(scope="module", params=NAMES)
@@ -56,12 +57,34 @@ def test_long_stretches(pair):
 
 def test_cache_is_bounded(pair, monkeypatch):
     want, codec = pair
-    monkeypatch.setattr(bytebpe, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 300)
+    monkeypatch.setattr(tokens, "LEARNED", 40)
+    monkeypatch.setattr(bytebpe, "LONG_CHARS", 5000)
     r = random.Random(2)
-    for _ in range(20):
-        text = " ".join("".join(r.choice("etaoin") for _ in range(r.randint(1, 200))) for _ in range(50))
+    for _ in range(40):
+        text = " ".join("".join(r.choice("etaoin") for _ in range(r.choice([1, 2, 3, 9, 200]))) + r.choice(["", ",", ".", ".\nX"]) for _ in range(150))
         assert np.frombuffer(codec.ids(text), "<u4").tolist() == want.encode_ordinary(text)
-        assert codec.kept <= 20_000 + 50 * 800 and max(map(len, codec.known), default=0) <= bytebpe.LONGEST
+        assert len(codec.known) + len(codec.older) <= 700
+
+
+@settings(max_examples=200, deadline=None)
+@given(made)
+def test_long_words_go_by_matches(pair, text):
+    want, codec = pair
+    kept, bytebpe.LONGEST = bytebpe.LONGEST, 3
+    try:
+        assert np.frombuffer(codec.ids(text), "<u4").tolist() == want.encode_ordinary(text)
+    finally:
+        bytebpe.LONGEST = kept
+
+
+def test_another_pattern():
+    pattern = r"\p{L}{1,3}|\s*[\r\n]+|\s+|[^\s\p{L}]+"
+    ranks = bytebpe.read_ranks(public_tokenizers.path(NAMES[0]))
+    want = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
+    codec = bytebpe.Vocabulary(public_tokenizers.path(NAMES[0]), pattern).codec()
+    text = "Hello there,\nyou  \r\n others 12345!? " * 3
+    assert np.frombuffer(codec.ids(text), "<u4").tolist() == want.encode_ordinary(text)
 
 
 @pytest.mark.parametrize("name", NAMES)
