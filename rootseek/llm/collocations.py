@@ -53,7 +53,7 @@ CHUNK_DISTINCT, CHUNK_WORDS, CHUNK_BYTES, OPEN_WORDS, OPEN_DISTINCT = 65_535, 4_
 #: The dictionary is broadcast up to so many words and bytes.
 SMALL_WORDS, SMALL_BYTES = 400_000, 16_000_000
 #: Sequences that a task holds before it writes filters, and sequences of a shard.
-HELD, SHARD = 4_000_000, 2_000_000
+HELD, SHARD = 2_000_000, 2_000_000
 #: Bits of the table for each frequent phrase, and in all (32 MB).
 SPARE, MOST_BITS = 16, 28
 

@@ -33,8 +33,9 @@ def ship(spark: SparkSession) -> SparkSession:
                     if name.endswith(".py"):
                         z.write(os.path.join(folder, name), os.path.join("rootseek", os.path.relpath(os.path.join(folder, name), top)))
         spark.sparkContext.addPyFile(target)
-        # whole texts may be long: small batches keep the workers' memory bounded
+        # whole texts may be long: small batches keep the workers' memory bounded. Both hold for the session.
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 
