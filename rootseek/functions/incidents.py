@@ -52,6 +52,11 @@ class Incidents:
         return keyed
 
 
+def per_incident(table: DataFrame) -> list[str]:
+    """``incident_id`` if a graph table has one graph per incident, nothing if all share one."""
+    return [c for c in ("incident_id",) if c in table.columns]
+
+
 def bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(seconds)).cast("bigint")
 
@@ -130,6 +135,7 @@ def with_segment(rows: DataFrame, ts: str, inc: Incidents, ranks: DataFrame, sec
     first, last, total = days.agg(F.min("_day"), F.max("_day"), F.coalesce(F.sum(F.size("_edges")), F.lit(0))).first()
     if first is None:
         return rows.withColumn("seg", F.lit(0).cast("bigint"))
+    fits = last - first + 1 + 3 * inc.count <= inc.params.broadcast_rows
     following = F.coalesce(F.lead("_day").over(W.orderBy("_day")) - 1, F.col("_day"))
     filled = days.withColumn("_to", following).withColumn("_at", F.explode(F.sequence("_day", "_to")))
     own = F.col("_at") == F.col("_day")
@@ -141,7 +147,7 @@ def with_segment(rows: DataFrame, ts: str, inc: Incidents, ranks: DataFrame, sec
     day = F.col("_day")
     return (
         rows.withColumn("_day", bucket(F.col(ts), seconds))
-        .join(inc.small(filled, 3), "_day", "left")
+        .join(F.broadcast(filled) if fits else filled, "_day", "left")
         .withColumn(
             "seg",
             F.when(day < first, 0).when(day > last, total)
@@ -151,24 +157,22 @@ def with_segment(rows: DataFrame, ts: str, inc: Incidents, ranks: DataFrame, sec
     )
 
 
-def with_history(cells: DataFrame, first_ts: str, inc: Incidents) -> DataFrame:
-    """Pair every cell with the incidents whose window ends at or after it starts.
+def bucket_cuts(inc: Incidents, seconds: int) -> tuple[DataFrame, DataFrame]:
+    """(edge, rank) of the buckets in which incidents start, and the incidents with ``start_rank``, ``cut`` (the bucket)."""
+    start = F.timestamp_seconds(bucket(F.col("incident_start"), seconds) * seconds)
+    cut = inc.df.select("incident_id", "incident_start", bucket(F.col("incident_start"), seconds).alias("cut"), start.alias("edge"))
+    ranks = cut.select("edge").distinct().withColumn("rank", F.row_number().over(W.orderBy("edge")))
+    return ranks, cut.join(ranks, "edge").select("incident_id", "incident_start", "cut", F.col("rank").alias("start_rank"))
+
 
-    The reach into the past is unbounded, so the equi key is a coarse period
-    (``history_days`` wide) counted from the epoch.
+def as_of_start(stretches: DataFrame, windows: DataFrame, key: tuple[str, ...], last: int) -> DataFrame:
+    """Each stretch row with the incidents that see it as the last one before their start.
+
+    ``stretches`` has one row per key and non-empty stretch ``seg``, ``windows``
+    the incidents' ``start_rank``; ``last`` bounds the ranks. The result has one
+    row per incident and key, however long the past is.
     """
-    p = inc.params
-    width = p.history_days * 86400
-    keyed = inc.windows().select(
-        "incident_id",
-        "incident_start",
-        "incident_end",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(bucket(F.col("incident_end"), width), F.lit(0)))).alias("_period"),
-    )
-    periods = 1 + (inc.last_us // 1_000_000 + p.window_seconds) // width if inc.last_us else 1
-    return (
-        cells.withColumn("_period", F.greatest(bucket(F.col(first_ts), width), F.lit(0)))
-        .join(inc.small(keyed, max(periods, 1)), "_period")
-        .where(F.col(first_ts) <= F.col("incident_end"))
-        .drop("_period")
-    )
+    in_order = W.partitionBy(*key).orderBy("seg")
+    until = F.greatest(F.coalesce(F.lead("seg").over(in_order) - 1, F.lit(last).cast("bigint")), F.col("seg"))
+    starts = windows.select("incident_id", "incident_start", (F.col("start_rank") - 1).cast("bigint").alias("seg"))
+    return stretches.withColumn("_until", until).withColumn("seg", F.explode(F.sequence("seg", "_until"))).drop("_until").join(starts, "seg")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.incidents import Incidents, bucket, edge_ranks, ranked_windows, with_history, with_segment
+from ..functions.incidents import Incidents, as_of_start, bucket, bucket_cuts, edge_ranks, per_incident, ranked_windows, with_segment
 from ..params import ANOMALY_METRICS
 
 SERIES = ("node_id", "metric_type")
@@ -62,10 +62,6 @@ def metric_cells(metrics: DataFrame, inc: Incidents, chunk_seconds: int | None =
     )
 
 
-def _before() -> Column:
-    return F.col("last_ts") < F.col("incident_start")
-
-
 def series_stats(cells: DataFrame, inc: Incidents) -> DataFrame:
     """One row per incident and series: baseline, current and observed figures.
 
@@ -98,16 +94,13 @@ def series_stats(cells: DataFrame, inc: Incidents) -> DataFrame:
     )
     key = ["incident_id", "incident_start", *SERIES]
     in_order = W.partitionBy(*SERIES).orderBy("seg")
-    until = F.greatest(F.coalesce(F.lead("seg").over(in_order) - 1, F.lit(3 * inc.count)), F.col("seg"))
-    before = (
-        stretches.select(
-            *SERIES, "seg", until.alias("until"), "pivot",
-            F.sum("n").over(in_order).alias("sample_count"), F.sum("s1").over(in_order).alias("s1"), F.sum("s2").over(in_order).alias("s2"),
-            F.min("lo").over(in_order).alias("min_value"), F.max("hi").over(in_order).alias("max_value"),
-        )
-        .withColumn("seg", F.explode(F.sequence("seg", "until")))
-        .join(windows.select("incident_id", "incident_start", (F.col("start_rank") - 1).cast("bigint").alias("seg")), "seg")
-        .select(*key, "pivot", "sample_count", "s1", "s2", "min_value", "max_value")
+    running = stretches.select(
+        *SERIES, "seg", "pivot",
+        F.sum("n").over(in_order).alias("sample_count"), F.sum("s1").over(in_order).alias("s1"), F.sum("s2").over(in_order).alias("s2"),
+        F.min("lo").over(in_order).alias("min_value"), F.max("hi").over(in_order).alias("max_value"),
+    )
+    before = as_of_start(running, windows, SERIES, 3 * inc.count).select(
+        *key, "pivot", "sample_count", "s1", "s2", "min_value", "max_value"
     )
     inside = windows.select(
         "incident_id", "incident_start", F.explode(F.sequence("start_rank", F.col("after_rank") - 1)).alias("seg"), "end_rank"
@@ -150,12 +143,54 @@ def baselines(stats: DataFrame) -> DataFrame:
     )
 
 
+#: Stretches that one row folds in a scan.
+SCAN_BLOCK = 64
+
+
+def affine_scan(maps: DataFrame, key: tuple[str, ...], keep: float, last: int) -> DataFrame:
+    """(key, seg, upto, level): the maps ``e -> keep ** n * e + offset`` of a key composed in order of ``seg``.
+
+    Composition is associative, so stretches are composed in blocks of
+    ``SCAN_BLOCK``, the blocks' totals likewise, and so on: no list is longer
+    than a block, whatever the number of stretches (at most ``last``).
+    """
+    def after(level: Column, n: Column, offset: Column) -> Column:
+        return level * F.pow(F.lit(keep), n) + offset
+
+    def step(done: Column, x: Column) -> Column:
+        before = F.element_at(done, -1)
+        return F.concat(done, F.array(F.struct(
+            x["seg"].alias("seg"), (before["upto"] + x["n"]).alias("upto"), after(before["level"], x["n"], x["offset"]).alias("level"))))
+
+    empty = F.array(F.struct(F.lit(-1).cast("bigint").alias("seg"), F.lit(0).cast("bigint").alias("upto"), F.lit(0.0).alias("level")))
+    block = F.floor(F.col("seg") / SCAN_BLOCK).cast("bigint")
+    inside = (
+        maps.groupBy(*key, block.alias("block"))
+        .agg(F.sort_array(F.collect_list(F.struct("seg", F.col("n").cast("bigint").alias("n"), F.col("offset").cast("double").alias("offset")))).alias("maps"))
+        .withColumn("done", F.slice(F.aggregate("maps", empty, step), 2, SCAN_BLOCK))
+    )
+    rows = inside.select(*key, "block", F.explode("done").alias("m")).select(*key, "block", "m.seg", "m.upto", "m.level")
+    if last < SCAN_BLOCK:
+        return rows.drop("block")
+    ends = inside.select(*key, F.col("block").alias("seg"), F.element_at("done", -1)["upto"].alias("n"), F.element_at("done", -1)["level"].alias("offset"))
+    totals = affine_scan(ends, key, keep, last // SCAN_BLOCK)
+    in_order = W.partitionBy(*key).orderBy("seg")
+    before = totals.select(
+        *key, F.col("seg").alias("block"), F.lag("upto", 1, 0).over(in_order).alias("_n"), F.lag("level", 1, 0.0).over(in_order).alias("_level")
+    )
+    return rows.join(before, [*key, "block"]).select(
+        *key, "seg", (F.col("_n") + F.col("upto")).alias("upto"), after(F.col("_level"), F.col("upto"), F.col("level")).alias("level")
+    )
+
+
 def ema(metrics: DataFrame, inc: Incidents) -> DataFrame:
     """Exponential moving average of the samples before each incident.
 
-    The recursion unrolls to a weighted sum. Weights are taken inside a cell
-    first and scaled by the number of later samples afterwards, so no task
-    ever sorts a whole series.
+    The recursion is a chain of affine maps. Weights are taken inside a cell
+    first, cells are folded between two window edges, and the maps of these
+    stretches are composed by a scan, so no task sorts a whole series and
+    nothing pairs the past with incidents: one row per incident and series
+    reads the average at its start.
     """
     p = inc.params
     keep = 1.0 - p.ema_alpha
@@ -169,28 +204,26 @@ def ema(metrics: DataFrame, inc: Incidents) -> DataFrame:
             F.sum(F.col("value") * F.lit(p.ema_alpha) * F.pow(F.lit(keep), F.col("age"))).alias("weighted"),
             F.max_by("value", "age").alias("oldest"),
             F.min("timestamp").alias("first_ts"),
-            F.max("timestamp").alias("last_ts"),
         )
     )
-    by_time = W.partitionBy(*SERIES).orderBy("chunk", "part")
-    numbered = in_cell.withColumn("upto", F.sum("n").over(by_time)).withColumn(
-        "seed", F.when(F.row_number().over(by_time) == 1, F.col("oldest"))
-    )
-    key = ("incident_id", *SERIES)
-    before = with_history(numbered, "first_ts", inc).where(_before())
-    total = F.max("upto").over(W.partitionBy(*key))
-    later = F.col("total") - F.col("upto")
-    return (
-        before.withColumn("total", total)
-        .groupBy(*key)
+    ranks = edge_ranks(inc)
+    later = W.partitionBy(*SERIES, "seg").orderBy(F.desc("chunk"), F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+    stretches = (
+        with_segment(in_cell, "first_ts", inc, ranks)
+        .withColumn("later", F.coalesce(F.sum("n").over(later), F.lit(0)))
+        .groupBy(*SERIES, "seg")
         .agg(
-            (
-                F.sum(F.col("weighted") * F.pow(F.lit(keep), later))
-                + F.sum(F.col("seed") * F.pow(F.lit(keep), F.col("total")))
-            ).alias("ema"),
-            F.max("total").alias("sample_count"),
+            F.sum("n").alias("n"),
+            F.sum(F.col("weighted") * F.pow(F.lit(keep), F.col("later"))).alias("offset"),
+            F.min_by("oldest", F.struct("chunk", "part")).alias("oldest"),
         )
     )
+    seeds = stretches.groupBy(*SERIES).agg(F.min_by("oldest", "seg").alias("seed"))
+    levels = affine_scan(stretches, SERIES, keep, 3 * inc.count).join(seeds, list(SERIES))
+    at_start = as_of_start(levels, ranked_windows(inc, ranks), SERIES, 3 * inc.count)
+    return at_start.select(
+        "incident_id", *SERIES, (F.col("level") + F.col("seed") * F.pow(F.lit(keep), F.col("upto"))).alias("ema"), F.col("upto").alias("sample_count")
+    )
 
 
 def current_values(stats: DataFrame) -> DataFrame:
@@ -282,15 +315,77 @@ def unmeasured_weight(inc: Incidents) -> float:
     return (p.weight_error + p.weight_latency) * p.coupling_fallback + p.weight_volume * volume
 
 
+def _coupling(cells: DataFrame, links: DataFrame, inc: Incidents) -> DataFrame:
+    """Correlation of both ends of each edge over bucket means before each incident.
+
+    Buckets before an incident's own are whole and the same for all: their two-variable
+    moments are running sums per edge over the stretches between the buckets in which
+    incidents start. Only the bucket that a start cuts is taken per incident.
+    Sums are about the first mean of a series, which keeps their digits.
+    """
+    p = inc.params
+    mean = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    whole = cells.groupBy(*SERIES, "chunk").agg(mean.alias("v"))
+    pivots = whole.groupBy(*SERIES).agg(F.min_by("v", "chunk").alias("pivot"))
+    whole = whole.join(pivots, list(SERIES)).select(*SERIES, "chunk", (F.col("v") - F.col("pivot")).alias("v"))
+    ranks, cuts = bucket_cuts(inc, p.bucket_seconds)
+    own = (
+        cells.join(inc.small(cuts.select("incident_id", "incident_start", F.col("cut").alias("chunk")), 1), "chunk")
+        .where("last_ts < incident_start")
+        .groupBy("incident_id", *SERIES)
+        .agg(mean.alias("v"))
+        .join(pivots, list(SERIES))
+        .select("incident_id", *SERIES, (F.col("v") - F.col("pivot")).alias("v"))
+    )
+    pairs = links.select("source_id", "target_id").distinct()
+
+    def meet(values: DataFrame, by: list[str]) -> DataFrame:
+        x = values.select(*by, "metric_type", F.col("node_id").alias("source_id"), F.col("v").alias("x"))
+        y = values.select(*by, "metric_type", F.col("node_id").alias("target_id"), F.col("v").alias("y"))
+        return pairs.join(x, "source_id").join(y, [*by, "target_id", "metric_type"])
+
+    edge = ("source_id", "target_id", "metric_type")
+    x, y = F.col("x"), F.col("y")
+    moments = {"buckets": F.lit(1), "sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
+    at = F.timestamp_seconds(F.col("chunk") * p.bucket_seconds)
+    stretches = (
+        with_segment(meet(whole, ["chunk"]).withColumn("at", at), "at", inc, ranks)
+        .groupBy(*edge, "seg")
+        .agg(*[F.sum(c).alias(n) for n, c in moments.items()])
+    )
+    in_order = W.partitionBy(*edge).orderBy("seg")
+    running = stretches.select(*edge, "seg", *[F.sum(n).over(in_order).alias(n) for n in moments])
+    before = as_of_start(running, cuts, edge, inc.count).select("incident_id", *edge, *moments)
+    sums = (
+        before.unionByName(meet(own, ["incident_id"]).select("incident_id", *edge, *[c.alias(n) for n, c in moments.items()]))
+        .groupBy("incident_id", *edge)
+        .agg(*[F.sum(n).alias(n) for n in moments])
+    )
+    n = F.col("buckets")
+
+    def spread(square: str, total: str) -> Column:
+        return F.greatest(F.col(square) / n - (F.col(total) / n) * (F.col(total) / n), F.lit(0.0))
+
+    cov = F.col("sxy") / n - (F.col("sx") / n) * (F.col("sy") / n)
+    product = F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy"))
+    r = F.when(product > 0, cov / product)
+    return sums.groupBy("incident_id", "source_id", "target_id").agg(
+        *[
+            F.max(F.when((F.col("metric_type") == m) & (n >= p.coupling_min_points), r)).alias(c)
+            for m, c in (("error_rate", "r_err"), ("latency_p99", "r_lat"))
+        ]
+    )
+
+
 def edge_weights(metrics: DataFrame, edges: DataFrame, stats: DataFrame, inc: Incidents) -> DataFrame:
     """Propagation weight per incident and edge, from pre-incident samples only.
 
-    Both endpoint series are averaged per time bucket and joined on the bucket;
-    the correlation is a plain aggregate over the joined buckets. Edges whose
-    source has no baseline are left out: they weigh ``unmeasured_weight``.
+    ``edges`` may have an ``incident_id``: each incident then has its own. Edges
+    whose source has no baseline are left out: they weigh ``unmeasured_weight``.
     """
     p = inc.params
-    links = edges.select("source_id", "target_id", F.col("ord").alias("edge_ord"))
+    own = per_incident(edges)
+    links = edges.select(*own, "source_id", "target_id", F.col("ord").alias("edge_ord"))
     ends = links.select(F.col("source_id").alias("node_id")).union(
         links.select(F.col("target_id").alias("node_id"))
     ).distinct()
@@ -299,36 +394,7 @@ def edge_weights(metrics: DataFrame, edges: DataFrame, stats: DataFrame, inc: In
         inc,
         p.bucket_seconds,
     )
-    means = (
-        with_history(cells, "first_ts", inc)
-        .where(_before())
-        .groupBy("incident_id", *SERIES, "chunk")
-        .agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("v"))
-    )
-    x = means.select("incident_id", F.col("node_id").alias("source_id"), "metric_type", "chunk", F.col("v").alias("x"))
-    y = means.select("incident_id", F.col("node_id").alias("target_id"), "metric_type", "chunk", F.col("v").alias("y"))
-    spread = F.sqrt(F.var_pop("x")) * F.sqrt(F.var_pop("y"))
-    coupling = (
-        links.join(x, "source_id")
-        .join(y, ["incident_id", "target_id", "metric_type", "chunk"])
-        .groupBy("incident_id", "source_id", "target_id", "metric_type")
-        .agg(F.count(F.lit(1)).alias("buckets"), F.covar_pop("x", "y").alias("cov"), spread.alias("spread"))
-        .select(
-            "incident_id",
-            "source_id",
-            "target_id",
-            "metric_type",
-            "buckets",
-            F.when(F.col("spread") > 0, F.col("cov") / F.col("spread")).alias("r"),
-        )
-        .groupBy("incident_id", "source_id", "target_id")
-        .agg(
-            *[
-                F.max(F.when((F.col("metric_type") == m) & (F.col("buckets") >= p.coupling_min_points), F.col("r"))).alias(c)
-                for m, c in (("error_rate", "r_err"), ("latency_p99", "r_lat"))
-            ]
-        )
-    )
+    coupling = _coupling(cells, links, inc)
     base = baselines(stats).groupBy("incident_id", "node_id").agg(
         F.max(F.when(F.col("metric_type") == "error_rate", F.col("sample_count"))).alias("n_err"),
         F.max(F.when(F.col("metric_type") == "latency_p99", F.col("sample_count"))).alias("n_lat"),
@@ -343,7 +409,7 @@ def edge_weights(metrics: DataFrame, edges: DataFrame, stats: DataFrame, inc: In
         return F.when(enough & F.col(r).isNotNull(), clipped).otherwise(F.lit(p.coupling_fallback))
 
     return (
-        links.join(src, "source_id")
+        links.join(src, [*own, "source_id"])
         .join(tgt, ["incident_id", "target_id"], "left")
         .join(coupling, ["incident_id", "source_id", "target_id"], "left")
         .select(

@@ -89,7 +89,6 @@ class Params:
     line_tolerance: int = 3
     # physical layout
     chunk_seconds: int = 3600            # pre-aggregation cell of metric samples
-    history_days: int = 365              # width of one history join key
     broadcast_rows: int = 100_000        # incident rows allowed in a broadcast
 
     def but(self, **changes) -> "Params":

@@ -177,3 +177,105 @@ def test_many_incidents_cost_rows_per_series_not_per_cell(spark):
         r = got[name]
         assert (r.sample_count, r.min_value, r.max_value, r.cur_n) == (len(old), min(old), max(old), len(now))
         assert abs(r.mean - mean) < 1e-9 and abs(r.std - max(0.01, (sum((v - mean) ** 2 for v in old) / len(old)) ** 0.5)) < 1e-9
+
+
+def coupling_by_definition(samples, start, seconds=60):
+    """Pearson correlation of bucket means before a start; None below three common buckets or without spread."""
+    def means(points):
+        buckets = {}
+        for at, v in points:
+            if at < start:
+                buckets.setdefault(int(at.timestamp()) // seconds, []).append(v)
+        return {b: sum(v) / len(v) for b, v in buckets.items()}
+
+    x, y = (means(s) for s in samples)
+    both = sorted(set(x) & set(y))
+    if len(both) < 3:
+        return None
+    xs, ys = [x[b] for b in both], [y[b] for b in both]
+    mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
+    cov = sum((a - mx) * (b - my) for a, b in zip(xs, ys))
+    spread = (sum((a - mx) ** 2 for a in xs) * sum((b - my) ** 2 for b in ys)) ** 0.5
+    return cov / spread if spread > 0 else None
+
+
+def test_coupling_of_many_starts_matches_the_definition(spark):
+    rng = random.Random(8)
+    lake = Lake()
+    base = START + timedelta(seconds=7)
+    starts = [base, base, START + timedelta(minutes=3), base + timedelta(minutes=3), base + timedelta(minutes=11), base - timedelta(days=2), base + timedelta(hours=30)]
+    for i, s in enumerate(starts):
+        lake.incident(f"i{i}", s)
+    for _ in range(400):
+        at = START + timedelta(seconds=rng.randrange(-1200, 1200))
+        for node in "abc":
+            if rng.random() < 0.7:
+                lake.metric(node, "error_rate", 1e5 + (at.timestamp() % 600) / 60 * (2 if node != "c" else -1) + rng.random(), at + timedelta(seconds=rng.randrange(3)))
+    t = lake.tables(spark)
+    inc = Incidents.of(t["incidents"])
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "c", 2)], "source_id string, target_id string, ord bigint")
+    stats = series.series_stats(series.metric_cells(t["metrics"], inc), inc)
+    got = {(r.incident_id, r.target_id): r.error_coupling for r in series.edge_weights(t["metrics"], edges, stats, inc).collect()}
+    data = {}
+    for node, _, _, v, at, *_ in lake.rows["metrics"]:
+        data.setdefault(node, []).append((at, v))
+    want = {}
+    for i, s in enumerate(starts):
+        for target in "bc":
+            if any(at < s for at, _ in data["a"]):
+                r = coupling_by_definition((data["a"], data[target]), s)
+                enough = sum(at < s for at, _ in data[target]) >= 3
+                want[f"i{i}", target] = 0.5 if r is None or not enough else max(0.0, min(1.0, r))
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-7 for k in want)
+    assert 0.5 < got["i0", "b"] < 1 and got["i0", "c"] == 0
+    # each incident its own edges
+    own = spark.createDataFrame([("i0", "a", "b", 1), ("i3", "a", "c", 2)], "incident_id string, source_id string, target_id string, ord bigint")
+    mine = {(r.incident_id, r.target_id): r.error_coupling for r in series.edge_weights(t["metrics"], own, stats, inc).collect()}
+    assert mine == {k: got[k] for k in (("i0", "b"), ("i3", "c"))}
+
+
+def test_scan_of_many_stretches(spark, monkeypatch):
+    """Blocks of blocks give the plain recursion, for any block size."""
+    rng = random.Random(3)
+    data = {(k,): sorted((seg, rng.randrange(1, 5), rng.random()) for seg in rng.sample(range(1000), 300)) for k in "ab"}
+    maps = spark.createDataFrame([(k, *m) for (k,), ms in data.items() for m in ms], "k string, seg bigint, n bigint, offset double")
+    for size in (64, 7, 2000):
+        monkeypatch.setattr(series, "SCAN_BLOCK", size)
+        got = {(r.k, r.seg): (r.upto, r.level) for r in series.affine_scan(maps, ("k",), 0.7, 1000).collect()}
+        assert len(got) == 600
+        for (k,), ms in data.items():
+            level = upto = 0
+            for seg, n, offset in ms:
+                level, upto = level * 0.7**n + offset, upto + n
+                assert got[k, seg][0] == upto and abs(got[k, seg][1] - level) < 1e-9
+
+
+def test_the_past_is_not_paired_with_incidents(spark):
+    """No join of the plans yields more rows than there are cells or incidents times series."""
+    samples = [(n, "service", "error_rate", float(i % 7), START - timedelta(hours=i), 60, "u", i) for i in range(600) for n in "ab"]
+    metrics = spark.createDataFrame(samples, schemas.METRICS).repartition(4)
+    inc = Incidents.of(spark.createDataFrame([(f"i{k}", START - timedelta(minutes=k), 5) for k in range(60)], schemas.INCIDENTS))
+    edges = spark.createDataFrame([("a", "b", 1)], "source_id string, target_id string, ord bigint")
+    stats = series.series_stats(series.metric_cells(metrics, inc), inc)
+    for df in (series.ema(metrics, inc), series.edge_weights(metrics, edges, stats, inc)):
+        df.collect()
+        assert most_join_rows(df) <= 2500, most_join_rows(df)  # pairing would give 36,000 and more
+
+
+def most_join_rows(df):
+    """Rows of the join with the most output rows in the executed plan."""
+    found, open_ = [0], [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        plan = open_.pop()
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            open_.append(plan.executedPlan())
+        elif "QueryStage" in name:
+            open_.append(plan.plan())
+        elif name == "ReusedExchange":
+            open_.append(plan.child())
+        if "Join" in name and plan.metrics().contains("numOutputRows"):
+            found.append(plan.metrics().apply("numOutputRows").value())
+        children = plan.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return max(found)
