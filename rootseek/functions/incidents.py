@@ -15,6 +15,11 @@ from pyspark.sql import Window as W
 from ..params import DEFAULTS, Params
 
 
+DAY = 86400
+#: Literal bounds in one filter.
+MOST_STRETCHES = 100
+
+
 @dataclass(frozen=True)
 class Incidents:
     """Incidents with the few facts the driver may know: count and time span."""
@@ -25,6 +30,7 @@ class Incidents:
     last_us: int | None
     most_wanted: int  # largest top_k
     params: Params = DEFAULTS
+    days: tuple[int, ...] = ()  # days since 1970 on which incidents start
 
     @classmethod
     def of(cls, df: DataFrame, params: Params = DEFAULTS) -> "Incidents":
@@ -33,13 +39,41 @@ class Incidents:
             "incident_start",
             (F.col("top_k") if "top_k" in df.columns else F.lit(params.top_k)).cast("int").alias("top_k"),
         )
-        n, lo, hi, k = cols.agg(
+        n, lo, hi, k, days = cols.agg(
             F.count(F.lit(1)),
             F.min(F.unix_micros("incident_start")),
             F.max(F.unix_micros("incident_start")),
             F.max("top_k"),
+            F.collect_set(bucket(F.col("incident_start"), DAY)),  # bounded by the calendar
         ).first()
-        return cls(cols, n, lo, hi, k or params.top_k, params)
+        return cls(cols, n, lo, hi, k or params.top_k, params, tuple(sorted(days)))
+
+    def stretches(self, before_seconds: int, after_seconds: int) -> list[tuple[int, int]]:
+        """Stretches of whole days (first, last) that hold all windows, at most ``MOST_STRETCHES``."""
+        gap = 1
+        while True:
+            out: list[tuple[int, int]] = []
+            for day in self.days:
+                lo, hi = (day * DAY - before_seconds) // DAY, ((day + 1) * DAY + after_seconds) // DAY
+                if out and lo <= out[-1][1] + gap:
+                    out[-1] = (out[-1][0], max(hi, out[-1][1]))
+                else:
+                    out.append((lo, hi))
+            if len(out) <= MOST_STRETCHES:
+                return out
+            gap *= 2
+
+    def prune(self, events: DataFrame, ts: str, before_seconds: int, after_seconds: int) -> DataFrame:
+        """Events on the days near incidents, as literals that prune day folders, files and row groups."""
+        if not self.days:
+            return events.where(F.lit(False))
+        lo, hi = self.first_us - before_seconds * 1_000_000, self.last_us + after_seconds * 1_000_000
+        near, day = F.lit(False), F.lit(False)
+        for first, last in self.stretches(before_seconds, after_seconds):
+            a, b = max(lo, first * DAY * 1_000_000), min(hi, ((last + 1) * DAY) * 1_000_000 - 1)
+            near = near | F.col(ts).between(F.timestamp_micros(F.lit(a)), F.timestamp_micros(F.lit(b)))
+            day = day | F.col("day").between(F.date_from_unix_date(F.lit(first)), F.date_from_unix_date(F.lit(last)))
+        return events.where(near & day) if "day" in events.columns else events.where(near)
 
     def windows(self) -> DataFrame:
         end = F.col("incident_start") + F.make_dt_interval(secs=F.lit(self.params.window_seconds))
@@ -72,10 +106,10 @@ def in_window(
     """Events inside ``[start - before, start + after]`` of each incident.
 
     ``closed=False`` leaves the upper end out. Adds ``incident_id`` and
-    ``incident_start``. Literal bounds over all incidents are filtered first
-    so that the scan prunes files and row groups.
+    ``incident_start``. Literal bounds around the incidents are filtered first
+    so that the scan prunes day folders, files and row groups.
     """
-    if inc.count == 0 or inc.first_us is None:
+    if not inc.days:
         none = events.where(F.lit(False))
         return none.withColumn("incident_id", F.lit("")).withColumn("incident_start", F.lit(None).cast("timestamp"))
     lo = F.col("incident_start") - F.make_dt_interval(secs=F.lit(before_seconds))
@@ -87,14 +121,8 @@ def in_window(
         F.explode(F.sequence(bucket(lo, width), bucket(hi, width))).alias("_bucket"),
     )
     inside = (F.col(ts) >= lo) & ((F.col(ts) <= hi) if closed else (F.col(ts) < hi))
-    pruned = events.where(
-        F.col(ts).between(
-            F.timestamp_micros(F.lit(inc.first_us - before_seconds * 1_000_000)),
-            F.timestamp_micros(F.lit(inc.last_us + after_seconds * 1_000_000)),
-        )
-    )
     return (
-        pruned.withColumn("_bucket", bucket(F.col(ts), width))
+        inc.prune(events, ts, before_seconds, after_seconds).withColumn("_bucket", bucket(F.col(ts), width))
         .join(inc.small(keyed, 2), "_bucket")
         .where(inside)
         .drop("_bucket")

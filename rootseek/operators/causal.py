@@ -2,7 +2,8 @@
 
 Edges point from caller to callee; a failure spreads from a node to its
 callers. State is keyed (incident, candidate, node) and grows by one hop per
-round for all incidents and candidates together.
+round for all incidents and candidates together. Edges may have an
+``incident_id``: each incident then has its own graph.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.incidents import Incidents
+from ..functions.incidents import Incidents, per_incident
 from ..session import durable, together
 from ..sources.records import ORDER
 from .series import unmeasured_weight
@@ -51,7 +52,8 @@ def forward_simulation(severities: DataFrame, edges: DataFrame, weights: DataFra
     equally short ones through the first in call order.
     """
     p = inc.params
-    calls = edges.select("source_id", F.col("target_id").alias("node_id"), F.col("ord").cast(ORDER).alias("ord"))
+    own = per_incident(edges)
+    calls = edges.select(*own, "source_id", F.col("target_id").alias("node_id"), F.col("ord").cast(ORDER).alias("ord"))
     w = weights.select("incident_id", "source_id", F.col("target_id").alias("node_id"), "weight")
     front = severities.select(
         "incident_id",
@@ -65,7 +67,7 @@ def forward_simulation(severities: DataFrame, edges: DataFrame, weights: DataFra
     while True:
         step = (
             levels[-1]
-            .join(calls, "node_id")
+            .join(calls, [*own, "node_id"])
             .join(w, ["incident_id", "source_id", "node_id"], "left")
             .groupBy("incident_id", "candidate_id", F.col("source_id").alias("node_id"))
             .agg(
@@ -96,14 +98,15 @@ def forward_simulation(severities: DataFrame, edges: DataFrame, weights: DataFra
 
 def simple_paths(seeds: DataFrame, edges: DataFrame, inc: Incidents) -> DataFrame:
     """All cycle-free caller paths of up to ``path_cutoff`` hops from each seed."""
-    calls = edges.select("source_id", F.col("target_id").alias("node_id"))
+    own = per_incident(edges)
+    calls = edges.select(*own, "source_id", F.col("target_id").alias("node_id"))
     level = seeds.select("incident_id", F.col("node_id").alias("candidate_id"), "node_id").withColumn(
         "path", F.array("node_id")
     )
     found = []
     for _ in range(inc.params.path_cutoff):
         level = (
-            level.join(calls, "node_id")
+            level.join(calls, [*own, "node_id"])
             .where(~F.array_contains("path", F.col("source_id")))
             .select("incident_id", "candidate_id", F.col("source_id").alias("node_id"), F.concat("path", F.array("source_id")).alias("path"))
         )
@@ -114,9 +117,10 @@ def simple_paths(seeds: DataFrame, edges: DataFrame, inc: Incidents) -> DataFram
 def sick_calls(edges: DataFrame, impact: DataFrame) -> DataFrame:
     """Calls between anomalous nodes, with the number each caller has."""
     sick = impact.where("is_anomalous").select("incident_id", "node_id")
+    own = per_incident(edges)
     links = (
-        edges.select("source_id", F.col("target_id").alias("node_id"))
-        .join(sick, "node_id")
+        edges.select(*own, "source_id", F.col("target_id").alias("node_id"))
+        .join(sick, [*own, "node_id"])
         .join(sick.withColumnRenamed("node_id", "source_id"), ["incident_id", "source_id"], "left_semi")
     )
     needs = links.groupBy("incident_id", "source_id").agg(F.count(F.lit(1)).alias("needed"))

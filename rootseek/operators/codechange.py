@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.incidents import Incidents, in_window
+from ..functions.incidents import Incidents, in_window, per_incident
 from ..functions.text import basename, frames_of
 from ..functions.variants import once
 from ..session import durable
@@ -183,12 +183,12 @@ def relevant_commits(
     id, or a candidate without a deploy, matches by service and time alone.
     """
     recent = in_window(commits, "timestamp", inc, inc.params.deploy_lookback_minutes * 60, 0)
-    open_code = nodes.where("node_type = 'service' AND code_access_enabled").select("node_id")
+    open_code = nodes.where("node_type = 'service' AND code_access_enabled").select(*per_incident(nodes), "node_id")
     linked = F.col("deploy_event_id").isNull() | F.col("deploy_id").isNull() | (F.col("deploy_event_id") == F.col("deploy_id"))
     return (
         recent.withColumnRenamed("service_id", "node_id")
         .join(candidates.select(*KEY).distinct(), KEY, "left_semi")
-        .join(open_code, "node_id", "left_semi")
+        .join(open_code, [*per_incident(nodes), "node_id"], "left_semi")
         .join(deploys.select(*KEY, "deploy_id"), KEY, "left")
         .where(linked)
         .select(*KEY, "event_id")

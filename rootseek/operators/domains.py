@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.incidents import Incidents
+from ..functions.incidents import Incidents, per_incident
 from ..functions.text import contains_any
 from ..params import (
     CACHE_SYSTEMS, INTEGRITY_EXCEPTIONS, RELATIONAL_SYSTEMS, TIMEOUT_EXCEPTIONS, TIMEOUT_WORDS,
@@ -26,8 +26,8 @@ def caller_timeouts(window: DataFrame, edges: DataFrame) -> DataFrame:
     ).select("incident_id", F.col("node_id").alias("source_id"), F.col("exception_type").alias("timeout_type"))
     in_order = W.partitionBy(*KEY).orderBy("edge_ord")
     return (
-        edges.select("source_id", F.col("target_id").alias("node_id"), F.col("ord").alias("edge_ord"))
-        .join(best, "source_id")
+        edges.select(*per_incident(edges), "source_id", F.col("target_id").alias("node_id"), F.col("ord").alias("edge_ord"))
+        .join(best, [*per_incident(edges), "source_id"])
         .withColumn("place", F.row_number().over(in_order))
         .select(*KEY, F.col("source_id").alias("caller_id"), "timeout_type", "place")
     )
@@ -81,7 +81,7 @@ def database_facts(
     facts = (
         ids.join(summary, KEY, "left")
         .join(series, KEY, "left")
-        .join(systems, "node_id", "left")
+        .join(systems, [*per_incident(systems), "node_id"], "left")
         .join(integrity.select(*KEY, F.col("exception_type").alias("integrity_type")), KEY, "left")
         .join(_integrity_message(events, integrity), KEY, "left")
         .join(X.slowest_statements(own), KEY, "left")
@@ -193,7 +193,7 @@ def dependency_facts(
         .groupBy(*KEY)
         .agg(F.count(F.lit(1)).alias("affected"))
     )
-    callers = edges.groupBy(F.col("target_id").alias("node_id")).agg(F.count(F.lit(1)).alias("callers"))
+    callers = edges.groupBy(*per_incident(edges), F.col("target_id").alias("node_id")).agg(F.count(F.lit(1)).alias("callers"))
     zero, no = F.lit(0), F.lit(False)
     return (
         candidates.select(*KEY).distinct()
@@ -201,7 +201,7 @@ def dependency_facts(
         .join(top, KEY, "left")
         .join(timeouts, KEY, "left")
         .join(affected, KEY, "left")
-        .join(callers, "node_id", "left")
+        .join(callers, [*per_incident(callers), "node_id"], "left")
         .select(
             *KEY,
             F.coalesce("calls", zero).alias("calls"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.incidents import Incidents, in_window
+from ..functions.incidents import Incidents, in_window, per_incident
 from ..params import WRITE_OPERATIONS
 from ..session import durable
 
@@ -89,8 +89,8 @@ def _facts(spans: DataFrame) -> DataFrame:
     return spans if "other_id" in spans.columns else call_facts(spans)
 
 
-def discover_nodes(spans: DataFrame, known_nodes: DataFrame | None = None) -> DataFrame:
-    """One row per node; the earliest mention decides type and attributes."""
+def node_mentions(spans: DataFrame, *by: Column) -> DataFrame:
+    """(by, node_id, first): every mention of a node, as a struct whose minimum is the earliest."""
     kind = F.col("m.node_type")
     when = lambda t, c: F.when(kind == t, c)
     own = F.col("target_id") == F.col("service_id")
@@ -104,7 +104,7 @@ def discover_nodes(spans: DataFrame, known_nodes: DataFrame | None = None) -> Da
         F.col("target_id").alias("node_id"),
         F.col("target_type").alias("node_type"),
     )
-    mentions = (
+    return (
         _facts(spans)
         .withColumn(
             "m",
@@ -113,6 +113,7 @@ def discover_nodes(spans: DataFrame, known_nodes: DataFrame | None = None) -> Da
             ),
         )
         .select(
+            *by,
             F.col("m.node_id").alias("node_id"),
             F.struct(
                 (F.col("ord") * 2 + F.col("m.sub")).alias("ord"),
@@ -126,7 +127,12 @@ def discover_nodes(spans: DataFrame, known_nodes: DataFrame | None = None) -> Da
             ).alias("first"),
         )
     )
-    found = mentions.groupBy("node_id").agg(F.min("first").alias("first")).select(
+
+
+def first_nodes(mentions: DataFrame, *by: str) -> DataFrame:
+    """One row per node; the earliest mention decides type and attributes."""
+    return mentions.groupBy(*by, "node_id").agg(F.min("first").alias("first")).select(
+        *by,
         "node_id",
         "first.node_type",
         "first.db_type",
@@ -139,18 +145,24 @@ def discover_nodes(spans: DataFrame, known_nodes: DataFrame | None = None) -> Da
         F.lit(None).cast("string").alias("repo_url"),
         "first.ord",
     )
+
+
+def discover_nodes(spans: DataFrame, known_nodes: DataFrame | None = None) -> DataFrame:
+    """One row per node; the earliest mention decides type and attributes."""
+    found = first_nodes(node_mentions(spans))
     if known_nodes is None:
         return found
     new = found.join(known_nodes, "node_id", "left_anti")
     return known_nodes.unionByName(new, allowMissingColumns=True)
 
 
-def _edge_candidates(spans: DataFrame) -> DataFrame:
-    """Edges that a span states by itself, before any existence check."""
+def stated_edges(spans: DataFrame, *by: Column) -> DataFrame:
+    """(by, source_id, target_id, first): edges that a span states by itself, before any existence check."""
     consumer = F.col("kind") == "consumer"
     return (
         spans.where("other_id IS NOT NULL AND other_id <> service_id")
         .select(
+            *by,
             F.when(consumer, F.col("other_id")).otherwise(F.col("service_id")).alias("source_id"),
             F.when(consumer, F.col("service_id")).otherwise(F.col("other_id")).alias("target_id"),
             F.struct((F.col("ord") * 2).alias("ord"), "edge_type", "protocol").alias("first"),
@@ -190,6 +202,19 @@ def parent_calls(spans: DataFrame, match_trace: bool = False) -> DataFrame:
     )
 
 
+def first_edges(mentions: DataFrame, nodes: DataFrame, *by: str) -> DataFrame:
+    """One row per (source, target) whose ends both are nodes; first mention wins."""
+    ids = nodes.select(*by, "node_id")
+    return (
+        mentions.groupBy(*by, "source_id", "target_id")
+        .agg(F.min("first").alias("first"))
+        .select(*by, "source_id", "target_id", "first.edge_type", "first.protocol", "first.ord")
+        .join(ids.withColumnRenamed("node_id", "source_id"), [*by, "source_id"], "left_semi")
+        .join(ids.withColumnRenamed("node_id", "target_id"), [*by, "target_id"], "left_semi")
+        .select(*by, "source_id", "target_id", "edge_type", "protocol", "ord")
+    )
+
+
 def discover_edges(
     spans: DataFrame,
     nodes: DataFrame,
@@ -197,18 +222,8 @@ def discover_edges(
     match_trace: bool = False,
 ) -> DataFrame:
     """One row per (source, target) between known nodes; first mention wins."""
-    ids = nodes.select("node_id")
     spans = _facts(spans)
-    found = (
-        _edge_candidates(spans)
-        .unionByName(parent_calls(spans, match_trace))
-        .groupBy("source_id", "target_id")
-        .agg(F.min("first").alias("first"))
-        .select("source_id", "target_id", "first.edge_type", "first.protocol", "first.ord")
-        .join(ids.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi")
-        .join(ids.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
-        .select("source_id", "target_id", "edge_type", "protocol", "ord")
-    )
+    found = first_edges(stated_edges(spans).unionByName(parent_calls(spans, match_trace)), nodes)
     if known_edges is None:
         return found
     new = found.join(known_edges, ["source_id", "target_id"], "left_anti")
@@ -237,9 +252,10 @@ def with_service_config(nodes: DataFrame, service_config: DataFrame) -> DataFram
 
 def attach_changes(changes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Changes on known services, and the misses with a reason."""
-    typed = changes.join(
-        nodes.select(F.col("node_id").alias("service_id"), "node_type"), "service_id", "left"
-    )
+    types = nodes.select(F.col("node_id").alias("service_id"), "node_type")
+    if per_incident(nodes):  # a service of any incident's graph; each incident looks at its own nodes later
+        types = types.groupBy("service_id").agg(F.max_by("node_type", F.col("node_type") == "service").alias("node_type"))
+    typed = changes.join(types, "service_id", "left")
     attached = typed.where("node_type = 'service'").drop("node_type")
     missed = typed.where("node_type IS NULL OR node_type <> 'service'").select(
         F.lit("changes").alias("source"),
@@ -308,11 +324,14 @@ def has_cycle(edges: DataFrame) -> bool:
 
 
 def cyclic_incidents(spans: DataFrame, edges: DataFrame, inc: Incidents) -> DataFrame:
-    """Incidents whose own graph has a cycle: the shared graph, cut to the nodes their window mentions.
+    """Incidents whose own graph has a cycle.
 
-    Spans are read only if the shared graph has a cycle at all, and then only
+    That is the graph of the incident where ``edges`` has one for each, else
+    the shared graph, cut to the nodes the incident's window mentions. Spans are read only if the shared graph has a cycle at all, and then only
     those of the windows.
     """
+    if per_incident(edges):
+        return cyclic_edges(edges, ("incident_id",)).select("incident_id").distinct()
     left = cyclic_edges(edges)
     if left.isEmpty():
         return inc.df.select("incident_id").limit(0)

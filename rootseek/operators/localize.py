@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.incidents import Incidents
+from ..functions.incidents import Incidents, per_incident
 from ..params import ANOMALY_METRICS
 from ..sources.records import ORDER
 
@@ -28,8 +28,9 @@ def base_candidates(anomalies: DataFrame, changed: DataFrame, nodes: DataFrame)
         *KEY,
         F.struct(F.lit(0).alias("reason"), (-F.col("z_score")).alias("a"), F.col("cur_ord").cast(ORDER).alias("b"), F.lit(0).cast(ORDER).alias("c")).alias("place"),
     )
-    services = nodes.where("node_type = 'service'").select("node_id", "ord")
-    change = changed.join(services, "node_id").select(
+    own = per_incident(nodes)
+    services = nodes.where("node_type = 'service'").select(*own, "node_id", "ord")
+    change = changed.join(services, [*own, "node_id"]).select(
         *KEY,
         F.struct(F.lit(1).alias("reason"), F.lit(0.0).alias("a"), F.col("ord").cast(ORDER).alias("b"), F.lit(0).cast(ORDER).alias("c")).alias("place"),
     )
@@ -59,13 +60,14 @@ def localize(included: DataFrame, nodes: DataFrame, edges: DataFrame, known: Dat
     merged = included.groupBy(*KEY).agg(F.min("place").alias("place"))
     if known is not None:
         merged = merged.join(known, KEY, "left_anti")
-    candidates = merged.join(nodes.select("node_id", "node_type"), "node_id")
+    candidates = merged.join(nodes.select(*per_incident(nodes), "node_id", "node_type"), [*per_incident(nodes), "node_id"])
     involved = candidates.select(*KEY)
     if known is not None:
         involved = involved.unionByName(known.select(*KEY)).distinct()
+    own = per_incident(edges)
     busy = (
-        edges.select(F.col("source_id").alias("node_id"), "target_id")
-        .join(involved.withColumnRenamed("node_id", "target_id"), "target_id")
+        edges.select(*own, F.col("source_id").alias("node_id"), "target_id")
+        .join(involved.withColumnRenamed("node_id", "target_id"), [*own, "target_id"])
         .select(*KEY)
         .distinct()
         .withColumn("calls_suspect", F.lit(True))
@@ -81,7 +83,7 @@ def localize(included: DataFrame, nodes: DataFrame, edges: DataFrame, known: Dat
 
 def unplaced(included: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidates that are not in the graph, as reject rows."""
-    return included.join(nodes, "node_id", "left_anti").select(
+    return included.join(nodes, [*per_incident(nodes), "node_id"], "left_anti").select(
         F.lit("candidates").alias("source"), F.lit("node not in graph").alias("reason"), F.col("node_id").alias("raw")
     )
 
@@ -93,12 +95,13 @@ def neighbour_hints(
 
     ``ranked`` needs ``causal_rank``; neighbours in ``known`` are left out.
     """
+    own = per_incident(edges)
     callers = edges.select(
-        F.col("target_id").alias("suggesting_node_id"), F.col("source_id").alias("node_id"),
+        *own, F.col("target_id").alias("suggesting_node_id"), F.col("source_id").alias("node_id"),
         F.lit("predecessor").alias("direction"), F.col("ord").alias("edge_ord"),
     )
     callees = edges.select(
-        F.col("source_id").alias("suggesting_node_id"), F.col("target_id").alias("node_id"),
+        *own, F.col("source_id").alias("suggesting_node_id"), F.col("target_id").alias("node_id"),
         F.lit("successor").alias("direction"), F.col("ord").alias("edge_ord"),
     )
     suspects = ranked.select(
@@ -110,7 +113,7 @@ def neighbour_hints(
     pairs = (
         callers.unionByName(callees)
         .where("suggesting_node_id <> node_id")
-        .join(suspects, "suggesting_node_id")
+        .join(suspects, [*own, "suggesting_node_id"])
         .join(known.select(*KEY), KEY, "left_anti")
         .join(signals, KEY)
         .join(own_errors, ["incident_id", "suggesting_node_id"], "left")

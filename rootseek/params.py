@@ -88,6 +88,7 @@ class Params:
     assessed_changes: int = 3
     line_tolerance: int = 3
     # physical layout
+    graph_lookback_days: int = 7         # days before an incident whose spans make its graph, with stored folds
     chunk_seconds: int = 3600            # pre-aggregation cell of metric samples
     broadcast_rows: int = 100_000        # incident rows allowed in a broadcast
 

@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.incidents import Incidents
-from ..operators import causal, codechange, domains, evidence as ev, graph, localize as loc, scoring, series, service
+from ..functions.incidents import Incidents, per_incident
+from ..operators import causal, codechange, domains, evidence as ev, graph, graphfold, localize as loc, scoring, series, service
 from ..operators import assessments, spanfacts, spanwindow
 from ..params import DEFAULTS, Params
 from ..session import durable, durable_all, together
@@ -69,21 +69,30 @@ def gather(
     service_config: DataFrame | None = None,
     known_nodes: DataFrame | None = None,
     known_edges: DataFrame | None = None,
+    folds: graphfold.Folds | None = None,
 ) -> Facts:
     inc = Incidents.of(incidents, params)
     # not written: a table as long as the lake would cost more than reading it again
     calls = graph.call_facts(spans)
-    nodes = graph.known_or_found_nodes(calls, service_config, known_nodes)
+    if folds is None:
+        nodes = graph.known_or_found_nodes(calls, service_config, known_nodes)
+        edges, systems = graph.discover_edges(calls, nodes, known_edges), graph.db_systems(calls)
+    else:
+        if known_nodes is not None or known_edges is not None:
+            raise ValueError("give known nodes and edges to graphfold.fold")
+        nodes, edges, systems = graphfold.incident_graphs(folds, inc)
+        nodes = durable(nodes if service_config is None else graph.with_service_config(nodes, service_config), "nodes")
+        changes = inc.prune(changes, "timestamp", params.change_lookback_minutes * 60, params.window_seconds)
     attached, missed = graph.attach_changes(changes, nodes)
     on_services = None
     if commits is not None:
         services = nodes.where("node_type = 'service'").select(F.col("node_id").alias("service_id"))
-        on_services = commits.join(services, "service_id", "left_semi")
+        on_services = commits.join(services, "service_id", "left_semi")  # of any incident's graph
     t = durable_all(
-        edges=graph.discover_edges(calls, nodes, known_edges),
+        edges=edges,
         stats=series.series_stats(series.metric_cells(metrics, inc), inc),
         window=spanwindow.span_window(spans, inc),
-        systems=graph.db_systems(calls),
+        systems=systems,
         changed=spanwindow.changed_nodes(attached, on_services, inc),
     )
     anomalies = series.anomalies(t["stats"], inc)
@@ -222,13 +231,18 @@ def analyze(
     replies: DataFrame | None = None,
     known_nodes: DataFrame | None = None,
     known_edges: DataFrame | None = None,
+    folds: graphfold.Folds | None = None,
 ) -> Analysis:
     """Analyse every incident over the shared telemetry tables.
 
+    With stored ``folds`` each incident has the graph of its own days, and spans
+    and changes are read near the incidents only; rejects then tell of those
+    changes. Without, the incidents share the graph of all spans given.
+
     A graph with a cycle cannot be ranked: an incident with candidates whose own
     part of the graph has one gets the failure result, the others are unaffected.
     """
-    facts = gather(incidents, spans, metrics, changes, params, commits, service_config, known_nodes, known_edges)
+    facts = gather(incidents, spans, metrics, changes, params, commits, service_config, known_nodes, known_edges, folds)
     return conclude(facts, commits, functions, replies)
 
 
@@ -247,7 +261,7 @@ def conclude(
         ranked, hints = (t.join(cyclic, "incident_id", "left_anti") for t in (ranked, hints))
     if ranked is None:
         # nothing to examine: keep the tables, but empty
-        seed = facts.base.limit(0).join(facts.nodes.select("node_id", "node_type"), "node_id")
+        seed = facts.base.limit(0).join(facts.nodes.select("node_id", "node_type").distinct(), "node_id")
         ranked = seed.select(
             *KEY, "node_type", F.lit("").alias("inclusion_reason"), F.lit(False).alias("is_potential_origin"),
             F.lit(0.0).alias("causal_confidence"), F.lit(0).alias("causal_rank"), F.lit(0).alias("iteration"),
@@ -261,7 +275,7 @@ def conclude(
     verdict = durable(scoring.verdicts(judged), "verdicts")
     quality = scoring.data_quality(inc, facts.anomalies, series.baselines(facts.stats))
     loops = ranked.groupBy("incident_id").agg(F.max("iteration").alias("loops"))
-    has_candidates = facts.base.join(facts.nodes, "node_id", "left_semi").select("incident_id").distinct()
+    has_candidates = facts.base.join(facts.nodes, [*per_incident(facts.nodes), "node_id"], "left_semi").select("incident_id").distinct()
     failed = has_candidates.join(cyclic, "incident_id", "left_semi").withColumn("failed", F.lit(True))
     none = F.array().cast("array<string>")
     bad = F.coalesce("failed", F.lit(False))

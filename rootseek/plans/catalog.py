@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.incidents import Incidents
 from ..operators import (
-    assessments, causal, codechange, domains, graph, localize as loc, scoring, series, service, spanfacts, spanwindow,
+    assessments, causal, codechange, domains, graph, graphfold, localize as loc, scoring, series, service, spanfacts, spanwindow,
     timeline,
 )
 from ..session import configure, durable, new_folder
@@ -79,6 +79,21 @@ class Telemetry:
     def inc(self) -> Incidents:
         return Incidents.of(views.incidents(self.spark), views.VIEW_PARAMS)
 
+    @cached_property
+    def several(self) -> Incidents:
+        return Incidents.of(views.several(self.spark, views.STARTS), views.VIEW_PARAMS)
+
+    @cached_property
+    def several_stats(self) -> DataFrame:
+        return durable(series.series_stats(series.metric_cells(self.metrics, self.several), self.several), "several-stats")
+
+    @cached_property
+    def incident_graphs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Graphs of several incidents from stored folds."""
+        path = new_folder(self.spark, "folds")
+        graphfold.store(graphfold.fold(self.spans), path)
+        return graphfold.incident_graphs(graphfold.load(self.spark, path), Incidents.of(views.several(self.spark, views.GRAPH_STARTS), views.GRAPH_PARAMS))
+
     @property
     def stats(self) -> DataFrame:
         return series.series_stats(series.metric_cells(self.metrics, self.inc), self.inc)
@@ -167,6 +182,31 @@ def baseline_ema(t):
     return series.ema(t.metrics, t.inc).select("node_id", "metric_type", *r6("ema"), "sample_count")
 
 
+@query
+def baseline_ema_starts(t):
+    """Several incidents at once."""
+    return series.ema(t.metrics, t.several).select("incident_id", "node_id", "metric_type", *r6("ema"), "sample_count")
+
+
+@query
+def baseline_stats_starts(t):
+    return series.baselines(t.several_stats).select(
+        "incident_id", "node_id", "metric_type", "sample_count", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "min_value", "max_value"
+    )
+
+
+@query
+def deviations_starts(t):
+    return series.deviations(t.several_stats, t.several).select("incident_id", "node_id", "metric_type", *r6("current_value", "z_score"), "is_anomalous")
+
+
+@query
+def edge_weights_starts(t):
+    return series.edge_weights(t.metrics, t.facts.edges, t.several_stats, t.several).select(
+        "incident_id", "source_id", "target_id", *r6("error_coupling", "latency_coupling", "weight"), F.round("call_volume", 9).alias("call_volume")
+    )
+
+
 @query
 def current_mean(t):
     return series.current_values(t.stats).select("node_id", "metric_type", *r6("current_value"), "cur_n")
@@ -333,6 +373,22 @@ def graph_edges(t):
     return graph.discover_edges(t.spans, t.facts.nodes).select("source_id", "target_id", "edge_type", "protocol", "ord")
 
 
+@query
+def incident_graph_nodes(t):
+    """Each incident's own nodes, from daily folds."""
+    return t.incident_graphs[0].select("incident_id", "node_id", "node_type", "db_type", "queue_type", "endpoint", "env", F.col("ord").cast("long").alias("ord"))
+
+
+@query
+def incident_graph_edges(t):
+    return t.incident_graphs[1].select("incident_id", "source_id", "target_id", "edge_type", "protocol", F.col("ord").cast("long").alias("ord"))
+
+
+@query
+def incident_db_systems(t):
+    return t.incident_graphs[2]
+
+
 @query
 def known_topology(t):
     nodes, edges = views.known_topology(t.spark, t.dir)
@@ -354,6 +410,16 @@ def dag_check(t):
     return left.agg(F.count(F.lit(1)).alias("cyclic_edges"), (F.count(F.lit(1)) == 0).alias("is_dag"))
 
 
+@query
+def dag_check_incidents(t):
+    """Cyclic and acyclic graphs of several incidents, peeled together."""
+    calls = views.region_calls(t.spark, t.dir)
+    left = graph.cyclic_edges(calls, ("incident_id",)).groupBy("incident_id").agg(F.count(F.lit(1)).alias("n"))
+    return calls.select("incident_id").distinct().join(left, "incident_id", "left").select(
+        "incident_id", F.coalesce("n", F.lit(0)).alias("cyclic_edges"), F.col("n").isNull().alias("is_dag")
+    )
+
+
 @query
 def db_systems(t):
     return graph.db_systems(t.spans)

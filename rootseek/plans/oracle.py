@@ -130,6 +130,32 @@ CTES = {
                coalesce((SELECT mean FROM base b WHERE b.node_id = e.source_id AND b.metric_type = 'request_rate'), 10.0) AS vol
         FROM edges e""",
     "weights": "SELECT *, greatest(0, least(1, 0.4 * ec + 0.4 * lc + 0.2 * least(1, vol / 1000))) AS w FROM weights0",
+    # ---- several incidents -----------------------------------------------------
+    "starts": """
+        SELECT * FROM (VALUES ('s1', TIMESTAMP '2024-01-05 00:00:00'), ('s2', TIMESTAMP '2024-01-09 07:30:00'), ('s3', TIMESTAMP '2024-01-10 00:00:00'),
+                              ('s4', TIMESTAMP '2024-01-25 00:00:00'), ('s5', TIMESTAMP '2024-01-29 18:45:00')) v(incident_id, t)""",
+    "past": "SELECT incident_id, t, m.* FROM starts JOIN metrics m ON m.ts < t",
+    "base_starts": """
+        SELECT incident_id, node_id, metric_type, count(*) AS n, avg(value) AS mean, greatest(stddev_pop(value), 0.01) AS std,
+               min(value) AS lo, max(value) AS hi FROM past GROUP BY ALL""",
+    "cur_starts": """
+        SELECT incident_id, node_id, metric_type, avg(value) AS v FROM starts JOIN metrics m ON m.ts >= t AND m.ts < t + INTERVAL 3 DAY GROUP BY ALL""",
+    "buckets_starts": """
+        SELECT incident_id, node_id, metric_type, epoch(ts)::BIGINT // 86400 AS b, avg(value) AS v
+        FROM past WHERE metric_type IN ('error_rate', 'latency_p99') GROUP BY ALL""",
+    "coupling_starts": """
+        SELECT x.incident_id, source_id, target_id, x.metric_type, count(*) AS n,
+               covar_pop(x.v, y.v) / nullif(stddev_pop(x.v) * stddev_pop(y.v), 0) AS r
+        FROM edges JOIN buckets_starts x ON x.node_id = source_id
+                   JOIN buckets_starts y ON y.incident_id = x.incident_id AND y.node_id = target_id AND y.metric_type = x.metric_type AND y.b = x.b
+        GROUP BY ALL""",
+    "graph_days": """
+        SELECT incident_id, epoch_us(lo) AS lo, epoch_us(hi) AS hi FROM (
+          VALUES ('s1', TIMESTAMP '2024-01-24', TIMESTAMP '2024-01-24 23:59:59.999999'), ('s2', TIMESTAMP '2024-01-25', TIMESTAMP '2024-01-25 23:59:59.999999'),
+                 ('s3', TIMESTAMP '2024-01-24', TIMESTAMP '2024-01-25 23:59:59.999999'), ('s4', TIMESTAMP '2024-01-26', TIMESTAMP '2024-01-26 23:59:59.999999')) v(incident_id, lo, hi)""",
+    "own_nodes": """
+        SELECT g.incident_id, m.* FROM mentions m JOIN spans s ON s.ord = m.ord // 2 JOIN graph_days g ON s.start_us BETWEEN g.lo AND g.hi
+        QUALIFY row_number() OVER (PARTITION BY g.incident_id, m.node_id ORDER BY m.ord) = 1""",
     # ---- candidates ----------------------------------------------------------
     "changed": f"""
         SELECT DISTINCT node_id FROM changes WHERE ts_us BETWEEN epoch_us({T0}) - 3600000000 AND epoch_us({T0})
@@ -416,6 +442,27 @@ CHECKS = {
         SELECT node_id, metric_type, round(sum(value * CASE WHEN r = n THEN pow(0.7, n - 1) ELSE 0.3 * pow(0.7, r - 1) END), 6) AS ema, max(n) AS sample_count
         FROM (SELECT *, row_number() OVER (PARTITION BY node_id, metric_type ORDER BY ts DESC, ord DESC) AS r,
                      count(*) OVER (PARTITION BY node_id, metric_type) AS n FROM metrics WHERE ts < {T0}) GROUP BY ALL""",
+    "baseline_ema_starts": """
+        SELECT incident_id, node_id, metric_type, round(sum(value * CASE WHEN r = n THEN pow(0.7, n - 1) ELSE 0.3 * pow(0.7, r - 1) END), 6) AS ema, max(n) AS sample_count
+        FROM (SELECT *, row_number() OVER (PARTITION BY incident_id, node_id, metric_type ORDER BY ts DESC, ord DESC) AS r,
+                     count(*) OVER (PARTITION BY incident_id, node_id, metric_type) AS n FROM past) GROUP BY ALL""",
+    "baseline_stats_starts": """
+        SELECT incident_id, node_id, metric_type, n AS sample_count, round(mean, 9) AS mean, round(std, 9) AS std, lo AS min_value, hi AS max_value FROM base_starts""",
+    "deviations_starts": """
+        SELECT incident_id, node_id, metric_type, round(v, 6) AS current_value, round(least(20, greatest(-5, (v - mean) / std)), 6) AS z_score,
+               (v - mean) / std >= 3 AS is_anomalous
+        FROM cur_starts JOIN base_starts USING (incident_id, node_id, metric_type) WHERE n >= 3""",
+    "edge_weights_starts": """
+        SELECT incident_id, source_id, target_id, round(ec, 6) AS error_coupling, round(lc, 6) AS latency_coupling, round(vol, 9) AS call_volume,
+               round(greatest(0, least(1, 0.4 * ec + 0.4 * lc + 0.2 * least(1, vol / 1000))), 6) AS weight
+        FROM (
+          SELECT i.incident_id, e.source_id, e.target_id,
+                 coalesce((SELECT greatest(0, least(1, r)) FROM coupling_starts c WHERE c.incident_id = i.incident_id AND c.source_id = e.source_id
+                           AND c.target_id = e.target_id AND c.metric_type = 'error_rate' AND c.n >= 3), 0.5) AS ec,
+                 coalesce((SELECT greatest(0, least(1, r)) FROM coupling_starts c WHERE c.incident_id = i.incident_id AND c.source_id = e.source_id
+                           AND c.target_id = e.target_id AND c.metric_type = 'latency_p99' AND c.n >= 3), 0.5) AS lc,
+                 coalesce((SELECT mean FROM base_starts b WHERE b.incident_id = i.incident_id AND b.node_id = e.source_id AND b.metric_type = 'request_rate'), 10.0) AS vol
+          FROM edges e JOIN (SELECT DISTINCT incident_id, node_id FROM base_starts) i ON i.node_id = e.source_id)""",
     "current_mean": "SELECT node_id, metric_type, round(v, 6) AS current_value, n AS cur_n FROM cur",
     "deviations": "SELECT node_id, metric_type, round(z, 6) AS z_score, z >= 3 AS is_anomalous FROM dev",
     "baseline_summary": "SELECT node_id, " + ", ".join(
@@ -483,11 +530,27 @@ CHECKS = {
     "change_attach": """SELECT node_id AS service_id, kind, count(*) AS n, max(ts_us) AS last_us FROM changes
         WHERE node_id IN (SELECT node_id FROM services) GROUP BY ALL""",
     "known_topology": """
-        SELECT 'n' || n_nationkey AS id, 'queue' AS kind, NULL::VARCHAR AS target FROM nation WHERE n_nationkey % 3 = 0
-        UNION ALL SELECT node_id, node_type, NULL FROM nodes WHERE node_id NOT IN (SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 3 = 0)
+        SELECT 'n' || (n_nationkey * 2) AS id, 'queue' AS kind, NULL::VARCHAR AS target FROM nation
+        UNION ALL SELECT node_id, node_type, NULL FROM nodes WHERE node_id NOT IN (SELECT 'n' || (n_nationkey * 2) FROM nation)
         UNION ALL SELECT 'n' || r_regionkey, 'depends_on', 'n' || (r_regionkey + 3) FROM region
         UNION ALL SELECT source_id, 'calls', target_id FROM edges
         WHERE NOT EXISTS (SELECT 1 FROM region WHERE 'n' || r_regionkey = source_id AND 'n' || (r_regionkey + 3) = target_id)""",
+    "incident_graph_nodes": """
+        SELECT incident_id, node_id, node_type, db_type, queue_type, endpoint, env, ord FROM own_nodes""",
+    "incident_graph_edges": """
+        SELECT incident_id, source_id, target_id, 'calls' AS edge_type, protocol, ord FROM (
+          SELECT g.incident_id, e.* FROM edge_mentions e JOIN spans s ON s.ord = e.ord // 2 JOIN graph_days g ON s.start_us BETWEEN g.lo AND g.hi)
+        WHERE (incident_id, source_id) IN (SELECT (incident_id, node_id) FROM own_nodes) AND (incident_id, target_id) IN (SELECT (incident_id, node_id) FROM own_nodes)
+        QUALIFY row_number() OVER (PARTITION BY incident_id, source_id, target_id ORDER BY ord) = 1""",
+    "incident_db_systems": """
+        SELECT DISTINCT g.incident_id, node_id, 'postgresql' AS db_system FROM spans s JOIN graph_days g ON s.start_us BETWEEN g.lo AND g.hi WHERE nn = 9""",
+    "dag_check_incidents": """
+        WITH RECURSIVE ring AS (SELECT n_regionkey AS r, n_nationkey AS a, coalesce(lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey),
+                      CASE WHEN n_regionkey IN (0, 2) THEN min(n_nationkey) OVER (PARTITION BY n_regionkey) END) AS b FROM nation),
+        reach AS (SELECT r, a, b FROM ring WHERE b IS NOT NULL UNION SELECT k.r, k.a, c.b FROM reach k JOIN ring c ON c.r = k.r AND c.a = k.b WHERE c.b IS NOT NULL)
+        SELECT 'r' || r AS incident_id, count(*) FILTER (WHERE (r, a) IN (SELECT (k.r, k.a) FROM reach k WHERE k.a = k.b)) AS cyclic_edges,
+               count(*) FILTER (WHERE (r, a) IN (SELECT (k.r, k.a) FROM reach k WHERE k.a = k.b)) = 0 AS is_dag
+        FROM ring WHERE b IS NOT NULL GROUP BY r""",
     "dag_check": """SELECT count(*) AS cyclic_edges, count(*) = 0 AS is_dag FROM walks WHERE hop > 0 AND cand = node_id""",
     "db_systems": "SELECT DISTINCT node_id, 'postgresql' AS db_system FROM spans WHERE nn = 9",
     "causal_events": """SELECT row_number() OVER (ORDER BY tier, start_us, ord) AS position, span_id, node_id, (tier - 1)::INTEGER AS depth, err AS is_error,

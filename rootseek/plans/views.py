@@ -29,6 +29,29 @@ def incidents(spark: SparkSession) -> DataFrame:
     )
 
 
+#: Starts of several incidents: before, between and after each other's windows.
+STARTS = ("2024-01-05 00:00:00", "2024-01-09 07:30:00", "2024-01-10 00:00:00", "2024-01-25 00:00:00", "2024-01-29 18:45:00")
+#: Starts of incidents whose graphs come from one or two days of spans.
+GRAPH_STARTS = ("2024-01-24 01:00:00", "2024-01-25 02:00:00", "2024-01-24 23:30:00", "2024-01-26 01:00:00")
+GRAPH_PARAMS = VIEW_PARAMS.but(window_seconds=3600, graph_lookback_days=0)
+
+
+def several(spark: SparkSession, starts: tuple[str, ...]) -> DataFrame:
+    """Incidents s1, s2, ... at the given starts."""
+    return spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(starts, 1)], "incident_id string, at string").selectExpr(
+        "incident_id", "CAST(at AS TIMESTAMP) AS incident_start", "5 AS top_k"
+    )
+
+
+def region_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One graph per region: each nation calls the next of its region, the last one the first in regions 0 and 2."""
+    return table(spark, sf_dir, "nation").selectExpr(
+        "concat('r', n_regionkey) AS incident_id", "n_regionkey", "concat('n', n_nationkey) AS source_id",
+        "concat('n', lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)) AS following",
+        "concat('n', min(n_nationkey) OVER (PARTITION BY n_regionkey)) AS first",
+    ).selectExpr("incident_id", "source_id", "coalesce(following, CASE WHEN n_regionkey IN (0, 2) THEN first END) AS target_id").where("target_id IS NOT NULL")
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "concat('n', user_id % 12) AS node_id",
@@ -305,7 +328,7 @@ def stored_results(spark: SparkSession, sf_dir: str, narrative: str, condition:
 
 def known_topology(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Known nodes and edges from the nations and regions."""
-    nodes = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").selectExpr("concat('n', n_nationkey) AS node_id", "'queue' AS node_type")
+    nodes = table(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey * 2) AS node_id", "'queue' AS node_type")
     edges = table(spark, sf_dir, "region").selectExpr(
         "concat('n', r_regionkey) AS source_id", "concat('n', r_regionkey + 3) AS target_id", "'depends_on' AS edge_type", "'known' AS protocol"
     )
