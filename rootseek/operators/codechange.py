@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.incidents import Incidents, in_window, per_incident
 from ..functions.text import basename, frames_of
 from ..functions.variants import once
-from ..session import durable
 
 KEY = ["incident_id", "node_id"]
 FILE = ["event_id", "file_path"]
-LINE_BLOCK = 64
+#: Lines that are folded together.
+FOLD_BLOCK = 256
+HUNK_LINE = "struct<pos:int,hunk:int,kind:string,new_line:int,old_line:int,text:string>"
 
 # File extension to language.
 LANGUAGES = {
@@ -40,69 +40,63 @@ def file_changes(files: DataFrame) -> DataFrame:
     )
 
 
-def diff_lines(files: DataFrame) -> DataFrame:
-    """Every hunk line of every file diff with its old and new line number.
+def _block_fold(pieces: Column) -> Column:
+    """The hunk lines of one diff: a state machine over its text lines.
 
-    ``kind`` is '+', '-' or ' '. Line numbers are running sums within a hunk;
-    a removed line carries the new-file position it was removed at.
+    The state is the hunk and the next line number on both sides, without
+    numbers outside readable hunks. Lines are folded in blocks, whose lists are
+    put together at the end, so no long list is copied for every line.
     """
-    pieces = F.split("raw_diff", LINE_BREAK)
-    kept = F.col("pieces")
-    trimmed = F.when(F.element_at(kept, -1) == "", F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
-    line = F.col("line")
-    in_file = W.partitionBy(*FILE).orderBy("pos")
-    in_hunk = W.partitionBy(*FILE, "hunk").orderBy("pos")
-    earlier = in_hunk.rowsBetween(W.unboundedPreceding, -1)
-    header = line.startswith("@@")
-    number = lambda g: F.regexp_extract(line, HUNK, g).try_cast("int")
-    readable = file_changes(files).where("language <> 'unknown' AND change_type IN ('modified', 'added')")
-    lines = (
-        once(once(readable, *FILE, "ord", pieces=pieces), *FILE, "ord", kept=trimmed)
-        .select(*FILE, "ord", F.posexplode("kept").alias("pos", "line"))
-        .withColumn("hunk", F.sum(header.cast("int")).over(in_file))
-        .where("hunk > 0")
-    )
-    starts = (
-        lines.withColumn("old_start", F.first(F.when(header, number(1))).over(in_hunk))
-        .withColumn("new_start", F.first(F.when(header, number(3))).over(in_hunk))
-        .where(~header & F.col("old_start").isNotNull() & F.col("new_start").isNotNull())
-    )
-    mark = F.substring(line, 1, 1)
-    kind = F.when(mark.isin("+", "-"), mark).otherwise(" ")
-    advance = lambda skip: F.coalesce(F.sum((F.col("kind") != skip).cast("int")).over(earlier), F.lit(0))
-    return (
-        starts.withColumn("kind", kind)
-        .withColumn("new_line", (F.col("new_start") + advance("-")).cast("int"))
-        .withColumn("old_line", (F.col("old_start") + advance("+")).cast("int"))
-        .select(
-            *FILE, "ord", "pos", "hunk", "kind", "new_line",
-            F.when(F.col("kind") != "+", F.col("old_line")).alias("old_line"),
+    def state(pos, hunk, old, new, out) -> Column:
+        return F.struct(pos.alias("pos"), hunk.alias("hunk"), old.alias("old"), new.alias("new"), out.alias("out"))
+
+    def step(s: Column, line: Column) -> Column:
+        header, mark = line.startswith("@@"), F.substring(line, 1, 1)
+        number = lambda g: F.regexp_extract(line, HUNK, g).try_cast("int")
+        inside = s["old"].isNotNull() & s["new"].isNotNull()
+        found = F.struct(
+            s["pos"].alias("pos"), s["hunk"].alias("hunk"), F.when(mark.isin("+", "-"), mark).otherwise(" ").alias("kind"), s["new"].alias("new_line"),
+            F.when(mark != "+", s["old"]).alias("old_line"),
             F.when(mark.isin("+", "-", " "), F.substring(line, 2, 2147483647)).otherwise(line).alias("text"),
         )
-    )
+        return state(
+            s["pos"] + 1, s["hunk"] + header.cast("int"),
+            F.when(header, number(1)).otherwise(s["old"] + (mark != "+").cast("int")),
+            F.when(header, number(3)).otherwise(s["new"] + (mark != "-").cast("int")),
+            F.when(~header & inside, F.concat(s["out"], F.array(found))).otherwise(s["out"]),
+        )
 
+    no_lines, none = F.array().cast(f"array<{HUNK_LINE}>"), F.lit(None).cast("int")
 
-def _in_blocks(ranges: DataFrame) -> DataFrame:
-    """Line ranges keyed by the 64-line blocks they touch."""
-    block = lambda c: F.floor(F.col(c) / LINE_BLOCK)
-    return ranges.withColumn("block", F.explode(F.sequence(block("start_line"), block("end_line"))))
+    def block(s: Column, lines: Column) -> Column:
+        done = F.aggregate(lines, state(s["pos"], s["hunk"], s["old"], s["new"], no_lines), step)
+        return F.transform(F.array(done), lambda d: state(
+            d["pos"], d["hunk"], d["old"], d["new"], F.concat(s["out"], F.array(d["out"]))))[0]
 
+    starts = F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)), F.lit(FOLD_BLOCK))
+    blocks = F.transform(starts, lambda i: F.slice(pieces, i, FOLD_BLOCK))
+    first = state(F.lit(0), F.lit(0), none, none, F.array().cast(f"array<array<{HUNK_LINE}>>"))
+    return F.aggregate(blocks, first, block, lambda s: F.flatten(s["out"]))
+
+
+def _parsed(files: DataFrame, *keep: str) -> DataFrame:
+    """Readable files with ``lines``, the hunk lines of their diff."""
+    pieces = F.split("raw_diff", LINE_BREAK)
+    kept = F.col("pieces")
+    trimmed = F.when(F.element_at(kept, -1) == "", F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    readable = file_changes(files).where("language <> 'unknown' AND change_type IN ('modified', 'added')")
+    cut = once(once(readable, *FILE, "ord", *keep, pieces=pieces), *FILE, "ord", *keep, kept=trimmed)
+    return once(cut, *FILE, "ord", *keep, lines=_block_fold(F.col("kept")))
 
-def _on_line(lines: DataFrame, column: str) -> DataFrame:
-    return lines.withColumn("line", F.col(column)).withColumn("block", F.floor(F.col(column) / LINE_BLOCK))
 
+def diff_lines(files: DataFrame) -> DataFrame:
+    """Every hunk line of every file diff with its old and new line number.
 
-def touched(ranges: DataFrame, lines: DataFrame, column: str) -> DataFrame:
-    """Ranges that contain at least one of the lines."""
-    marks = _on_line(lines, column).select(*FILE, "block", "line").distinct()
-    inside = F.col("line").between(F.col("start_line"), F.col("end_line"))
-    cols = ranges.columns
-    return (
-        _in_blocks(ranges).alias("r")
-        .join(marks.alias("m"), [*FILE, "block"])
-        .where(inside)
-        .select(*cols)
-        .distinct()
+    ``kind`` is '+', '-' or ' '. A removed line carries the new-file position
+    it was removed at. Nothing is shuffled.
+    """
+    return _parsed(files).select(*FILE, "ord", F.explode("lines").alias("l")).select(
+        *FILE, "ord", "l.pos", "l.hunk", "l.kind", "l.new_line", "l.old_line", "l.text"
     )
 
 
@@ -111,67 +105,60 @@ def function_changes(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
     ``symbols`` gives the function ranges of both file versions: event_id,
     file_path, side ('old' or 'new'), function_name, start_line, end_line, ord.
+    A file's symbols are folded to one row and meet its diff in one equi join;
+    all else happens within the row.
     """
-    lines = durable(diff_lines(files), "diff-lines")
-    changed = lines.where("kind <> ' '")
-    new_side = symbols.where("side = 'new'").drop("side")
-    old_side = symbols.where("side = 'old'").drop("side")
-    latest_old = old_side.groupBy(*FILE, "function_name").agg(
-        F.max(F.struct("ord", "start_line", "end_line")).alias("o")
-    ).select(*FILE, "function_name", F.col("o.start_line").alias("old_from"), F.col("o.end_line").alias("old_to"))
-    hit = durable(touched(new_side, changed, "new_line"), "hit")
-    current = hit.join(latest_old, [*FILE, "function_name"], "left").select(
-        *FILE, "function_name",
-        F.when(F.col("old_from").isNotNull(), "modified").otherwise("added").alias("change_type"),
-        "start_line", "end_line", "old_from", "old_to",
-        F.col("start_line").alias("new_from"), F.col("end_line").alias("new_to"), "ord",
-    )
-    gone = (
-        touched(old_side, lines.where("kind = '-'"), "old_line")
-        .join(hit.select(*FILE, "function_name"), [*FILE, "function_name"], "left_anti")
-        .select(
-            *FILE, "function_name", F.lit("deleted").alias("change_type"), "start_line", "end_line",
-            F.col("start_line").alias("old_from"), F.col("end_line").alias("old_to"),
-            F.lit(None).cast("int").alias("new_from"), F.lit(None).cast("int").alias("new_to"), "ord",
+    symbol = F.struct("side", "function_name", "start_line", "end_line", "ord")
+    folded = symbols.groupBy(*FILE).agg(F.sort_array(F.collect_set(symbol)).alias("symbols"))
+    both = _parsed(files, "language").join(folded, FILE)
+    side = lambda name: F.filter("symbols", lambda s: s["side"] == name)
+    of = lambda keep: F.filter("lines", keep)
+    sides = once(
+        both, *FILE, "ord", "language",
+        new_side=side("new"), old_side=side("old"),
+        changed=F.transform(of(lambda x: x["kind"] != " "), lambda x: x["new_line"]),
+        removed=F.transform(of(lambda x: x["kind"] == "-"), lambda x: x["old_line"]),
+        # of lines with one number the last one counts
+        new_text=F.map_from_entries(F.transform(of(lambda x: x["kind"] != "-"), lambda x: F.struct(x["new_line"], x["text"]))),
+        old_text=F.map_from_entries(F.transform(of(lambda x: x["kind"] != "+"), lambda x: F.struct(x["old_line"], x["text"]))),
+    )
+    contains = lambda lines: lambda s: F.exists(lines, lambda i: i.between(s["start_line"], s["end_line"]))
+    found = once(
+        sides, *FILE, "ord", "language", "old_side", "new_text", "old_text",
+        hit=F.filter("new_side", contains("changed")), gone=F.filter("old_side", contains("removed")),
+    )
+    none = F.lit(None).cast("int")
+
+    def latest_old(s: Column) -> Column:
+        same = F.filter("old_side", lambda o: o["function_name"] == s["function_name"])
+        return F.array_max(F.transform(same, lambda o: F.struct(o["ord"].alias("ord"), o["start_line"].alias("start_line"), o["end_line"].alias("end_line"))))
+
+    def change(s: Column, kind: Column, old_from: Column, old_to: Column, new_from: Column, new_to: Column, deleted: int) -> Column:
+        return F.struct(
+            s["function_name"].alias("function_name"), kind.alias("change_type"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
+            old_from.alias("old_from"), old_to.alias("old_to"), new_from.alias("new_from"), new_to.alias("new_to"),
+            F.lit(deleted).cast("bigint").alias("deleted"), s["ord"].cast("bigint").alias("symbol_ord"),
         )
-    )
-    every = current.unionByName(gone).withColumnRenamed("ord", "symbol_ord")
-    meta = file_changes(files).select(*FILE, F.col("ord").alias("file_ord"), "language")
-    ordinal = F.array("file_ord", (F.col("change_type") == "deleted").cast("bigint"), F.col("symbol_ord").cast("bigint"))
-    keyed = durable(every.join(meta, FILE).withColumn("ord", ordinal), "changed-functions")
-    code = _code(keyed, lines, "new").join(_code(keyed, lines, "old"), [*FILE, "ord"], "full")
-    return keyed.join(code, [*FILE, "ord"], "left").select(
-        *FILE, "language", "function_name", "change_type", "start_line", "end_line",
-        _joined("old").alias("old_code"), _joined("new").alias("new_code"), "ord",
-    )
-
 
-def _code(functions: DataFrame, lines: DataFrame, side: str) -> DataFrame:
-    """Known lines of one side of each function, as a map from line number."""
-    column = f"{side}_line"
-    present = lines.where(F.col("kind") != ("-" if side == "new" else "+"))
-    texts = _on_line(
-        present.groupBy(*FILE, column).agg(F.max_by("text", "pos").alias("text")), column
-    ).select(*FILE, "block", "line", "text")
-    ranges = functions.where(F.col(f"{side}_from").isNotNull()).select(
-        *FILE, "ord", F.col(f"{side}_from").alias("start_line"), F.col(f"{side}_to").alias("end_line")
-    )
-    return (
-        _in_blocks(ranges)
-        .join(texts, [*FILE, "block"])
-        .where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-        .groupBy(*FILE, "ord")
-        .agg(F.map_from_entries(F.collect_list(F.struct("line", "text"))).alias(f"{side}_lines"))
+    with_old = F.transform("hit", lambda s: F.struct(s.alias("s"), latest_old(s).alias("o")))
+    current = F.transform(with_old, lambda x: change(
+        x["s"], F.when(x["o"].isNotNull(), "modified").otherwise("added"),
+        x["o"]["start_line"], x["o"]["end_line"], x["s"]["start_line"], x["s"]["end_line"], 0))
+    lost = F.filter("gone", lambda o: ~F.exists("hit", lambda s: s["function_name"] == o["function_name"]))
+    deleted = F.transform(lost, lambda o: change(o, F.lit("deleted"), o["start_line"], o["end_line"], none, none, 1))
+    every = found.select(*FILE, "ord", "language", "new_text", "old_text", F.explode(F.concat(current, deleted)).alias("f"))
+    return every.select(
+        *FILE, "language", "f.function_name", "f.change_type", "f.start_line", "f.end_line",
+        _code("old").alias("old_code"), _code("new").alias("new_code"),
+        F.array("ord", "f.deleted", "f.symbol_ord").alias("ord"),
     )
 
 
-def _joined(side: str) -> Column:
+def _code(side: str) -> Column:
     """Code of one side; lines outside the diff read as empty."""
-    rows = F.transform(
-        F.sequence(f"{side}_from", f"{side}_to"),
-        lambda i: F.coalesce(F.try_element_at(F.col(f"{side}_lines"), i), F.lit("")),
-    )
-    return F.when(F.col(f"{side}_from").isNotNull(), F.array_join(rows, "\n"))
+    first, last = F.col(f"f.{side}_from"), F.col(f"f.{side}_to")
+    rows = F.transform(F.sequence(first, last), lambda i: F.coalesce(F.try_element_at(F.col(f"{side}_text"), i), F.lit("")))
+    return F.when(first.isNotNull(), F.array_join(rows, "\n"))
 
 
 def relevant_commits(

@@ -661,7 +661,7 @@ def service_arbitration(t):
 
 @query
 def diff_lines(t):
-    return codechange.diff_lines(t.diffs).select("event_id", "kind", "new_line", "old_line", "text", "pos")
+    return codechange.diff_lines(t.diffs).select("event_id", "kind", "new_line", "old_line", "text", "pos", "hunk")
 
 
 @query

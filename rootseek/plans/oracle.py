@@ -282,9 +282,9 @@ CTES = {
                'x' || l_partkey || ' = ' || l_suppkey AS text
         FROM lines""",
     "dlines": """
-        SELECT *, (l_orderkey % 30 + 3 + count(*) FILTER (WHERE kind <> '-') OVER w)::INTEGER AS new_line,
-               (l_orderkey % 30 + 1 + count(*) FILTER (WHERE kind <> '+') OVER w)::INTEGER AS old_at
-        FROM dlines0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+        SELECT *, (l_orderkey % 30 + CASE WHEN rn > 2 THEN 11 ELSE 3 END + count(*) FILTER (WHERE kind <> '-') OVER w)::INTEGER AS new_line,
+               (l_orderkey % 30 + CASE WHEN rn > 2 THEN 8 ELSE 1 END + count(*) FILTER (WHERE kind <> '+') OVER w)::INTEGER AS old_at
+        FROM dlines0 WINDOW w AS (PARTITION BY l_orderkey, rn > 2 ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "syms": """
         SELECT f, f * 5 + 1 AS old_from, f * 5 + 5 AS old_to, f * 5 + 2 AS new_from, f * 5 + 6 AS new_to,
                f <> 6 AS in_old, f <> 1 AS in_new
@@ -640,7 +640,8 @@ CHECKS = {
         CASE WHEN o_orderkey % 2 = 0 THEN 'touches fn' || (o_orderkey % 8) END AS diff_summary, round(minutes, 6)::DOUBLE AS deploy_minutes FROM deploys""",
     "service_arbitration": """SELECT node_id, domain, failure_type, priority::DOUBLE AS priority_score, winner, "both" AS both_strong
         FROM findings WHERE winner IS NOT NULL""",
-    "diff_lines": """SELECT 'commit-' || l_orderkey AS event_id, kind, new_line, CASE WHEN kind <> '+' THEN old_at END AS old_line, text, (rn + 2)::INTEGER AS pos FROM dlines""",
+    "diff_lines": """SELECT 'commit-' || l_orderkey AS event_id, kind, new_line, CASE WHEN kind <> '+' THEN old_at END AS old_line, text, (rn + CASE WHEN rn > 2 THEN 3 ELSE 2 END)::INTEGER AS pos,
+        CASE WHEN rn > 2 THEN 2 ELSE 1 END AS hunk FROM dlines""",
     "function_changes": """
         , newl AS (SELECT l_orderkey, new_line, text FROM dlines WHERE kind <> '-'), oldl AS (SELECT l_orderkey, old_at, text FROM dlines WHERE kind <> '+')
         , spread AS (SELECT fu.*, i, o.text AS old_text, n.text AS new_text

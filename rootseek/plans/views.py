@@ -188,7 +188,7 @@ def service_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commit_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One unified diff per order; every line item is one diff line."""
+    """One unified diff per order; every line item is one diff line, the third and later ones in a second hunk."""
     lines = numbered_lines(spark, sf_dir).selectExpr(
         "l_orderkey",
         "rn",
@@ -203,9 +203,11 @@ def commit_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "concat('src/mod', l_orderkey % 6, '.py') AS file_path",
             "'modified' AS change_type",
             "CAST(NULL AS STRING) AS old_path",
-            """concat('--- a/f\n+++ b/f\n@@ -', l_orderkey % 30 + 1, ',', size(ls), ' +',
-                      l_orderkey % 30 + 3, ',', size(ls), ' @@\n',
-                      array_join(transform(ls, x -> x.line), '\n')) AS raw_diff""",
+            """concat('--- a/f\n+++ b/f\n@@ -', l_orderkey % 30 + 1, ',', least(size(ls), 2), ' +',
+                      l_orderkey % 30 + 3, ',', least(size(ls), 2), ' @@\n',
+                      array_join(transform(slice(ls, 1, 2), x -> x.line), '\n'),
+                      CASE WHEN size(ls) > 2 THEN concat('\n@@ -', l_orderkey % 30 + 8, ' +', l_orderkey % 30 + 11, ' @@ part two\n',
+                      array_join(transform(slice(ls, 3, size(ls)), x -> x.line), '\n')) ELSE '' END) AS raw_diff""",
             "l_orderkey AS ord",
         )
     )

@@ -57,6 +57,40 @@ def test_functions_are_modified_added_and_deleted(spark):
     assert got["dead"].ord > got["keep"].ord
 
 
+def test_long_diffs_fold_in_blocks(spark, monkeypatch):
+    """Hunks over block borders, repeated symbols and line numbers: as counted one by one."""
+    import random
+
+    rng = random.Random(4)
+    body, want, pos = [], [], 0
+    for hunk in range(1, 6):
+        old, new = rng.randrange(1, 50), rng.randrange(1, 50)
+        body.append(f"@@ -{old},9 +{new},9 @@ fn" if hunk != 3 else "@@ unreadable")
+        for i in range(rng.randrange(0, 400)):
+            mark = rng.choice("+- \\")
+            body.append(f"{mark}line {hunk} {i}")
+            if hunk != 3:
+                kind = mark if mark in "+-" else " "
+                want.append((len(body) - 1, hunk, kind, new, None if kind == "+" else old, f"line {hunk} {i}" if mark != "\\" else body[-1]))
+                old, new = old + (kind != "+"), new + (kind != "-")
+    diff = "\n".join(body)
+    files = spark.createDataFrame([("e", "a.py", "modified", None, diff, 0), ("e", "empty.py", "modified", None, "@@ -1 +1 @@", 1)], FILES)
+    plans = []
+    for size in (256, 7, 5000):
+        monkeypatch.setattr(codechange, "FOLD_BLOCK", size)
+        df = codechange.diff_lines(files)
+        assert [(r.pos, r.hunk, r.kind, r.new_line, r.old_line, r.text) for r in df.orderBy("pos").collect()] == want
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert not any("Exchange" in p or "Window" in p for p in plans)
+    symbols = spark.createDataFrame([("e", "a.py", s, "f", a, a + 9, a) for s in ("old", "new") for a in range(1, 600, 10)] * 2, SYMBOLS)
+    changes = codechange.function_changes(files, symbols)
+    got = sorted((r.start_line, r.change_type, r.new_code) for r in changes.collect())
+    text = {n: t for _, _, k, n, _, t in want if k != "-"}
+    hit = {n for _, _, k, n, _, _ in want if k != " "}
+    assert got == [(a, "modified", "\n".join(text.get(i, "") for i in range(a, a + 10))) for a in range(1, 600, 10) if hit & set(range(a, a + 10))]
+    assert changes._jdf.queryExecution().executedPlan().toString().count("Window") == 0
+
+
 TRACES = {
     'Traceback:\n  File "src/fraud/risk.py", line 47, in evaluate\n': [("src/fraud/risk.py", "evaluate", 47)],
     "NPE\n\tat com.acme.fraud.RiskEvaluator.evaluate(RiskEvaluator.java:42)\n": [("RiskEvaluator.java", "evaluate", 42)],
