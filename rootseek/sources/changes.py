@@ -9,7 +9,7 @@ from ..functions.variants import (
     fields, is_array, is_null, is_object, is_string, member, once, shown, truthy, typed, utc_timestamp,
 )
 from ..params import CHANGE_KINDS
-from .records import first_reason, split
+from .records import first_reason, split, tagged
 
 COLUMNS = [
     "kind", "event_id", "service_id", "timestamp", "version", "change_type", "key", "old_value", "new_value", "author",
@@ -23,7 +23,7 @@ REQUIRED = {
 }
 
 
-def ingest_changes(records: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def tagged_changes(records: DataFrame, strict: bool = False) -> DataFrame:
     """Changes and rejects from records ``(raw, ord)``, one wide table.
 
     ``strict`` (file ingestion) also wants the three identifying fields to be
@@ -84,7 +84,12 @@ def ingest_changes(records: DataFrame, strict: bool = False) -> tuple[DataFrame,
         ),
     )
     bad_time = F.when(F.col("timestamp").isNull(), "bad timestamp")
-    return split(read.withColumn("reason", F.coalesce("reason", bad_time)), COLUMNS, "changes")
+    return tagged(read.withColumn("reason", F.coalesce("reason", bad_time)), COLUMNS, "changes")
+
+
+def ingest_changes(records: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Changes and rejects from records ``(raw, ord)``."""
+    return split(tagged_changes(records, strict), COLUMNS)
 
 
 def to_records(changes: DataFrame) -> DataFrame:

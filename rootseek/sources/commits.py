@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.variants import fields, member, once
-from .records import first_reason, split
+from .records import first_reason, split, tagged
 
 COLUMNS = [
     "event_id", "service_id", "commit_sha", "repo_url", "branch", "author", "commit_message", "deploy_event_id",
@@ -31,7 +31,7 @@ def _check(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             (F.col("timestamp").isNotNull(), "bad timestamp"),
         ),
     )
-    return split(checked, COLUMNS, "commits")
+    return split(tagged(checked, COLUMNS, "commits"), COLUMNS)
 
 
 def ingest_commits(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import exists
@@ -58,11 +58,36 @@ def json_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def split(checked: DataFrame, columns: list[str], source: str) -> tuple[DataFrame, DataFrame]:
-    """Rows without a ``reason``, and the rest as rejects."""
-    good = checked.where("reason IS NULL").select(*columns)
-    bad = checked.where("reason IS NOT NULL").select(F.lit(source).alias("source"), "reason", "raw")
-    return good, bad
+def tagged(checked: DataFrame, columns: list[str], source: str) -> DataFrame:
+    """Checked rows with their columns, and for rejects ``source``, ``reason`` and the record's text."""
+    return checked.select(*columns, F.lit(source).alias("source"), "reason", F.when(F.col("reason").isNotNull(), F.col("raw")).alias("raw"))
+
+
+def split(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Tagged rows without a ``reason``, and the rest as rejects. Each side reads the records by itself."""
+    return rows.where("reason IS NULL").select(*columns), rows.where("reason IS NOT NULL").select("source", "reason", "raw")
+
+
+def store(rows: DataFrame, path: str, overwrite: bool = False) -> dict[str, int]:
+    """Write tagged rows in one pass over the records, and return how many were good and rejected.
+
+    Good rows and rejects lie in folders of one table (see ``stored``); the counts
+    are collected while writing.
+    """
+    seen = Observation("ingest")
+    bad = F.col("reason").isNotNull()
+    counted = rows.observe(seen, F.count_if(~bad).alias("good"), F.count_if(bad).alias("rejected"))
+    counted.withColumn("rejected", bad).write.partitionBy("rejected").mode("overwrite" if overwrite else "append").option(
+        "partitionOverwriteMode", "static"
+    ).parquet(path)
+    return {name: int(n or 0) for name, n in seen.get.items()}
+
+
+def stored(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Good rows and rejects that ``store`` wrote; each side reads its own folder."""
+    rows = spark.read.parquet(path)
+    good = rows.where("rejected = 'false'").select(*columns)
+    return good, rows.where("rejected = 'true'").select("source", "reason", "raw")
 
 
 def first_reason(*checks: tuple[Column, str]) -> Column:

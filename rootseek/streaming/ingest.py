@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.records import record_order
+from ..sources.records import record_order, store
 
 Ingest = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
@@ -39,3 +39,22 @@ def ingest_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def store_stream(spark: SparkSession, source: str, tagged: Callable[[DataFrame], DataFrame], path: str, name: str) -> StreamingQuery:
+    """As ``ingest_stream``, yet into one table of good rows and rejects, each file read and parsed once.
+
+    ``tagged`` is a ``tagged_*`` operator; ``records.stored`` tells the two sides apart.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(F.col("value").alias("raw"), record_order(batch_id).alias("ord"))
+        store(tagged(rows), os.path.join(path, f"batch={batch_id}"), overwrite=True)
+
+    return (
+        spark.readStream.text(source)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", os.path.join(path + ".progress", name))
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -5,7 +5,7 @@ import pytest
 from build import rows
 from rootseek.operators import graph
 from rootseek.sources import changes, commits, lake, metrics, records, traces
-from rootseek.streaming.ingest import ingest_stream
+from rootseek.streaming.ingest import ingest_stream, store_stream
 
 
 def raw(spark, items):
@@ -206,3 +206,45 @@ def test_orders_of_late_partitions_and_batches_stay_apart(spark):
 def test_paths_without_files_have_no_records(spark, tmp_path):
     for read in (records.json_lines, records.json_files):
         assert read(spark, str(tmp_path / "none*.json")).count() == 0
+
+
+def test_good_rows_and_rejects_come_from_one_pass(spark, tmp_path):
+    """The stored table holds what the two sides of an ingest hold; its plan reads the records once."""
+    one = {"traceId": "t", "spanId": "s", "startTimeUnixNano": "1000000", "endTimeUnixNano": "3000000"}
+    given_traces = [
+        {"resourceSpans": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": "a"}}]}, "scopeSpans": [{"spans": [one, {**one, "spanId": ""}, 7]}]},
+                           {"scopeSpans": [{"spans": [{**one, "spanId": "u"}]}, {"spans": []}]}]},
+        {"other": 1}, [1], {"resourceSpans": []},
+        {"resourceSpans": [{"resource": {"attributes": [{"key": "k", "value": {"intValue": "x"}}]}, "scopeSpans": [{"spans": [one]}]}]},
+    ]
+    sample = {"node_id": "n", "node_type": "service", "metric_type": "error_rate", "value": 1, "timestamp": "2024-01-01T00:00:00Z", "window_seconds": 60, "unit": "u"}
+    change = {"event_type": "deploy", "event_id": "e", "service_id": "s", "timestamp": "2024-01-01T00:00:00Z", "version": "1"}
+    cases = {
+        "traces": (traces.tagged_traces, traces.ingest_traces, traces.COLUMNS, [json.dumps(x) for x in given_traces] + ["{", None], {True: (2, 8), False: (2, 6)}),
+        "metrics": (metrics.tagged_metrics, metrics.ingest_metrics, metrics.COLUMNS, [json.dumps(x) for x in (sample, {**sample, "value": -1}, {**sample, "unit": 3}, 5)], {True: (1, 3), False: (1, 3)}),
+        "changes": (changes.tagged_changes, changes.ingest_changes, changes.COLUMNS, [json.dumps(x) for x in (change, {**change, "version": ""}, {"event_type": "x"})], {True: (1, 2), False: (1, 2)}),
+    }
+    for name, (tag, ingest, columns, raw, counts) in cases.items():
+        given = spark.createDataFrame([(r, i) for i, r in enumerate(raw)], "raw string, ord long")
+        for strict, (n_good, n_bad) in counts.items():
+            path = str(tmp_path / f"{name}-{strict}")
+            table = tag(given, strict)
+            plan = table._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("LogicalRDD") == 1 and "Union" not in plan
+            assert records.store(table, path) == {"good": n_good, "rejected": n_bad}
+            good, bad = records.stored(spark, path, columns)
+            for side, same in zip((good, bad), ingest(given, strict)):
+                text = lambda df: sorted(str(r.asDict(True)) for r in df.collect())
+                assert side.columns == same.columns and text(side) == text(same)
+    assert records.store(cases["metrics"][0](given.limit(0)), str(tmp_path / "none")) == {"good": 0, "rejected": 0}
+
+
+def test_stream_into_one_table(spark, tmp_path):
+    lines = ['{"node_id": "n", "node_type": "service", "metric_type": "error_rate", "value": 2, "timestamp": "2024-01-01T00:00:00Z", "window_seconds": 60, "unit": "u"}', "broken"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join(lines))
+    for _ in range(2):  # a second run finds nothing new
+        q = store_stream(spark, str(tmp_path / "in"), metrics.tagged_metrics, str(tmp_path / "out"), "metrics")
+        q.awaitTermination()
+    good, bad = records.stored(spark, str(tmp_path / "out"), metrics.COLUMNS)
+    assert [(r.node_id, r.value) for r in good.collect()] == [("n", 2.0)] and [(r.source, r.raw) for r in bad.collect()] == [("metrics", "broken")]
