@@ -8,12 +8,14 @@ one operator of ``rootseek.llm``:
 * repeats: byte strings of 200 bytes that occur again are cut from the texts;
 * packing: every token of what is left gets its place in a training batch.
 
-A stage deletes the intermediate tables of the stage before, which are no
-longer needed once that stage's result is written.
+A stage deletes the intermediate tables of the stage before in the same thread, which
+are no longer needed once that stage's result is written. Those of the last stage
+stay, since its result reads them when it is used.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 import public_tokenizers
@@ -28,17 +30,19 @@ from rootseek.session import delete, written_here
 LEAST_SHARE = 1 / 3
 VOCABULARY = "word_bpe_49k.json"
 
-_behind: list[str] = []
+_mine = threading.local()
 
 
-def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame], last: bool = False) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """``work``, with the tables of the stage before deleted first."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete(spark, _behind)
+        behind = _mine.__dict__.setdefault("behind", [])
+        delete(spark, behind)
         with written_here() as folders:
             out = work(spark, docs, sf_dir)
-        _behind.extend(folders)
+        if not last:
+            behind.extend(folders)
         return out
 
     return run_stage
@@ -62,7 +66,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 
-STAGES = [("language", _stage(known_language)), ("near_duplicates", _stage(near_duplicates)), ("repeats", _stage(cut_repeats)), ("packing", _stage(pack))]
+STAGES = [("language", _stage(known_language)), ("near_duplicates", _stage(near_duplicates)), ("repeats", _stage(cut_repeats)), ("packing", _stage(pack, last=True))]
 
 #: Language mixtures, byte strings and tokens have no SQL; the tests compare with brute force.
 ORACLE_SQL = None

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +20,8 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
-# Lists that take the folders of written tables while a ``written_here`` block is open.
-_open_lists: list[list[str]] = []
+# Lists that take the folders of written tables while a ``written_here`` block of a thread is open.
+_open = ContextVar("open_lists", default=())
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -55,7 +56,7 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A folder of its own under the shared one."""
     path = os.path.join(scratch_dir(spark), "rootseek", f"{label}-{uuid.uuid4().hex}")
-    for folders in _open_lists:
+    for folders in _open.get():
         folders.append(path)
     return path
 
@@ -64,11 +65,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def written_here():
     """The folders written inside the block, for ``delete`` once their readers are done."""
     folders: list[str] = []
-    _open_lists.append(folders)
+    token = _open.set((*_open.get(), folders))
     try:
         yield folders
     finally:
-        _open_lists[:] = [x for x in _open_lists if x is not folders]
+        _open.reset(token)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -93,7 +94,7 @@ def together(*steps: Callable):
     Keeps the executors busy when single steps are too small to fill them.
     """
     with ThreadPoolExecutor(max_workers=len(steps)) as pool:
-        return [f.result() for f in [pool.submit(step) for step in steps]]
+        return [f.result() for f in [pool.submit(copy_context().run, step) for step in steps]]
 
 
 def durable_all(**tables: DataFrame) -> dict[str, DataFrame]:
