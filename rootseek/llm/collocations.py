@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootseek.llm import quotient
-from rootseek.llm.common import arrow_rows, durable, partition_offsets, per_partition
+from rootseek.llm.common import arrow_rows, chain, durable, partition_offsets, per_partition
+from rootseek.session import new_folder
 
 UNKNOWN = "und"
 LONGEST = 4
@@ -49,7 +50,7 @@ _TABLE = bytes(
 #: Bytes split at once, words handled at once.
 BYTES, PIECE = 1 << 20, 4096
 #: Distinct words (16 bits), words and dictionary bytes of a chunk; words that a task holds in all its open chunks.
-CHUNK_DISTINCT, CHUNK_WORDS, CHUNK_BYTES, OPEN_WORDS, OPEN_DISTINCT = 65_535, 4_000_000, 4_000_000, 8_000_000, 500_000
+CHUNK_DISTINCT, CHUNK_WORDS, CHUNK_BYTES, OPEN_WORDS, OPEN_DISTINCT = 65_535, 1_000_000, 4_000_000, 4_000_000, 300_000
 #: The dictionary is broadcast up to so many words and bytes.
 SMALL_WORDS, SMALL_BYTES = 400_000, 16_000_000
 #: Sequences that a task holds before it writes filters, and sequences of a shard.
@@ -168,6 +169,13 @@ def _kept(least: int):
     return work
 
 
+def _written(chunks: DataFrame, label: str) -> DataFrame:
+    """As ``durable``, in row groups of few rows: a chunk is large, and readers take many rows of a group at once."""
+    path = new_folder(chunks.sparkSession, label)
+    chunks.write.option("parquet.block.row.count.limit", "16").option("parquet.block.size", str(16 << 20)).parquet(path)
+    return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
+
+
 # ---- id sequences ----
 
 
@@ -218,17 +226,21 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CODED = "lang string, before int, ids binary, table binary"
 
 
-def _coded(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(lang, before, ids, table): every chunk with the id of each of its words, 0 for breaks and rare words."""
+def _coded(chunks: DataFrame, frequent: DataFrame) -> tuple[DataFrame, Callable | None]:
+    """(lang, before, ids, table): every chunk with the id of each of its words, 0 for breaks and rare words.
+
+    Given as rows and the step that still makes them so, if any: it runs in the
+    worker that goes on with them.
+    """
     size = frequent.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("b")).first()
     if size.n <= SMALL_WORDS and size.b <= SMALL_BYTES:
         known = chunks.sparkSession.sparkContext.broadcast(Dictionary(frequent.select("lang", "word", "id").toArrow()))
-        return per_partition(chunks.select("before", "lang", "ids", "words"), _numbered(known), CODED)
+        return chunks.select("before", "lang", "ids", "words"), _numbered(known)
     entries = chunks.select("chunk", "lang", F.posexplode("words").alias("at", "word"))
     found = entries.join(frequent.select("lang", "word", "id"), ["lang", "word"])
     tables = found.groupBy("chunk").agg(F.collect_list(F.struct("at", F.col("id").cast("int").alias("id"))).alias("found"))  # at most CHUNK_DISTINCT
     rows = chunks.select("chunk", "before", "lang", "ids", F.size("words").alias("size")).join(tables, "chunk", "left")
-    return durable(per_partition(rows.select("before", "lang", "ids", "size", "found"), _joined, CODED), "coded-chunks")
+    return _written(per_partition(rows.select("before", "lang", "ids", "size", "found"), _joined, CODED), "coded-chunks"), None
 
 
 def _sequences(n: int, id_bits: int, shard_bits: int, table):
@@ -328,7 +340,7 @@ def frequent_phrases(docs: DataFrame, least: int, text_col: str = "text", lang_c
     if not 2 <= longest <= LONGEST:
         raise ValueError(f"phrases have 2 to {LONGEST} words")
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    chunks = durable(per_partition(rows, _chunks, CHUNKS), "chunks")
+    chunks = _written(per_partition(rows, _chunks, CHUNKS), "chunks")
     each = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("lang", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
     sums = each.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     found = durable(per_partition(sums, _kept(least), "lang string, word string, n long, part int, at long"), "words")
@@ -340,12 +352,13 @@ def frequent_phrases(docs: DataFrame, least: int, text_col: str = "text", lang_c
     id_bits = max(1, int(most.id or 0).bit_length())
     if id_bits > 31:
         raise ValueError("more than two thousand million frequent words; raise the least count")
-    coded = _coded(chunks, frequent)
+    coded, first = _coded(chunks, frequent)
     levels, table = [], None
     for n in range(2, longest + 1):
         bits = quotient.width(id_bits, n)
         shard_bits = min(bits, 30, math.ceil(math.log2(max(1, (most.n or 0) / SHARD))))
-        filters = per_partition(coded, _sequences(n, id_bits, shard_bits, table), "lang string, shard int, filter binary")
+        steps = [s for s in (first, _sequences(n, id_bits, shard_bits, table)) if s is not None]
+        filters = per_partition(coded, chain(*steps), "lang string, shard int, filter binary")
         merged = filters.groupBy("lang", "shard").applyInArrow(_merge(n, id_bits, shard_bits, least), "lang string, ids array<int>, a long, mark long")
         levels.append(durable(merged, f"phrases-{n}"))
         if n < longest:
