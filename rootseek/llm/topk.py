@@ -14,7 +14,8 @@ candidate; scores beyond a long saturate.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -86,9 +87,13 @@ def search(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _search_large(query_ids, queries, row_ids, rows, k):
-    """As ``search``, in Python's integers, where products may exceed double precision."""
-    q, r = (np.array([[int(v) for v in x] for x in m], object).reshape(m.shape) for m in (queries, rows))
+def _whole(m: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as Python's integers, where the product may leave a double's range."""
+    return np.array([[math.floor(Fraction(v) * Fraction(scale)) for v in x] for x in m.tolist()], object).reshape(m.shape)
+
+
+def _search_large(query_ids, q, row_ids, r, k):
+    """As ``search``, over Python's integers, where products may exceed double precision."""
     found = []
     for i, x in enumerate(q):
         scored = sorted((-int(s), int(j)) for s, j in zip(r @ x, row_ids) if j != query_ids[i])[:k]
@@ -103,10 +108,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec
 
     def cell(key: tuple[pa.Scalar, ...], queries: pa.Table, found: pa.Table) -> pa.Table:
         dim = key[0].as_py()
-        q, r = (np.floor(vectors.matrix(t["vec"], dim) * scale) for t in (queries, found))
+        given = [vectors.matrix(t["vec"], dim) for t in (queries, found)]
         qid, rid = (t["id"].to_numpy() for t in (queries, found))
-        most = (np.abs(q).max(initial=0) * np.abs(r).max(initial=0)) * max(dim, 1)
-        owner, ids, score = (search if most < EXACT else _search_large)(qid, q, rid, r, k) if len(qid) and len(rid) else ((), (), ())
+        with np.errstate(over="ignore", invalid="ignore"):
+            q, r = (np.floor(m * scale) for m in given)
+            plain = (np.abs(q).max(initial=0) * np.abs(r).max(initial=0)) * max(dim, 1) < EXACT
+        owner, ids, score = (), (), ()
+        if len(qid) and len(rid):
+            owner, ids, score = search(qid, q, rid, r, k) if plain else _search_large(qid, _whole(given[0], scale), rid, _whole(given[1], scale), k)
         return pa.table({
             "query_id": pa.array(qid[np.asarray(owner, np.int64)], pa.int64()), "vec_id": pa.array(np.asarray(ids, np.int64)), "score": pa.array(np.asarray(score, np.int64)),
         })

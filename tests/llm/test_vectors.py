@@ -101,3 +101,19 @@ def test_no_vectors(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert topk.top_k(none, F.col("id") % 20 == 0, 20).count() == 0
     assert neighbours.nearest(none, F.col("id") % 50 == 0, 5).count() == 0
+
+
+def test_top_k_of_doubles_beyond_all_bounds(spark):
+    """Finite doubles that overflow when scaled take part; scores saturate."""
+    from fractions import Fraction
+    from math import floor
+
+    rows = [(0, [1e308, 1.0]), (1, [1e-308, 2.0]), (2, [-1e308, 3.0]), (3, [1e10, 1e10]), (20, [0.5, -0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("id") % 20 == 0, 20).collect())
+    whole = {i: [floor(Fraction(x) * 64) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)
+        want += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scored, 1)]
+    assert [g[:1] + g[2:] for g in sorted(got, key=lambda g: (g[0], g[2]))] == [w[:1] + w[2:] for w in sorted(want, key=lambda w: (w[0], w[2]))]
