@@ -13,12 +13,20 @@ A short fixed list names elements that are boilerplate by their
 meaning. Keys that are not among the most frequent ones stay in a table, and pages
 are joined to it, so no key is left out. On a page with a marked article, words outside it score negative.
 
+An article counts as marked if its tag is one of the page (not of a comment or a script),
+it stands outside boilerplate, is not hidden and holds words. Failing those, one counts that
+stands in boilerplate by class names only, or on a page that has no words elsewhere in any, and
+holds most of the words that are left when the elements around it are kept. Class
+names and learned keys are evidence, not proof: an element that holds most of
+the page's words (of those in the marked article, if it stands in one) is kept in spite of them.
+How much "most" is follows from the evidence, see ``Extractor.level``.
+
 A block is the text between two block-level tags; white space inside it
 becomes one space, blocks are joined by one line feed, and character references
 are decoded as browsers do.
 
 Defined cases: null or empty html, or a page without any word of content, gives
-the empty text; markup that is cut off or not closed is read as far as it goes;
+the empty text; an empty table gives an empty result; very long pages are read whole, in linear time; markup that is cut off or not closed is read as far as it goes;
 a closing tag ends its element at any depth, a stray one does nothing, and p, li, dd, dt,
 option and the parts of a table end where HTML ends them without a closing tag;
 equal ids stay separate rows; other columns are ignored. Without any labelled
@@ -46,13 +54,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr script style template noscript".split()
 )
-BOILERPLATE = frozenset("nav header footer aside form menu dialog button".split()) | RAW
+BOILERPLATE = frozenset("nav header footer aside menu dialog button".split()) | RAW
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "nav navigation navbar menu breadcrumb breadcrumbs header masthead footer sidebar aside related share social "
     "notice cookie cookies consent popup modal newsletter subscribe "
-    "comment comments disqus replies form search login complementary contentinfo alert".split()
+    "form search login complementary contentinfo alert".split()
 )
+READERS = frozenset("comment comments disqus replies".split())
+#: Parts that make a class name tell a state or a layout ("has-sidebar", "comments-open") instead of what an element is.
+STATES = frozenset("has no with without open opened closed enabled disabled on off".split())
 ARTICLE = frozenset(("article", "main"))
 
 # Elements that HTML closes without a closing tag: by opening tag, the names it closes and the scope in which it looks for them.
@@ -89,9 +100,9 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?")
 MARKED = re.compile(r"<(article|main)\b", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORDS = re.compile(r"[\s_-]+")
 
 #: Element keys broadcast, the most frequent ones, and characters of them in all; pages are joined to the other keys.
@@ -104,24 +115,53 @@ ENOUGH = 5
 TAG_COST = 0.05
 
 
+#: Levels of evidence that an element is boilerplate, and the share of the words, in percent, from which it is kept in spite of it.
+NONE, PART, WHOLE, SURE = 0, 1, 2, 3
+KEEPS = {PART: 50, WHOLE: 90}
+
+
+def named(attributes: str) -> list[tuple[str, str]]:
+    """(name in lower case, value) of an opening tag's attributes."""
+    return [(name.lower(), value.strip("\"'")) for name, value in ATTRIBUTE.findall(attributes)]
+
+
 def keys_of(name: str, attributes: str) -> list[str]:
     """An element's keys: its name, and its name with each class, id and role."""
     found = [name]
     if attributes:
-        for kind, value in ATTRIBUTE.findall(attributes):
-            found += [f"{name}.{w.lower()}" for w in value.strip("\"'").split()]
+        for kind, value in named(attributes):
+            if kind in ("class", "id", "role"):
+                found += [f"{name}.{w.lower()}" for w in value.split()]
     return found
 
 
-def hinted(name: str, attributes: str) -> bool:
-    """Whether an element is boilerplate by its meaning."""
+def hinted(name: str, attributes: str) -> int:
+    """The level at which an element is boilerplate by its meaning.
+
+    ``SURE``: by its tag, hidden, or named as readers' comments. ``WHOLE``: a form, or
+    named by a listed word alone. ``PART``: a listed word is part of a longer name.
+    """
     if name in BOILERPLATE:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    return any(w.lower() in HINTS for _, value in ATTRIBUTE.findall(attributes) for w in WORDS.split(value.strip("\"'")))
+        return SURE
+    level = WHOLE if name == "form" else NONE
+    if not attributes or name in ("html", "body"):
+        return level
+    for kind, value in named(attributes):
+        if (kind == "hidden" and value.lower() != "false") or (kind == "style" and NOT_SHOWN.search(value)):
+            return SURE
+        if kind == "aria-hidden" and value.lower() == "true":
+            level = max(level, WHOLE)
+        if kind not in ("class", "id", "role") or name in ARTICLE:
+            continue
+        for token in value.lower().split():
+            parts = {w for w in WORDS.split(token) if w}
+            if len(parts) > 1 and parts & STATES:
+                continue
+            if parts & READERS:
+                return SURE
+            if parts & HINTS:
+                level = max(level, PART if len(parts) > 1 else WHOLE)
+    return level
 
 
 def scan(page: str) -> Iterator[tuple[str, str, str]]:
@@ -152,10 +192,15 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class Walk:
-    """Open elements while a page is scanned; those whose opening tags are numbered in ``around`` are no boilerplate."""
+    """Open elements while a page is scanned.
 
-    def __init__(self, boilerplate, around: frozenset[int] | set[int] = frozenset()):
-        self.judge, self.around, self.open, self.bad, self.articles, self.tags = boilerplate, around, [], 0, 0, 0
+    ``level`` judges an element by name and attributes. Those whose opening tags are numbered
+    in ``kept`` are no boilerplate, those in ``marks`` are the articles that count.
+    """
+
+    def __init__(self, level, kept: frozenset[int] | set[int] = frozenset(), marks: frozenset[int] | set[int] = frozenset(), left=None):
+        self.level, self.kept, self.marks, self.left = level, kept, marks, left
+        self.open, self.bad, self.sure, self.articles, self.tags = [], 0, 0, 0, 0
         self.at: defaultdict[str, list[int]] = defaultdict(list)  # places in ``open``, by name and by scope
 
     def step(self, kind: str, name: str, attributes: str) -> None:
@@ -165,12 +210,13 @@ class Walk:
                 self._end(closed, scope)
             if name in VOID:
                 return
-            bad = number not in self.around and self.judge(name, attributes)
+            level = NONE if number in self.kept else self.level(name, attributes)
             for place in (name, *SCOPES.get(name, ())):
                 self.at[place].append(len(self.open))
-            self.open.append((name, bad, number))
-            self.bad += bad
-            self.articles += name in ARTICLE
+            self.open.append((name, level, number))
+            self.bad += level > NONE
+            self.sure += level == SURE
+            self.articles += number in self.marks
             if name == "body":  # what an unclosed head left open
                 self._leave("head")
         elif kind == "close":
@@ -190,32 +236,83 @@ class Walk:
 
     def _cut(self, size: int) -> None:
         while len(self.open) > size:
-            name, bad, _ = self.open.pop()
-            self.bad -= bad
-            self.articles -= name in ARTICLE
+            name, level, number = self.open.pop()
+            self.bad -= level > NONE
+            self.sure -= level == SURE
+            self.articles -= number in self.marks
+            if self.left:
+                self.left(number)
             for place in (name, *SCOPES.get(name, ())):
                 self.at[place].pop()
 
 
-def enclosing(events: list[tuple[str, str, str]]) -> set[int]:
-    """Numbers of the opening tags whose elements enclose an article.
+class _Element:
+    """An article, or an element that may be boilerplate: where it stands and how many words lie in it."""
 
-    Articles within elements that are boilerplate by their meaning, such as
-    teasers, count only on a page that has no other article.
-    """
-    walk, some, found, every = Walk(hinted), False, set(), set()
+    __slots__ = ("article", "level", "bad", "sure", "start", "words")
+
+    def __init__(self, article: bool, level: int, bad: int, sure: int, start: tuple[int, int, int]):
+        self.article, self.level, self.bad, self.sure, self.start, self.words = article, level, bad, sure, start, (0, 0, 0)
+
+
+def _measured(events: list[tuple[str, str, str]], level, kept: set[int]) -> tuple[dict[int, _Element], dict[int, int | None], list[int]]:
+    """Elements of interest by the number of their opening tag, the element above each element, and the page's words: all, outside what is surely boilerplate, outside all boilerplate."""
+    found: dict[int, _Element] = {}
+    parent: dict[int, int | None] = {}
+    seen = [0, 0, 0]
+
+    def left(number: int) -> None:
+        if number in found:
+            found[number].words = tuple(n - b for n, b in zip(seen, found[number].start))
+
+    walk = Walk(level, kept, left=left)
     for kind, name, attributes in events:
         if kind == "text":
+            n = len(name.split())
+            seen[0] += n
+            seen[1] += n if not walk.sure else 0
+            seen[2] += n if not walk.bad else 0
             continue
         walk.step(kind, name, attributes)
-        if kind == "open" and name in ARTICLE:
-            some = some or not walk.bad
-            for numbers in (every,) if walk.bad else (every, found):
-                for _, _, number in reversed(walk.open[:-1]):
-                    if number in numbers:  # and so are all around it
-                        break
-                    numbers.add(number)
-    return found if some else every
+        if kind == "open" and walk.open and walk.open[-1][2] == walk.tags - 1:
+            _, mine, number = walk.open[-1]
+            parent[number] = walk.open[-2][2] if len(walk.open) > 1 else None
+            if name in ARTICLE or mine in KEEPS:
+                found[number] = _Element(name in ARTICLE, mine, walk.bad, walk.sure, tuple(seen))
+    walk._cut(0)
+    return found, parent, seen
+
+
+def _above(numbers: set[int], parent: dict[int, int | None]) -> set[int]:
+    out: set[int] = set()
+    for i in numbers:
+        above = parent[i]
+        while above is not None and above not in out:
+            out.add(above)
+            above = parent[above]
+    return out
+
+
+def outline(events: list[tuple[str, str, str]], level) -> tuple[set[int], set[int], set[int]]:
+    """(around, kept, marks): numbers of the opening tags of elements that enclose a marked article, of all that are kept in spite of evidence, and of marked articles."""
+    found, parent, seen = _measured(events, level, set())
+    articles = {i for i, e in found.items() if e.article and e.level != SURE}
+    marks = {i for i in articles if not found[i].bad and found[i].words[2]}
+    if not marks and articles:
+        inner = {i for i in articles if not found[i].sure or not seen[1]}
+        again, _, clean = _measured(events, level, _above(inner, parent))
+        marks = {i for i in inner if again[i].words[2] and 100 * again[i].words[2] > KEEPS[PART] * clean[2]}
+    around = _above(marks, parent)
+    within: dict[int | None, int | None] = {None: None}  # the outermost marked article that an element stands in
+    for i in parent:  # in page order, so the element above comes first
+        within[i] = i if within[parent[i]] is None and i in marks else within[parent[i]]
+    kept = around | marks
+    for i, e in found.items():
+        if e.level in KEEPS and not e.sure and i not in kept and (not marks or within[i] is not None):
+            whole = found[within[i]].words[1] if marks else seen[1]
+            if e.words[1] and 100 * e.words[1] > KEEPS[e.level] * whole:
+                kept.add(i)
+    return around, kept, marks
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +333,10 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if page is None or not MARKED.search(page):
                 continue
             events = list(scan(page))
-            around = enclosing(events)
-            walk = Walk(hinted, around)
+            around, kept, marks = outline(events, hinted)
+            if not marks:
+                continue
+            walk = Walk(hinted, kept, marks)
             for kind, name, attributes in events:
                 if kind == "text":
                     continue
@@ -287,12 +386,12 @@ class Extractor:
     def __init__(self, weights: dict[str, tuple[float, bool]]):
         self.weights = weights
 
-    def boilerplate(self, name: str, attributes: str) -> bool:
-        if hinted(name, attributes):
-            return True
-        if name in ARTICLE or name in ("html", "body"):
-            return False
-        return any(self.weights.get(key, (0.0, False))[1] for key in keys_of(name, attributes)[1:])
+    def level(self, name: str, attributes: str) -> int:
+        """As ``hinted``; an element with a key that was learned as boilerplate is at least ``WHOLE``."""
+        level = hinted(name, attributes)
+        if level >= WHOLE or not attributes or name in ARTICLE or name in ("html", "body"):
+            return level
+        return WHOLE if any(self.weights.get(key, (0.0, False))[1] for key in keys_of(name, attributes)[1:]) else level
 
     def penalty(self, name: str) -> float:
         return self.weights.get(name, (TAG_COST, False))[0]
@@ -300,9 +399,9 @@ class Extractor:
     def text(self, page: str | None) -> str:
         if not page:
             return ""
-        marked = MARKED.search(page) is not None
-        events = list(scan(page)) if marked else scan(page)
-        walk = Walk(self.boilerplate, enclosing(events) if marked else frozenset())
+        events = list(scan(page))
+        _, kept, marked = outline(events, self.level)
+        walk = Walk(self.level, kept, marked)
         pieces: list[tuple[int, str, bool]] = []  # block, text, below boilerplate
         score, best, begin, span, block = 0.0, 0.0, 0, (0, 0), 0
         for kind, name, attributes in events:

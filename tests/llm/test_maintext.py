@@ -1,5 +1,6 @@
 """Main text of pages."""
 
+import random
 import time
 
 import pytest
@@ -128,3 +129,72 @@ def test_rare_keys_count_as_much_as_frequent_ones(spark, monkeypatch, keys, char
     got = maintext.extract(df)
     assert sorted(map(str, got.collect())) == want and got.schema == maintext.extract(df, weights=whole).schema
     assert {r.text for r in got.collect() if r.page_id == 7} == {f"three four {s}" for s in sites}
+
+
+BODY = "One two three four five six"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<p>{BODY}</p><!-- <article> -->",
+        f"<script>var a = '<article>';</script><p>{BODY}</p>",
+        f"<!-- <main> --><script>x = \"<main>\"</script><div><p>{BODY}</p></div>",
+        f"<main></main><div><p>{BODY}</p></div>",
+        f"<article> </article><article><nav>a b</nav></article><p>{BODY}</p>",
+        f"<aside><article>read this too</article></aside><p>{BODY}</p>",
+        f"<div class=related><article>read this</article></div><p>{BODY}</p>",
+        f"<article hidden>x y z</article><p>{BODY}</p>",
+        f"<main style='display: none'>x y z</main><p>{BODY}</p>",
+        f'<div class="post comments-open">{BODY}</div>',
+        f'<div class="has-sidebar layout"><p>{BODY}</p><div class=sidebar>more here</div></div>',
+        f'<div class="share-price-article"><p>{BODY}</p></div><p class=share>share it</p>',
+        f'<article><div class="related-topics-body">{BODY}</div><div class="related">see that</div></article>',
+        f'<form id=aspnetForm><div id=form><p>{BODY}</p></div></form>',
+        f'<div style="overflow:hidden" data-id="sidebar"><p>{BODY}</p></div>',
+        f"<body style='display:none'><p>{BODY}</p></body>",
+        f"<p>{BODY}</p><div id=comments>{'a reader says much more than the article did ' * 9}</div>",
+        f"<p>{BODY}</p><div class='comment-list post-comments'>{'much more than the article ' * 9}</div>",
+        f"<article>{BODY}<div class=comments>{'much more than the article ' * 9}</div></article>",
+        f"<main>{BODY}</main><div class='sidebar-left'>{'much more than the article ' * 9}</div>",
+    ],
+)
+def test_marks_and_names_are_evidence_not_proof(page):
+    assert maintext.Extractor({}).text(page) == BODY
+
+
+def test_learned_keys_decide_where_names_do_not(spark):
+    page = "<html><body><div class=zone7>buy this {i} now</div><main><div class=zone8><p>One two {i}</p></div></main></body></html>"
+    learned = maintext.Extractor(maintext.learn(spark.createDataFrame([(page.format(i=i),) for i in range(9)], "html string")))
+    other = "<div class=zone7>three more words</div><div class=zone8><p>One two three four</p></div>"
+    assert learned.text(other) == "One two three four"
+    assert maintext.Extractor({}).text(other) == "three more words\nOne two three four"
+    assert learned.text("<div class=zone7><p>One two three four</p></div>") == "One two three four"
+
+
+def test_linear_scan_equals_trying_all_regions():
+    rng = random.Random(5)
+    for _ in range(300):
+        penalties = {n: (rng.choice([0.3, 0.75, 1.5, 4.0]), False) for n in ("p", "b", "div")}
+        parts, gains, words = [], [], []
+        for i in range(rng.randrange(1, 25)):
+            if rng.random() < 0.5:
+                n = rng.randrange(1, 5)
+                parts.append(" ".join(f"w{i}x{k}" for k in range(n)) + " ")
+                gains.append(n)
+                words.append(parts[-1].split())
+            else:
+                name = rng.choice(list(penalties))
+                parts.append(f"<{rng.choice(['', '/'])}{name}>")
+                gains.append(-penalties[name][0])
+                words.append([])
+        runs = [(sum(gains[a:b]), a, b) for a in range(len(gains)) for b in range(a + 1, len(gains) + 1)]
+        best = max(s for s, _, _ in runs)
+        got = maintext.Extractor(penalties).text("".join(parts)).split()
+        wanted = [[w for part in words[a:b] for w in part] for s, a, b in runs if abs(s - best) < 1e-9]
+        assert got in wanted if best > 0 else got == []
+
+
+def test_very_long_pages_are_read_whole():
+    page = "<body><nav>" + "<a>x</a>" * 50_000 + "</nav><div class=has-sidebar>" + "<p>One two</p>" * 60_000 + "</div></body>"
+    assert maintext.Extractor({}).text(page) == "\n".join(["One two"] * 60_000)
