@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from brute import CLASHING, documents, frame
 from rootseek.llm import packing, sentencepieces, tokencount, tokenfiles, tokens
+from rootseek.llm.jaccard import text_key
 from rootseek.session import new_folder
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -130,6 +131,40 @@ def test_batches_hold_every_token_once(spark, library):
     assert packing.pack(spark.createDataFrame([], CLASHING), WORDS).count() == 0
 
 
+def test_written_batches_give_every_text_back(spark, library, monkeypatch):
+    monkeypatch.setattr(packing, "PART_TOKENS", 3_000)
+    monkeypatch.setattr(packing, "PART_ROWS", 50)
+    rows = [*documents(n=80), (70_000, None), (5, "one text"), (5, "one text"), (None, "of no id"), (None, "of no id"), (None, "of no id as well")]
+    folder = new_folder(spark, "batches")
+    got = packing.write_batches(frame(spark, rows), WORDS, folder, max_len=64, buckets=4, budget=256).collect()
+    found = {}
+    for r in got:
+        assert r.rows == len(r.doc_ids) == len(r.lengths) == len(r.starts) == len(r.text_keys) and len(r.ids) == r.rows * r.bound
+        assert 0 < r.rows * r.bound <= max(256, r.bound)
+        for slot in range(r.rows):
+            own = r.ids[slot * r.bound : (slot + 1) * r.bound]
+            assert not any(own[r.lengths[slot] :])
+            found.setdefault((r.doc_ids[slot], r.text_keys[slot]), []).append((r.starts[slot], own[: r.lengths[slot]]))
+    wanted = {}
+    for i, text in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        for start in range(0, len(ids), 64):
+            wanted.setdefault((i, text_key(text)), []).append((start, ids[start : start + 64]))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in wanted.items()}
+    for bound in {r.bound for r in got}:
+        sizes = [n for _, n in sorted((r.batch, r.rows) for r in got if r.bound == bound)]
+        assert sorted(r.batch for r in got if r.bound == bound) == list(range(len(sizes)))
+        assert all(n == 256 // bound for n in sizes[:-1])
+    assert packing.write_batches(spark.createDataFrame([], CLASHING), WORDS, new_folder(spark, "batches")).count() == 0
+
+
+def test_written_batches_lie_where_pack_says(spark):
+    rows = [(i, t) for i, t in documents(n=60) if i < 9000][:60]
+    places = {(r.bound, r.batch, r.slot): (r.doc_id, r.start, r.length) for r in packing.pack(frame(spark, rows), WORDS, max_len=64, buckets=4, budget=256).collect() if r.length}
+    got = packing.write_batches(frame(spark, rows), WORDS, new_folder(spark, "batches"), max_len=64, buckets=4, budget=256).collect()
+    assert {(r.bound, r.batch, s): (r.doc_ids[s], r.starts[s], r.lengths[s]) for r in got for s in range(r.rows)} == places
+
+
 def test_pieces_equal_the_library(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = [*documents(n=60), *enumerate(HARD, 20_000)]
