@@ -130,8 +130,8 @@ def _placed(seqs: DataFrame, order: list[str], max_len: int, buckets: int, budge
 
 
 def pack(texts: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``pack_lengths`` over the token counts of whole texts."""
-    return pack_lengths(tokencount.token_counts(texts, path, id_col, text_col), id_col, "n_tokens", **options)
+    """``pack_lengths`` over the token counts of whole texts, which are read once."""
+    return pack_lengths(tokencount.token_counts(texts, path, id_col, text_col, frequent=0), id_col, "n_tokens", **options)
 
 
 def sequences(texts: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN) -> DataFrame:

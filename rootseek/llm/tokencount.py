@@ -90,11 +90,12 @@ def token_counts(
     """(id, n_bytes, n_tokens) of every row. ``path`` names the vocabulary file.
 
     A ``.model`` file or a vocabulary that keeps white space has no chunk
-    tables: its texts go whole to the library, still map-side.
+    tables: its texts go whole to the library, still map-side. With ``frequent`` 0
+    there is no first pass and no table, only the workers' caches; counts are the same.
     """
     narrow = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, n_bytes long, n_tokens long"
-    chunked = path.endswith(".json") and tokens.drops_white_space(path)
+    chunked = frequent > 0 and path.endswith(".json") and tokens.drops_white_space(path)
     table = None
     if chunked:
         head = [c for c in frequent_chunks(narrow, "text", frequent) if "\n" not in c]
