@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from build import Lake
 from pyspark.sql import functions as F
 
+from rootseek.operators import graph
 from rootseek.plans import views
 from rootseek.sources import records
 
@@ -39,3 +41,40 @@ def test_written_lines_are_compressed_and_come_back(spark, tmp_path):
     back = records.json_lines(spark, path)
     assert back.select("ord").distinct().count() == 120_000
     assert back.select("raw").exceptAll(rows.select("raw")).isEmpty()
+
+
+def deepest_aggregates(df) -> list[str]:
+    """The aggregate next to each scan."""
+    found, out = None, []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        node = line.strip(" +-:*()0123456789")
+        if "Aggregate" in node.split("(")[0]:
+            found = node.split("(")[0]
+        if "Scan" in node.split("(")[0] and found:
+            out.append(found)
+            found = None
+    return out
+
+
+def test_graph_folds_spans_by_hash(spark, tmp_path):
+    lake = Lake()
+    for i in range(3):
+        lake.span("a", attrs={"peer.service": "b", "db.system": "X"}, kind="client", parent=None if i == 0 else "s0")
+    path = str(tmp_path / "spans")
+    lake.tables(spark)["spans"].write.parquet(path)
+    facts = graph.call_facts(spark.read.parquet(path))
+    day = F.to_date("start_time").alias("day")
+    for folded in (
+        graph.discover_nodes(facts), graph.db_systems(facts), graph.folded_children(facts),
+        graph.earliest(graph.stated_edges(facts, day), "day", "source_id", "target_id"),
+        graph.earliest(graph.node_mentions(facts, day), "day", "node_id"),
+    ):
+        assert deepest_aggregates(folded) == ["HashAggregate"]
+
+
+def test_earliest_mention_wins_whatever_is_alike(spark):
+    rows = [("k", (5, "b", None)), ("k", (2, "c", ["t"])), ("k", (2, "c", None)), ("k", (9, "a", ["t"])), ("l", (7, None, None))]
+    mentions = spark.createDataFrame(rows, "key string, first struct<ord: bigint, x: string, topics: array<string>>")
+    got = {r.key: tuple(r["first"]) for r in graph.earliest(mentions, "key").collect()}
+    want = {r.key: tuple(r["first"]) for r in mentions.groupBy("key").agg(F.min("first").alias("first")).collect()}
+    assert got == want == {"k": (2, "c", None), "l": (7, None, None)}
