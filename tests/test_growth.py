@@ -6,7 +6,8 @@ import pytest
 from build import Lake
 from pyspark.sql import functions as F
 
-from rootseek.operators import graph
+from rootseek.functions.folds import first_of
+from rootseek.operators import codechange, graph, spanfacts
 from rootseek.plans import views
 from rootseek.sources import records
 
@@ -78,3 +79,42 @@ def test_earliest_mention_wins_whatever_is_alike(spark):
     got = {r.key: tuple(r["first"]) for r in graph.earliest(mentions, "key").collect()}
     want = {r.key: tuple(r["first"]) for r in mentions.groupBy("key").agg(F.min("first").alias("first")).collect()}
     assert got == want == {"k": (2, "c", None), "l": (7, None, None)}
+
+
+def test_first_of_equals_the_least_struct(spark, tmp_path):
+    rows = [("a", None, 3, "x"), ("a", None, 1, "z"), ("a", None, 1, "y"), ("a", 7, 2, None), (None, 7, 5, "q"), ("b", 1, None, "r")]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "k string, l int, ord bigint, v string").write.parquet(path)
+    table = spark.read.parquet(path)
+    pick = F.struct("ord", "v")
+    seen = lambda df: sorted(map(str, df.collect()))
+    numbered = table.where("ord IS NOT NULL")
+    first = first_of(numbered, ["k", "l"], F.col("ord"), pick, "p")
+    assert seen(first) == seen(numbered.groupBy("k", "l").agg(F.min(pick).alias("p")))
+    assert seen(first_of(table, ["k"], F.col("ord"), pick, "p", last=True)) == seen(table.groupBy("k").agg(F.max(pick).alias("p")))
+
+
+def test_evidence_folds_spans_by_hash(spark, tmp_path):
+    lake = Lake()
+    lake.span("a", error=True, exceptions=[("T", "m", None), ("U", "n", None)])
+    lake.tables(spark)["spans"].write.parquet(str(tmp_path / "spans"))
+    window = spark.read.parquet(str(tmp_path / "spans")).selectExpr(
+        "'i' AS incident_id", "service_id AS node_id", "true AS is_error", "ord",
+        "transform(events, e -> struct(e.attributes['exception.type'] AS type, e.attributes['exception.message'] AS message)) AS exceptions",
+    )
+    events = spanfacts.exception_events(window)
+    for folded in (spanfacts.first_exception(events), spanfacts.exception_counts(events)):
+        # the first aggregate above each scan, of the rows that are compared as a whole there are few
+        assert "HashAggregate" in deepest_aggregates(folded)
+    assert spanfacts.first_exception(events).first().exception_type == "T"
+    assert {(r.exception_type, tuple(r.first_place)) for r in spanfacts.exception_counts(events).collect()} == {("T", (0, 0)), ("U", (0, 1))}
+
+
+def test_diffs_meet_their_symbols_as_text(spark):
+    files = spark.createDataFrame([("e", "f.py", "modified", "@@ -1 +1 @@\n-a\n+b", 1)], "event_id string, file_path string, change_type string, raw_diff string, ord bigint")
+    symbols = spark.createDataFrame([("e", "f.py", "new", "g", 1, 2, 0)], "event_id string, file_path string, side string, function_name string, start_line int, end_line int, ord bigint")
+    changed = codechange.function_changes(files, symbols)
+    exchanged = [line for line in changed._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate" in line]
+    joined = changed._jdf.queryExecution().executedPlan().toString()
+    assert exchanged and "Generate" not in joined[joined.index("Join"):]
+    assert [(r.function_name, r.new_code) for r in changed.collect()] == [("g", "b\n")]
