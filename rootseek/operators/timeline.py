@@ -18,13 +18,10 @@ def causal_depths(spans: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     doubled each round, so a trace of depth d takes log2(d) joins, all traces
     at once. Finished spans leave the working set.
     """
-    # ids are hardly ever repeated: shuffled unsorted, and once for all the joins below
-    links = durable(
-        spans.select("span_id", "ord", "parent_span_id").repartition("span_id")
-        .groupBy("span_id")
+    links = (
+        spans.groupBy("span_id")
         .agg(F.max(F.struct("ord", "parent_span_id")).alias("last"))
-        .select("span_id", F.col("last.parent_span_id").alias("parent")),
-        "links",
+        .select("span_id", F.col("last.parent_span_id").alias("parent"))
     )
     known = links.select(F.col("span_id").alias("parent"), F.lit(True).alias("present"))
     start = durable(
