@@ -107,6 +107,22 @@ def test_bad_spans_and_traces_are_rejected(spark):
     assert traces.ingest_traces(raw(spark, [spoiled]))[0].count() == 0
 
 
+def test_records_and_spans_are_read_in_one_walk(spark):
+    plan = traces.tagged_traces(raw(spark, [trace(span("a"))]), strict=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.traceId" not in plan and "$.events" not in plan  # no walk for each field
+    assert plan.count("StructField(traceId") <= 1 and plan.count("parse_json") + plan.count("parseJson") <= 1
+
+
+def test_lists_of_odd_types_are_told_apart(spark):
+    of = lambda spans: {"resourceSpans": [{"scopeSpans": [{"spans": spans}]}]}
+    records = [of(None), of(5), {"resourceSpans": [7]}, {"resourceSpans": [{"scopeSpans": [7]}]}, {"resourceSpans": [{"scopeSpans": 5}]}, of([None]),
+               {"resourceSpans": [{"resource": 5, "scopeSpans": [{"spans": [span("kept", kind="3", status={"code": "2"}, attributes={}, events=7)]}]}]}]
+    good, bad = traces.ingest_traces(raw(spark, records), strict=True)
+    assert rows(good, "span_id", "kind", "otel_status_code", "attributes", "events") == [("kept", "client", 2, {}, [])]
+    assert sorted(r.reason for r in bad.collect()) == [
+        "not an object", "resourceSpans entry without scopeSpans", "resourceSpans entry without scopeSpans", "scopeSpans entry without spans"]
+
+
 DEPLOY = dict(event_type="deploy", event_id="deploy-aaaa1111", service_id="pay", timestamp="2024-01-01T10:00:00Z", version="2.4.1",
               author="", tags={"n": 5, "b": True, "x": None})
 CONFIG = dict(event_type="config_change", event_id="cfg-1", service_id="pay", timestamp="2024-01-01T10:00:00Z", change_type="update",
