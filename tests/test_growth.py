@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rootseek.functions.folds import first_of
 from rootseek.operators import codechange, graph, spanfacts
-from rootseek.plans import views
+from rootseek.plans import catalog, views
 from rootseek.sources import records
 
 SF = "/root/testdata/sf0.001"
@@ -32,6 +32,14 @@ def test_raw_traces_shuffle_narrow_lines_once(spark):
     assert raw.count() == raw.select("ord").distinct().count() == orders
 
 
+@needs_tables
+def test_replies_are_parsed_in_several_tasks_a_core(spark):
+    replies = catalog.Telemetry.of(spark, SF).raw_replies
+    assert replies.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    assert replies.count() == replies.select("ref_id").distinct().count() == orders.count()
+
+
 def test_written_lines_are_compressed_and_come_back(spark, tmp_path):
     path = str(tmp_path / "lines")
     rows = spark.range(0, 120_000, 1, 1).select(F.concat(F.lit('{"name":"a record like the others","id":'), "id", F.lit("}")).alias("raw"), F.col("id").alias("ord"))
