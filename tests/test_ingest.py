@@ -155,6 +155,16 @@ def test_bad_changes_are_rejected(spark):
     assert changes.ingest_changes(raw(spark, [numbered]), strict=True)[0].count() == 0
 
 
+def test_change_members_are_read_in_one_walk(spark):
+    plan = changes.tagged_changes(raw(spark, [DEPLOY]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform_values(") <= 2  # of the tags, written out twice; the record itself makes no map
+    odd = [{**CONFIG, "old_value": 0.0, "new_value": [1, None]}, {**DEPLOY, "deploy_scope": [True, None, 5], "version": 2.50}, None, [], {**FLAG, "other": {"a": 1}}]
+    good, bad = changes.ingest_changes(raw(spark, odd))
+    assert rows(good, "ord", "version", "old_value", "new_value", "deploy_scope") == [
+        (0, None, "0", "[1,null]", None), (1, "2.5", None, None, ["True", "None", "5"]), (4, None, "False", "True", None)]
+    assert [r.reason for r in bad.collect()] == ["not an object"] * 2
+
+
 def test_change_records_round_trip(spark):
     good, _ = changes.ingest_changes(raw(spark, [{**DEPLOY, "diff_summary": "d"}, CONFIG, FLAG]))
     again, bad = changes.ingest_changes(changes.to_records(good))
