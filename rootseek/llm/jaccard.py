@@ -4,8 +4,11 @@ Method: grouped prefix join. Documents with the same set are one group from the
 start (so exact copies cost one member). Shingles are ordered rare first; two
 sets can only reach the threshold if they share a shingle among the first
 ``n - ceil(t n) + 1`` of each. Groups that meet in such a prefix shingle are
-filtered by size and by the positions of the shared shingle, and the rest is
-verified on whole sets.
+filtered by size, by the positions of the shared shingle and by marks of fixed
+size, and the rest is verified on whole sets. A set's marks say for each class of
+hashes whether it holds an odd number of them, so marks that differ in more places
+than two linked sets have elements apart rule a pair out, and never a link. Whole
+sets are made of documents in a pair that is left.
 
 The order comes from a sketch of fixed size that counts all shingles of all
 documents; any order is exact, a rare-first one is fast. Shingles that stand in
@@ -52,8 +55,11 @@ FREQUENT = 1024
 SMALL = 24
 #: Rounds of leaders at most, and remaining pairs per prefix entry at which rounds end early.
 LEADER_ROUNDS, FEW_PAIRS = 4, 1
-#: Bits of the filters by which whole sets and documents are picked: 1 MB.
+#: Bits of the filters by which documents are picked: 1 MB.
 FILTER_BITS = 1 << 23
+#: Longs of a set's marks, and their columns.
+MARKS = 8
+MARK_COLUMNS = [f"b{i}" for i in range(MARKS)]
 
 
 # --- the order --------------------------------------------------------------
@@ -106,18 +112,27 @@ def set_key(found: np.ndarray) -> int:
     return int(mix(sums[:1] ^ (sums[1:] * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)[0])
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """The marks of a set: whether each class of hashes, by their leading bits, holds an odd number."""
+    classes = ((found >> np.uint64(32)) * np.uint64(64 * MARKS) >> np.uint64(32)).astype(np.int64)
+    return np.packbits(np.bincount(classes, minlength=64 * MARKS).astype(np.uint8) & 1).view(np.int64)
+
+
 def _prefixes(sent, width: int, percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = sent.value
         for batch in batches:
-            sizes, keys, heads = [], [], []
+            sizes, keys, heads, marks = [], [], [], np.zeros((batch.num_rows, MARKS), np.int64)
             texts = [text_key(t) for t in batch.column(1).to_pylist()]
-            for found in shingles.sets(batch.column(1).to_pylist(), width):
+            for i, found in enumerate(shingles.sets(batch.column(1).to_pylist(), width)):
                 order = np.lexsort((found, levels[(found % np.uint64(SKETCH)).astype(np.int64)]))
                 sizes.append(len(found))
                 keys.append(set_key(found))
                 heads.append(found[order[: prefix_size(len(found), percent)]].tobytes())
-            yield arrow_rows({"id": (batch.column(0), None), "tid": (texts, pa.int64()), "n": (sizes, pa.int32()), "gid": (keys, pa.int64()), "head": (heads, pa.binary())})
+                marks[i] = parities(found)
+            yield arrow_rows({
+                "id": (batch.column(0), None), "tid": (texts, pa.int64()), "n": (sizes, pa.int32()), "gid": (keys, pa.int64()), "head": (heads, pa.binary()),
+            } | {name: (marks[:, i], pa.int64()) for i, name in enumerate(MARK_COLUMNS)})
 
     return work
 
@@ -155,10 +170,10 @@ def _unpacked(rows: dict) -> list[np.ndarray]:
     return [np.frombuffer(rows[name], t) for name, t in _PARTS]
 
 
-def _plain(entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _plain(entries: list[np.ndarray], **more: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(entries[0]), 100_000):
         token, gid, n, pos = (e[at : at + 100_000] for e in entries)
-        yield arrow_rows({"token": (token.view(np.int64), pa.int64()), "gid": (gid, pa.int64()), "n": (n, pa.int32()), "pos": (pos, pa.int32())})
+        yield arrow_rows({"token": (token.view(np.int64), pa.int64()), "gid": (gid, pa.int64()), "n": (n, pa.int32()), "pos": (pos, pa.int32())} | {name: (e[at : at + 100_000], pa.int64()) for name, e in more.items()})
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +183,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of shingles that stand in at least two groups' prefixes; a bucket has ``BUCKET_ENTRIES`` on average."""
+    """Entries of shingles that stand in k >= 2 groups' prefixes; a bucket has ``BUCKET_ENTRIES`` on average."""
     held = [_unpacked(rows) for batch in batches for rows in batch.to_pylist()]
     if not held:
         return
@@ -179,8 +194,9 @@ def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new_entry = new_token | np.concatenate([[True], gid[1:] != gid[:-1]])  # copies repeat an entry
     first = np.flatnonzero(new_token)
     groups = np.add.reduceat(new_entry.astype(np.int64), first)
-    keep = new_entry & np.repeat(groups >= 2, np.diff(np.append(first, len(token))))
-    yield from _plain([e[order[keep]] for e in entries])
+    groups = np.repeat(groups, np.diff(np.append(first, len(token))))
+    keep = new_entry & (groups >= 2)
+    yield from _plain([e[order[keep]] for e in entries], k=groups[keep])
 
 
 # --- candidates -------------------------------------------------------------
@@ -202,22 +218,46 @@ def _reach(a: str = "pos", b: str = "qos", n: str = "n", m: str = "m") -> str:
     return f"1 + least({n} - {a} - 1, {m} - {b} - 1)"
 
 
+def _alike(percent: int) -> str:
+    """Whether the marks of two sets allow a link: each place that differs is an element that only one set has."""
+    apart = " + ".join(f"bit_count({c} ^ {c}_2)" for c in MARK_COLUMNS)
+    return f"{apart} <= cast(n as long) + m - 2 * {_need(percent)}"
+
+
+def _more(entries: DataFrame) -> list[str]:
+    return [c for c in entries.columns if c not in ("token", "gid", "n", "pos")]
+
+
 def _with_other(entries: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs that meet in a shingle, as (a, b), a < b; both inputs have token, gid, n, pos."""
-    right = others.select("token", F.col("gid").alias("hid"), F.col("n").alias("m"), F.col("pos").alias("qos"), *[F.col(c).alias(f"{c}_2") for c in others.columns if c == "comp"])
-    return entries.join(right, "token").where("gid <> hid").where(_fits(percent)).where(f"{_reach()} >= {_need(percent)}")
+    """Pairs (gid, hid) that meet in a shingle; both inputs have token, gid, n, pos and the same further columns."""
+    right = others.select("token", F.col("gid").alias("hid"), F.col("n").alias("m"), F.col("pos").alias("qos"), *[F.col(c).alias(f"{c}_2") for c in _more(others)])
+    met = entries.join(right, "token").where("gid <> hid").where(_fits(percent)).where(f"{_reach()} >= {_need(percent)}")
+    return met.where(_alike(percent)) if MARK_COLUMNS[0] in entries.columns else met
 
 
 def _leaders(entries: DataFrame, seed: int) -> DataFrame:
     """One entry of each shingle, drawn by hash; the partial minimum runs before the shuffle."""
-    rank = F.struct(F.xxhash64("gid", F.lit(seed)).alias("r"), "gid", "n", "pos", *([c for c in entries.columns if c == "comp"]))
-    return entries.groupBy("token").agg(F.min(rank).alias("l")).select("token", "l.gid", "l.n", "l.pos", *[f"l.{c}" for c in entries.columns if c == "comp"])
+    rank = F.struct(F.xxhash64("gid", F.lit(seed)).alias("r"), "gid", "n", "pos", *_more(entries))
+    return entries.groupBy("token").agg(F.min(rank).alias("l")).select("token", "l.gid", "l.n", "l.pos", *[f"l.{c}" for c in _more(entries)])
 
 
 def _as_pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("gid", "hid").alias("a"), F.greatest("gid", "hid").alias("b")).distinct()
 
 
+def _alike_pairs(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The pairs that marks do not rule out. ``groups``: gid, n, marks."""
+    pairs = durable(pairs, "met")
+    picked = passing(groups, "gid", bit_filter(_ends(pairs), "gid"))
+    left = picked.select(F.col("gid").alias("a"), "n", *MARK_COLUMNS)
+    right = picked.select(F.col("gid").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"{c}_2") for c in MARK_COLUMNS])
+    return pairs.join(left, "a").join(right, "b").where(_alike(percent)).select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("gid")).union(pairs.select(F.col("b").alias("gid")))
+
+
 def _xxhash64(ids: np.ndarray) -> np.ndarray:
     """Spark's ``xxhash64`` of one long column."""
     p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -308,11 +348,8 @@ def _verify(percent: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets reach the threshold, written once."""
-    pairs = durable(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("gid")).union(pairs.select(F.col("b").alias("gid")))
-    picked = passing(sets, "gid", bit_filter(ids, "gid"))
-    left = picked.select(F.col("gid").alias("a"), F.col("words").alias("x"))
-    right = picked.select(F.col("gid").alias("b"), F.col("words").alias("y"))
+    left = sets.select(F.col("gid").alias("a"), F.col("words").alias("x"))
+    right = sets.select(F.col("gid").alias("b"), F.col("words").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
     return durable(per_partition(both, _verify(percent), "a long, b long"), "linked")
 
@@ -323,23 +360,27 @@ def similar_groups(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame
     sc = docs.sparkSession.sparkContext
     levels, total = frequency_levels(docs, width)
     sent = sc.broadcast(levels)
-    heads = durable(per_partition(docs, _prefixes(sent, width, percent), "id long, tid long, n int, gid long, head binary"), "prefixes")
+    marks = "".join(f", {c} long" for c in MARK_COLUMNS)
+    heads = durable(per_partition(docs, _prefixes(sent, width, percent), "id long, tid long, n int, gid long, head binary" + marks), "prefixes")
     buckets = max(sc.defaultParallelism, ceil_div(total * (100 - percent) // 100 + 1, BUCKET_ENTRIES))
     frequent = min(255, int(LEVELS * np.log2(1 + FREQUENT + 4 * total / SKETCH)))
     packed = per_partition(heads.where("n > 0").select("gid", "n", "head"), _route(sent, buckets, frequent), "bucket int, token binary, gid binary, n binary, pos binary")
     schema = "token long, gid long, n int, pos int"
-    shared = per_partition(packed.where("bucket >= 0").repartition(buckets, "bucket"), _keep_shared, schema)
-    straight = per_partition(packed.where("bucket < 0"), _spread, schema).distinct()
-    counted = durable(shared.union(straight), "entries")
-    sizes = counted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    entries = durable(counted.join(sizes, "token"), "entries")
-    sets = _one_set_each(docs, heads, _candidates(heads, entries), width)
+    shared = per_partition(packed.where("bucket >= 0").repartition(buckets, "bucket"), _keep_shared, schema + ", k long")
+    straight = durable(per_partition(packed.where("bucket < 0"), _spread, schema).distinct(), "frequent")
+    sizes = straight.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    entries = durable(shared.union(straight.join(sizes, "token").select("token", "gid", "n", "pos", "k")), "entries")
+    groups = durable(_groups(heads, entries), "groups")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = durable(pairs, "pairs")
+        return pairs if pairs.isEmpty() else verified(pairs, _one_set_each(docs, heads, _documents_of(pairs, groups), width), percent)
 
     small, large = entries.where(F.col("k") <= SMALL).drop("k"), entries.where(F.col("k") > SMALL).drop("k")
     met = _with_other(small, small, percent).where("gid < hid").select("gid", "hid").union(
         _with_other(large, _leaders(large, 0), percent).select("gid", "hid")
     )
-    links = verified(_as_pairs(met), sets, percent)
+    links = linked(_alike_pairs(_as_pairs(met), groups, percent))
     comps = components(links)
     for seed in range(1, LEADER_ROUNDS + 1):
         joined = large.join(comps.withColumnRenamed("node", "gid"), "gid", "left").select("token", "gid", "n", "pos", F.coalesce("component", "gid").alias("comp"))
@@ -351,23 +392,28 @@ def similar_groups(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame
         left = spread.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0)).alias("p"), F.coalesce(F.sum("all"), F.lit(0)).alias("e")).first()
         if not left.p:
             break
-        open_ = durable(joined.join(spread.select("token"), "token"), "open-entries")
+        open_ = durable(joined.join(spread.select("token"), "token").join(groups.select("gid", *MARK_COLUMNS), "gid"), "open-entries")
         last = seed == LEADER_ROUNDS or left.p <= FEW_PAIRS * left.e
         if last:
             met = _with_other(open_, open_, percent).where("gid < hid AND comp <> comp_2")
         else:
             met = _with_other(open_, _leaders(open_, seed), percent).where("comp <> comp_2")
-        links = links.union(verified(_as_pairs(met), sets, percent))
+        links = links.union(linked(_as_pairs(met)))
         comps = components(links)
         if last:
             break
     return heads.select("id", "tid", "n", "gid"), comps
 
 
-def _candidates(heads: DataFrame, entries: DataFrame) -> np.ndarray:
-    """A filter of documents: one of each group that has an entry, and those it cannot tell from it."""
-    first = heads.where("n > 0").groupBy("gid").agg(F.min("id").alias("id"))
-    return bit_filter(first.join(entries.select("gid").distinct(), "gid", "left_semi"), "id")
+def _groups(heads: DataFrame, entries: DataFrame) -> DataFrame:
+    """(gid, id, n, marks) of each group that has an entry; the id is the smallest of its documents."""
+    same = heads.where("n > 0").groupBy("gid").agg(F.min("id").alias("id"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in MARK_COLUMNS])
+    return same.join(entries.select("gid").distinct(), "gid", "left_semi")
+
+
+def _documents_of(pairs: DataFrame, groups: DataFrame) -> np.ndarray:
+    """A filter of documents: one of each group in a pair, and those it cannot tell from it."""
+    return bit_filter(groups.select("gid", "id").join(_ends(pairs).distinct(), "gid", "left_semi"), "id")
 
 
 def _one_set_each(docs: DataFrame, heads: DataFrame, bits: np.ndarray, width: int) -> DataFrame:

@@ -42,6 +42,39 @@ def test_each_group_is_verified_by_one_set(spark, rows, monkeypatch, bits):
     assert most and set(most) == {1}
 
 
+def test_near_copies_below_the_threshold_are_told_apart_by_marks(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    apart = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(3, 147), 2):
+            words[at] = f"x{k}-{at}"
+        apart.append((k, " ".join(words)))
+    checked, made, verify = [], [], jaccard.verified
+
+    def watched(pairs, sets, percent):
+        checked.append(pairs.count())
+        made.append(sets.join(pairs, (sets.gid == pairs.a) | (sets.gid == pairs.b), "left_anti").count())
+        return verify(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard, "verified", watched)
+    got = jaccard.join(frame(spark, apart), percent=85, width=4).collect()
+    assert sorted(map(tuple, got)) == components(apart, 85, 4)
+    assert sum(checked) < 60 * 59 / 2 / 4  # all pairs meet in the shingles of the base
+    assert not any(made)  # no whole set is made of a document without a pair
+
+
+def test_marks_never_rule_out_a_link():
+    rng = np.random.default_rng(6)
+    for n in (1, 7, 100, 3000):
+        for gone in (0, 1, n // 20, n // 8):
+            whole = rng.integers(0, 1 << 64, n + gone, np.uint64)
+            a, b = np.unique(whole[gone:]), np.unique(whole[: n])
+            apart = sum(int(x).bit_count() for x in (jaccard.parities(a) ^ jaccard.parities(b)).view(np.uint64))
+            assert apart <= len(np.setxor1d(a, b)) and apart % 2 == len(np.setxor1d(a, b)) % 2
+
+
 def test_filter_spreads_ids_of_any_stride(spark):
     ids = spark.range(200).select((F.col("id") * (1 << 23) - (1 << 30)).alias("id"))
     bits = jaccard.bit_filter(ids.where("id % 3 = 0"), "id")
