@@ -236,8 +236,13 @@ def _with_other(entries: DataFrame, others: DataFrame, percent: int) -> DataFram
 
 
 def _leaders(entries: DataFrame, seed: int) -> DataFrame:
-    """One entry of each shingle, drawn by hash; the partial minimum runs before the shuffle."""
-    rank = F.struct(F.xxhash64("gid", F.lit(seed)).alias("r"), "gid", "n", "pos", *_more(entries))
+    """One entry of each shingle; the partial minimum runs before the shuffle.
+
+    It is drawn by hash if ``seed`` is odd. Else it is one before whose shingle the fewest
+    rarer ones stand: of texts made from one, such a text is nearest to most of the others.
+    """
+    first = F.lit(0) if seed % 2 else F.col("pos")
+    rank = F.struct(first.alias("p"), F.xxhash64("gid", F.lit(seed)).alias("r"), "gid", "n", "pos", *_more(entries))
     return entries.groupBy("token").agg(F.min(rank).alias("l")).select("token", "l.gid", "l.n", "l.pos", *[f"l.{c}" for c in _more(entries)])
 
 

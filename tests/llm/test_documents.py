@@ -65,6 +65,12 @@ def test_near_copies_below_the_threshold_are_told_apart_by_marks(spark, monkeypa
     assert not any(made)  # no whole set is made of a document without a pair
 
 
+def test_leaders_are_near_to_most_texts_every_other_round(spark):
+    entries = spark.createDataFrame([(t, g, 100, (g * 7 + t) % 40 + (g != 13) * 40) for t in range(3) for g in range(30)], "token long, gid long, n int, pos int")
+    assert {r.gid for r in jaccard._leaders(entries, 0).collect()} == {13} == {r.gid for r in jaccard._leaders(entries, 2).collect()}
+    assert jaccard._leaders(entries, 1).count() == 3
+
+
 def test_marks_never_rule_out_a_link():
     rng = np.random.default_rng(6)
     for n in (1, 7, 100, 3000):
