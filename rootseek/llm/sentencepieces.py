@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootseek.llm import tokens
-from rootseek.llm.common import arrow_rows, per_partition
+from rootseek.llm.common import arrow_rows, kept, per_partition
 
 MARK = "▁"
 #: Pairs of pieces whose order under merging is remembered.
@@ -142,14 +142,9 @@ class PieceEncoder(tokens.WordCache):
         return text[1:] if text.startswith(" ") else text
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and model."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    """One encoder per worker process and model, while tasks use it."""
+    return kept(PieceEncoder, path)
 
 
 def _lists(codes: list[bytes]) -> tuple[pa.Array, np.ndarray]:

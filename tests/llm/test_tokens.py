@@ -5,13 +5,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brute import CLASHING, documents, frame
-from rootseek.llm import packing, sentencepieces, tokencount, tokenfiles, tokens
+from rootseek.llm import common, packing, sentencepieces, tokencount, tokenfiles, tokens
 from rootseek.llm.jaccard import text_key
 from rootseek.session import new_folder
 
@@ -56,6 +57,25 @@ def test_token_counts(spark, name):
     assert tokencount.token_counts(spark.createDataFrame([], CLASHING), path).count() == 0
 
 
+def test_workers_give_up_words_that_later_work_does_not_use():
+    def encode(batches):
+        for batch in batches:
+            tokens.id_lists(WORDS, batch.column(0).to_pylist())
+            yield batch
+
+    def run(work, rows):
+        return list(common._tidy(work)(iter([pa.RecordBatch.from_pydict({"text": pa.array(rows, pa.string())})])))
+
+    run(encode, ["some words", None])
+    mine = tokens.encoder(WORDS)
+    run(encode, ["other words"])
+    assert tokens.encoder(WORDS) is mine and {"some", "other"} <= mine.known.keys()
+    run(lambda batches: batches, [])
+    assert tokens.encoder(WORDS) is mine  # a task without rows tells nothing
+    run(lambda batches: batches, ["rows of another operator"])
+    assert tokens.encoder(WORDS) is not mine
+
+
 def test_token_files_round_trip(spark, library, monkeypatch):
     rows = [*documents(n=60), *enumerate(HARD, 20_000)]
     folder = new_folder(spark, "tokens")
