@@ -1,6 +1,7 @@
 """Token ids, counts, files and batches against the libraries and brute force."""
 
 import itertools
+import string
 import zlib
 
 import numpy as np
@@ -34,6 +35,18 @@ def test_chunk_ids_equal_the_library(library):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.id_lists(WORDS, texts)] == want
 
 
+def test_stems_and_marks_equal_the_library_and_few_chunks_go_whole(library, monkeypatch):
+    letters = [*map(chr, range(0x41, 0x250)), "e\u0301", "A\u030a", "ΑΣ", "ß", "ǅa", "жЖ", "漢", "ﬁ", "क़", "ab", "ſ"]
+    tails = [*string.punctuation, "...", "'s", "'S.", "'.", "$$$", "<|endoftext|>", "<", "|>", "\u0338", "…", "_a", "--b"]
+    texts = [" ".join(a + b + t for a in letters for b in ("", "Q")) for t in tails] + ["''s ' 's &&& <|endoftext|>, x<|endoftext|>"]
+    got = tokens.ChunkEncoder(WORDS).encode_all(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    sent, whole = [], tokens.ChunkEncoder._whole
+    monkeypatch.setattr(tokens.ChunkEncoder, "_whole", lambda self, items: sent.extend(items) or whole(self, items))
+    tokens.ChunkEncoder(WORDS).encode_all([" ".join(f"W{a}{b}{t}" for a in "abcdé" for b in "xyz" for t in ("", "&&&", "!!", ")."))])
+    assert len(sent) <= 4  # marks alone, not each word with its marks
+
+
 def test_small_caches_change_nothing(monkeypatch, library):
     for name, size in (("CACHE_WORDS", 50), ("PIECE", 7), ("LEARNED", 3)):
         monkeypatch.setattr(tokens, name, size)
