@@ -7,6 +7,7 @@ from build import Lake
 from pyspark.sql import functions as F
 
 from rootseek.functions.folds import first_of
+from rootseek.functions.text import frames_of
 from rootseek.operators import codechange, graph, spanfacts
 from rootseek.plans import catalog, views
 from rootseek.sources import records
@@ -126,3 +127,12 @@ def test_diffs_meet_their_symbols_as_text(spark):
     joined = changed._jdf.queryExecution().executedPlan().toString()
     assert exchanged and "Generate" not in joined[joined.index("Join"):]
     assert [(r.function_name, r.new_code) for r in changed.collect()] == [("g", "b\n")]
+
+
+def test_frames_of_a_format_whose_words_are_missing_are_not_looked_for(spark):
+    traces = ['  File "/srv/a.py", line 3, in f', "Boom\n\tat com.acme.Svc.g(B.java:7)", "Error\n    at /srv/c.js:1:2", "File line at ( :", ""]
+    rows = spark.createDataFrame([(i, [t]) for i, t in enumerate(traces)], "i int, t array<string>")
+    found = rows.select("i", frames_of(F.col("t")).alias("f"))
+    assert "contains(" in plan_of(found).lower()
+    seen = {r.i: [tuple(x) for x in r.f] for r in found.collect()}
+    assert seen == {0: [("/srv/a.py", "f", 3)], 1: [("B.java", "g", 7)], 2: [("/srv/c.js", "<anonymous>", 1)], 3: [], 4: []}
