@@ -129,6 +129,10 @@ def test_diffs_meet_their_symbols_as_text(spark):
     assert [(r.function_name, r.new_code) for r in changed.collect()] == [("g", "b\n")]
 
 
+def test_methods_too_long_for_the_jvm_are_not_used(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000  # the JVM's own limit
+
+
 def test_frames_of_a_format_whose_words_are_missing_are_not_looked_for(spark):
     traces = ['  File "/srv/a.py", line 3, in f', "Boom\n\tat com.acme.Svc.g(B.java:7)", "Error\n    at /srv/c.js:1:2", "File line at ( :", ""]
     rows = spark.createDataFrame([(i, [t]) for i, t in enumerate(traces)], "i int, t array<string>")
